@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import activity, contents, objects, references
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_AREAS = (activity, objects, references, contents)
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for area in _AREAS for name, (query, _) in area.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for area in _AREAS for name, (_, sql) in area.QUERIES.items() if sql}
