@@ -6,9 +6,9 @@ are the bucket keys. At the threshold of 0.85 a pair shares none of the 40 bands
 every pair that is linked is confirmed on the full shingle sets.
 
 Equal sets are one class, so copies never meet in pairs. Within a bucket each class is first compared with the smallest
-one only; components of these links then leave only buckets that hold several components, where the members outside
-the largest one are compared with the rest. No group is collected, and all pairs of a group are never made: a pair
-within one component needs no comparison, since it changes no component.
+one only. Components of these links then leave the buckets that hold several components; their members are paired by
+the rarest of their shingles (see `_rest`). No group is collected, and all pairs of a group are never made: a pair within
+one component needs no comparison, since it changes no component.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a null key is
 linked with nothing and has a null component; repeated rows of one key keep their own sets and share a component;
@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_column
@@ -171,7 +171,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         texts = checkpointed(docs.select(F.col(key).alias("id"), text_column(text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
         links = checkpointed(confirm(stars, texts, size, percent))
         roots = components(links)
-        rest = checkpointed(_rest(shared, roots, stars, percent))
+        rest = checkpointed(_rest(shared, roots, stars, texts, size, percent))
         if not rest.isEmpty():
             more = confirm(rest, texts, size, percent)
             roots = components(links.unionAll(more))
@@ -183,16 +183,47 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
     return named.select("id", "n_shingles", F.coalesce("root", "rep", "id").alias("component_id"))
 
 
-def _rest(shared: DataFrame, roots: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, are in two components, and weren't compared: members outside a bucket's largest
-    component against all others there."""
+def _tokens(texts: DataFrame, size: int) -> DataFrame:
+    """rep, h: a row for each shingle of `texts` (id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, size) for t in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                if len(owner):
+                    yield pa.record_batch([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "h"])
+
+    return texts.mapInArrow(run, f"rep {texts.schema['id'].dataType.simpleString()}, h long")
+
+
+def _rest(shared: DataFrame, roots: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs still to be compared: of different components, and able to reach the similarity.
+
+    Only members of buckets that hold several components are left. Two sets of that similarity share one of the rarest
+    n - ceil(percent n) + 1 shingles of each, whatever order of rarity both follow; here it is the number of members
+    left that have the shingle. So a passage that very many unlike documents hold makes no pairs. Of the members that
+    meet in a shingle, those outside the largest component are paired with the others.
+    """
     at = shared.select("band", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    sizes = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("size", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    here = at.join(mixed.select("band", "most"), "band")
-    few = here.where("root <> most").select("band", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("root_x"))
-    all_ = here.select("band", F.col("rep").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("root_y"))
-    pairs = few.join(all_, "band").where("root_x <> root_y").where(_fits(percent)).select(_ordered("x", "y").alias("p")).select("p.a", "p.b").distinct()
+    mixed = at.groupBy("band").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("band")
+    left = checkpointed(at.join(mixed, "band").select("rep", "n", "root").distinct())
+    tokens = _tokens(texts.join(left.select(F.col("rep").alias("id")), "id").select("id", "text"), size)
+    counts = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    known = tokens.join(counts, "h").join(left, "rep")
+    of = Window.partitionBy("rep")
+    single = F.col("n") - F.count(F.lit(1)).over(of)  # shingles that no other member has are the rarest
+    rank = F.row_number().over(of.orderBy("df", "h"))
+    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = known.withColumn("single", single).withColumn("rank", rank).where(F.col("rank") <= needed - F.col("single")).select("h", "rep", "n", "root")
+    rare = checkpointed(rare)
+    sizes = rare.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
+    split = sizes.groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    here = rare.join(split.select("h", "most"), "h")
+    few = here.where("root <> most").select("h", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("root_x"))
+    all_ = here.select("h", F.col("rep").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("root_y"))
+    pairs = few.join(all_, "h").where("root_x <> root_y").where(_fits(percent)).select(_ordered("x", "y").alias("p")).select("p.a", "p.b").distinct()
     return pairs.join(tried.select(_ordered("a", "b").alias("p")).select("p.a", "p.b"), ["a", "b"], "left_anti")
 
 

@@ -270,7 +270,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text:
     both = shared.select("chunk", "bucket", F.col("answer").alias("ranks"), F.lit(None).cast("binary").alias("blocks")).unionAll(
         repeats.select("chunk", "bucket", F.lit(None).cast("binary"), "answer")
     )
-    return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kept = dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return kept.withColumnRenamed("key", key)
 
 
 _RESULT = [("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]

@@ -249,7 +249,7 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_licences(spark):
-    texts = ["prose before\nLicensed under the Apache License, Version 2.0.\nprose", "Released under the MIT License.", "a plain text of the kind that one may read under the sun", None]
+    texts = ["prose before, and more of it than of the licence itself, so that it is no licence file\nLicensed under the Apache License, Version 2.0.\nprose", "Released under the MIT License.", "a plain text of the kind that one may read under the sun", None]
     docs = table(spark, texts).withColumn("path", F.element_at(F.array(F.lit("a/b/x"), F.lit("a/LICENSE"), F.lit("a/b/c/y"), F.lit("q/z")), (F.col("doc_id") + 1).cast("int")))
     got = {r.path: r for r in licences.scan_and_inherit(docs).collect()}
     assert got["a/b/x"].licence == "Apache-2.0" and not got["a/b/x"].is_file and got["a/b/x"].effective == "Apache-2.0"
