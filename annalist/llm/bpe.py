@@ -3,7 +3,8 @@
 Each match of the split pattern is merged on its own. A segment tree over the positions of the match holds, at its
 root, the leftmost position of the lowest pair rank; a merge updates the leaves of the merged pair and its live left
 neighbour, each in a number of steps that is logarithmic in the length. Nodes have FAN children, whose minimum is one
-call of min(), so that a short match is a tree of one node and a match of any length stays quasi-linear.
+call of min(), so that a short match is a tree of one node, kept as a plain list of its live positions, and a match of
+any length stays quasi-linear.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows are encoded one by one;
 an empty table gives an empty result; other columns are not read. Texts are only ever handled row by row.
@@ -27,7 +28,7 @@ from .common import text_column
 
 FAN = 32
 #: Entries that one Python worker remembers before it starts anew; a bound on memory only.
-MEMO = 400_000
+MEMO = 800_000
 _NONE = 1 << 62
 
 
@@ -35,8 +36,8 @@ def merge(symbols: Sequence, rank: Callable) -> list:
     """The symbols after all merges: always the pair of lowest rank(left, right), the leftmost one of equal rank."""
     parts = list(symbols)
     n = len(parts)
-    if n < 2:
-        return parts
+    if n <= FAN:
+        return _merge_node(parts, rank)
     leaves = [_NONE] * n
     for i in range(n - 1):
         r = rank(parts[i], parts[i + 1])
@@ -75,6 +76,22 @@ def merge(symbols: Sequence, rank: Callable) -> list:
     return [p for p in parts if p is not None]
 
 
+def _merge_node(parts: list, rank: Callable) -> list:
+    """The same where all positions are children of one node."""
+    ranks = [_NONE if (r := rank(a, b)) is None else r for a, b in zip(parts, parts[1:])]
+    while ranks and (least := min(ranks)) < _NONE:
+        i = ranks.index(least)
+        joined = parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del ranks[i]
+        if i < len(ranks):
+            r = rank(joined[0], parts[i + 1])
+            ranks[i] = _NONE if r is None else r
+        if i:
+            r = rank(parts[i - 1], joined[0])
+            ranks[i - 1] = _NONE if r is None else r
+    return parts
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}

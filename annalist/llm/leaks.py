@@ -160,18 +160,20 @@ def op5(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def brute_force(text: str | None, items: dict[int, str | None], span: int = SPAN, percent: int = PERCENT) -> list[int]:
     """The items that leak into the text, by trying all alignments; for tests."""
-    import string
-
-    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-    words = (text or "").translate(lower).encode().split()
-    found = []
+    words, found = word_hashes(text or ""), []
     for item, t in items.items():
-        test = (t or "").translate(lower).encode().split()
+        test = word_hashes(t or "")
         width = min(len(test), span)
-        if width and any(
-            100 * sum(a == b for a, b in zip(words[i : i + width], test[j : j + width])) >= percent * width
-            for i in range(len(words) - width + 1)
-            for j in range(len(test) - width + 1)
-        ):
-            found.append(item)
+        if not width or len(words) < width:
+            continue
+        at, pos = np.nonzero(words[:, None] == test[None, :])
+        for shift in np.unique(at - pos):
+            equal = np.zeros(len(test), np.int64)
+            equal[pos[at - pos == shift]] = 1
+            sums = np.concatenate([[0], np.cumsum(equal)])
+            # Windows that lie within both.
+            lo, hi = max(0, -int(shift)), min(len(test), len(words) - int(shift))
+            if any(100 * (sums[j + width] - sums[j]) >= percent * width for j in range(lo, hi - width + 1)):
+                found.append(item)
+                break
     return sorted(found)

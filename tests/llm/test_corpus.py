@@ -271,7 +271,7 @@ def test_quality_ledger(spark):
     assert [r.doc_id for r in kept.collect()] == [0] and kept.columns == table(spark, texts).columns
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
@@ -279,7 +279,8 @@ def test_pipeline(spark):
     docs, stages = documents(spark, DATA), dict(corpus_pipeline.STAGES)
     step = docs
     for name in list(stages)[:-1]:
-        step = stages[name](spark, step, DATA)
+        stages[name](spark, step, DATA).write.parquet(f"{tmp_path}/{name}")
+        step = spark.read.parquet(f"{tmp_path}/{name}")
         assert step.columns == docs.columns
     texts = {r.doc_id: r.text for r in step.collect()}
     assert set(rows) == set(texts) and 0 < len(rows) < docs.count()
