@@ -117,3 +117,34 @@ def readme(entries: DataFrame, names: tuple[str, ...] = ("readme.md", "readme.ma
     rank = F.array_position(F.array(*(F.lit(n) for n in names)), F.lower("name"))
     ranked = entries.where("mode NOT IN ('40000', '040000')").withColumn("rank", rank).where("rank > 0")
     return latest(ranked, ["repo"], "rank", "name").select("repo", "name", "oid")
+
+
+def advertised(refs: DataFrame, peeled: DataFrame) -> DataFrame:
+    """repo, oid: what a client may ask for by id: the tips, and what their tags point at."""
+    targets = refs.select("repo", F.col("target").alias("oid"))
+    behind = targets.join(peeled, "oid").select("repo", F.col("peeled").alias("oid"))
+    return targets.unionAll(behind).distinct()
+
+
+def illegal_wants(wants: DataFrame, offered: DataFrame) -> DataFrame:
+    return wants.join(offered.select("repo", "oid"), ["repo", "oid"], "left_anti")
+
+
+def wants_all_tips(wants: DataFrame, refs: DataFrame) -> DataFrame:
+    """repo, all_tips: whether the wanted ids are exactly the tips, as for a full clone."""
+    w = wants.select("repo", "oid").distinct().withColumn("wanted", F.lit(1))
+    t = refs.select("repo", F.col("target").alias("oid")).distinct().withColumn("tip", F.lit(1))
+    return w.join(t, ["repo", "oid"], "full_outer").groupBy("repo").agg((F.count(F.lit(1)) == F.sum(F.coalesce(F.col("wanted") * F.col("tip"), F.lit(0)))).alias("all_tips"))
+
+
+def push_events(decided: DataFrame) -> DataFrame:
+    """repo, batch, updates: the accepted updates of each push, in order; pushes without any make no event."""
+    update = F.struct("seq", "ref", "old", "new")
+    return decided.where("ok").groupBy("repo", "batch").agg(F.sort_array(F.collect_list(update)).alias("updates"))
+
+
+def newest_branches(refs: DataFrame, commits: DataFrame, n: int = 10) -> DataFrame:
+    """repo, name, oid, time, rank: the branches whose tips are newest."""
+    tips = refs.where(F.col("name").startswith("refs/heads/")).join(commits.select(F.col("oid").alias("target"), "time"), "target")
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("time"), "name"))
+    return tips.withColumn("rank", rank).where(F.col("rank") <= n).select("repo", short_ref(F.col("name")).alias("name"), F.col("target").alias("oid"), "time", "rank")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import activity, contents, objects, references
+from . import activity, contents, objects, references, service
 
 Query = Callable[[SparkSession, str], DataFrame]
-_AREAS = (activity, objects, references, contents)
+_AREAS = (activity, objects, references, service, contents)
 
 
 def queries() -> dict[str, Query]:
