@@ -100,6 +100,13 @@ def _runs(data: np.ndarray, span: int, anchor: int) -> tuple[np.ndarray, ...]:
     return first, last, np.concatenate(ranks), block
 
 
+def _groups(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the ranks, and where in it each distinct one starts."""
+    order = np.argsort(rank)
+    ordered = rank[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(len(rank), 1), bool), ordered[1:] != ordered[:-1]]))
+
+
 class _Chunk:
     """The documents of a chunk in the order of their keys, and the runs of all of them."""
 
@@ -116,11 +123,11 @@ class _Chunk:
 
     def ranks(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchor ranks, ascending, and which of them occur under several keys of the chunk."""
-        rank, at = np.unique(self.rank, return_inverse=True)
-        low, high = np.full(len(rank), np.iinfo(np.int64).max), np.full(len(rank), np.iinfo(np.int64).min)
-        np.minimum.at(low, at, self.key)
-        np.maximum.at(high, at, self.key)
-        return rank, low < high
+        order, starts = _groups(self.rank)
+        if not len(order):
+            return self.rank, np.zeros(0, bool)
+        key = self.key[order]
+        return self.rank[order[starts]], np.minimum.reduceat(key, starts) < np.maximum.reduceat(key, starts)
 
     def blocks(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the runs whose rank is in `shared`: a run of each distinct block that has the smallest key, ordered by
@@ -164,12 +171,11 @@ def _answer_blocks(span: int):
         # The windows of block b start at start[b] .. start[b] + windows[b] - 1.
         at = np.arange(windows.sum()) + np.repeat(start - (np.cumsum(windows) - windows), windows)
         rank, key = whole[at], np.repeat(keys, windows)
-        order = np.lexsort((key, rank))
-        sorted_rank, sorted_key = rank[order], key[order]
-        new = np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]])
-        least = sorted_key[np.flatnonzero(new)][np.cumsum(new) - 1]
+        order, starts = _groups(rank)
+        key = key[order]
+        least = np.repeat(np.minimum.reduceat(key, starts), np.diff(starts, append=len(key)))
         out = np.empty(len(at), np.uint8)
-        out[order] = sorted_key > least
+        out[order] = key > least
         parts = np.split(out, np.cumsum(rows)[:-1])
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "answer": pa.array([p.tobytes() for p in parts], pa.binary())})
 
