@@ -9,7 +9,7 @@ SEEDS are all masks of four among five neighbouring words, and four in a row. To
 its equal words lie in runs between the others, and either some run has four words, or some run of one to three and
 the next one, one word apart, fill a mask (by cases of 4 to 20 words). Items of under four words are matched whole.
 
-Document seeds are first looked up in a bitmap of the item seeds, of a fixed size of BITS bits, so that only those that
+Document seeds are first looked up in a bitmap of the item seeds, of MOST_BITS bits at most, so that only those that
 can match are shuffled; the join then decides. Nothing else of the items or documents goes through the driver.
 
 Defined results: a null or empty text, of a document or an item, leaks nothing; words are cut at ASCII white space with
@@ -25,18 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_column
-from .shingles import spans_hash, word_hashes
+from .shingles import spans_hashes, word_hashes
 
 SEEDS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
 SHORT = tuple(tuple(range(n)) for n in (1, 2, 3))
-BITS = 1 << 26
+#: The bitmap has about 256 bits for each item seed, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 27
 SPAN, PERCENT = 20, 80
 
 
-def _seeds(words: np.ndarray, masks) -> list[np.ndarray]:
-    return [spans_hash(words, m, sum(1 << o for o in m) + (len(m) << 16)) for m in masks]
-
-
 def item_seeds(items: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
     """item, n (words), words (hashes), seeds: (h, pos) of each seed of the item."""
     pair = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))
@@ -47,7 +44,7 @@ def item_seeds(items: DataFrame, text: str = "text", key: str = "item_id") -> Da
             seeds = []
             for w in words:
                 masks = SEEDS if len(w) >= 4 else SHORT[len(w) - 1 : len(w)] if len(w) else ()
-                seeds.append([{"h": h, "pos": i} for x in _seeds(w, masks) for i, h in enumerate(x.view(np.int64).tolist())])
+                seeds.append([{"h": h, "pos": i} for x in spans_hashes(w, masks) for i, h in enumerate(x.view(np.int64).tolist())])
             columns = [batch.column(0), pa.array([len(w) for w in words], pa.int32()), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64())), pa.array(seeds, pair)]
             yield pa.record_batch(columns, names=["item", "n", "words", "seeds"])
 
@@ -58,17 +55,18 @@ def item_seeds(items: DataFrame, text: str = "text", key: str = "item_id") -> Da
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """The bits of all hashes; each partition sends BITS / 8 bytes, which are ORed one after the other."""
+    """The bits of all hashes; each partition sends its bitmap, and these are ORed one after the other."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (256 * hashes.count()).bit_length()))
 
     def run(batches):
-        bits = np.zeros(BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BITS)
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(size - 1)
             np.bitwise_or.at(bits, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
         if bits.any():
             yield pa.record_batch([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for row in hashes.mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(row.bits, np.uint8)
     return out
@@ -85,12 +83,13 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, percent: int = PE
 
     def hits(batches):
         bits = shared.value
+        last = np.uint64(8 * len(bits) - 1)
         for batch in batches:
             keys, found, places = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 words = word_hashes(t)
-                for x in _seeds(words, masks):
-                    low = x % np.uint64(BITS)
+                for x in spans_hashes(words, masks):
+                    low = x & last
                     at = np.flatnonzero((bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1)
                     if len(at):
                         keys.append(np.full(len(at), i))

@@ -6,7 +6,6 @@ import numpy as np
 import xxhash
 
 MEMO = 500_000
-_memo: dict[bytes, int] = {}
 
 
 class _Memo(dict):
@@ -33,15 +32,27 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def spans_hash(words: np.ndarray, offsets: tuple[int, ...], seed: int = 0) -> np.ndarray:
-    """For each start, a hash of the words at these distances from it, in order; the last offset is the largest."""
-    n = len(words) - offsets[-1]
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    x = np.full(n, seed * 2 + 1, np.uint64)
-    for o in offsets:
-        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + words[o : o + n])
-    return x
+#: Odd factors for the first, second, ... word of a span.
+_FACTORS = mix(np.arange(100, 116, dtype=np.uint64)) | np.uint64(1)
+
+
+def spans_hashes(words: np.ndarray, masks: tuple[tuple[int, ...], ...]) -> list[np.ndarray]:
+    """For each mask and each start, a hash of the words at these distances from it, in order.
+
+    Word hashes are mixed already, so a sum of multiples is hash enough before the last mix; masks share the multiples.
+    """
+    scaled = [words * _FACTORS[k] for k in range(max(map(len, masks), default=0))]
+    out = []
+    for mask in masks:
+        n = len(words) - mask[-1]
+        if n <= 0:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        x = scaled[0][mask[0] : mask[0] + n] + np.uint64(sum(1 << o for o in mask))
+        for k, o in enumerate(mask[1:], 1):
+            x += scaled[k][o : o + n]
+        out.append(mix(x))
+    return out
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -50,4 +61,4 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     if not len(words):
         return words
     k = min(size, len(words))
-    return np.unique(spans_hash(words, tuple(range(k)), k))
+    return np.unique(spans_hashes(words, (tuple(range(k)),))[0])
