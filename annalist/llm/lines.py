@@ -11,7 +11,7 @@ Defined results: a null text counts as empty and stays as it is; a document with
 overlapping copies count; repeated rows of one key are documents of one key, whose lines are ranked together and lose
 the same lines; rows with a null key are kept unchanged; an empty table gives an empty result; other columns are kept.
 Each rank is found by an aggregation that combines before the shuffle and is joined back as one row for each distinct
-run, so a line that a third of all documents share makes a skewed join side only, which is split at run time.
+run and salt, so that a line that a third of all documents share is spread over tasks.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import has_word, text_column
 
+SALTS = 8
+
 
 def line_ids(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, seq (place among the lines that hold a word), line (place among all), and two 64-bit hashes of the line."""
@@ -36,7 +38,10 @@ def line_ids(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 def _ranked(rows: DataFrame, names: list[str]) -> DataFrame:
     """`rank` (the first position that has these names) for the rows whose names occur at several positions."""
     interval = rows.groupBy(*names).agg(F.min(F.struct("key", "seq")).alias("rank"), F.max(F.struct("key", "seq")).alias("end"))
-    return rows.join(interval.where("rank <> end").drop("end"), names).select("key", "seq", "line", "rank")
+    # The positions of one very common run are dealt to SALTS tasks; each finds a copy of the run's one row there.
+    copies = interval.where("rank <> end").select(*names, "rank", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "seq"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [*names, "salt"]).select("key", "seq", "line", "rank")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
