@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def plain(value):
         value = value.tolist()
     if isinstance(value, list):
         return str([plain(v) for v in value])
-    if value is None or value != value:
+    if pd.isna(value):
         return None
     return round(value, 6) if isinstance(value, float) else value.isoformat() if hasattr(value, "isoformat") else value
 
