@@ -201,10 +201,12 @@ def _tokens(texts: DataFrame, size: int) -> DataFrame:
 def _rest(shared: DataFrame, roots: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs still to be compared: of different components, and able to reach the similarity.
 
-    Only members of buckets that hold several components are left. Two sets of that similarity share one of the rarest
-    n - ceil(percent n) + 1 shingles of each, whatever order of rarity both follow; here it is the number of members
-    left that have the shingle. So a passage that very many unlike documents hold makes no pairs. Of the members that
-    meet in a shingle, those outside the largest component are paired with the others.
+    Only members of buckets that hold several components are left. Shingles are ordered by rarity, here the number of
+    members left that have one. Of two sets that reach the similarity t, the smaller one's first n - ceil(2 t n / (1 + t))
+    + 1 shingles and the larger one's first n - ceil(t n) + 1 have one in common, and from the first such on both have
+    enough left for the overlap. So members that differ from all others in too many shingles of their own, as those
+    that share but a common passage, make no pairs. Of the members that meet in a shingle, those outside the largest
+    component are paired with the others.
     """
     at = shared.select("band", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root"))
     mixed = at.groupBy("band").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("band")
@@ -214,16 +216,24 @@ def _rest(shared: DataFrame, roots: DataFrame, tried: DataFrame, texts: DataFram
     known = tokens.join(counts, "h").join(left, "rep")
     of = Window.partitionBy("rep")
     single = F.col("n") - F.count(F.lit(1)).over(of)  # shingles that no other member has are the rarest
-    rank = F.row_number().over(of.orderBy("df", "h"))
-    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = known.withColumn("single", single).withColumn("rank", rank).where(F.col("rank") <= needed - F.col("single")).select("h", "rep", "n", "root")
-    rare = checkpointed(rare)
+    placed = known.withColumn("single", single).withColumn("place", F.col("single") + F.row_number().over(of.orderBy("df", "h")))
+    n, both = F.col("n"), 100 + percent
+    probe = n - F.floor((percent * n + 99) / 100) + 1
+    index = n - F.floor((2 * percent * n + both - 1) / both) + 1
+    rare = checkpointed(placed.where(F.col("place") <= probe).select("h", "rep", "n", "root", "place", (F.col("place") <= index).alias("index")))
     sizes = rare.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
     split = sizes.groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    here = rare.join(split.select("h", "most"), "h")
-    few = here.where("root <> most").select("h", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("root_x"))
-    all_ = here.select("h", F.col("rep").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("root_y"))
-    pairs = few.join(all_, "h").where("root_x <> root_y").where(_fits(percent)).select(_ordered("x", "y").alias("p")).select("p.a", "p.b").distinct()
+    here = rare.join(split.select("h", "most"), "h").withColumn("few", F.col("root") != F.col("most"))
+    smaller = here.where("index").select("h", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("root_x"), F.col("place").alias("place_x"), F.col("few").alias("few_x"))
+    larger = here.select("h", F.col("rep").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("root_y"), F.col("place").alias("place_y"), F.col("few").alias("few_y"))
+    able = (
+        (F.col("root_x") != F.col("root_y"))
+        & (F.struct("n_a", F.col("x").alias("id")) < F.struct(F.col("n_b").alias("n_a"), F.col("y").alias("id")))
+        & (100 * F.col("n_a") >= percent * F.col("n_b"))
+        & (both * (1 + F.least(F.col("n_a") - F.col("place_x"), F.col("n_b") - F.col("place_y"))) >= percent * (F.col("n_a") + F.col("n_b")))
+    )
+    met = smaller.where("few_x").join(larger, "h").where(able).unionByName(smaller.where("NOT few_x").join(larger.where("few_y"), "h").where(able))
+    pairs = met.select(_ordered("x", "y").alias("p")).select("p.a", "p.b").distinct()
     return pairs.join(tried.select(_ordered("a", "b").alias("p")).select("p.a", "p.b"), ["a", "b"], "left_anti")
 
 
