@@ -26,4 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.SQL, "op3_minhash_near_dedup": near.SQL, "op5_decontamination": leaks.SQL, "op10_quality_rules": quality.SQL}
+    return {
+        "op1_line_dedup": lines.SQL,
+        "op2_secret_scan": secrets.SQL,
+        "op3_minhash_near_dedup": near.SQL,
+        "op5_decontamination": leaks.SQL,
+        "op9_suffix_dedup": substrings.SQL,
+        "op10_quality_rules": quality.SQL,
+    }

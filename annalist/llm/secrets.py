@@ -105,3 +105,26 @@ def op2(docs: DataFrame) -> DataFrame:
     return by_path(docs, findings).select(
         "doc_id", *(count(r) for r in BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), "blob"
     )
+
+
+def _rule_sql(k: int, rule: str) -> str:
+    """Spans of one rule in SQL: lengths of matches and of the gaps between them, added up."""
+    _, pattern, group, least, _ = RULES[rule]
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    size = "list_sum(list_transform({}[:{}], lambda y: length(y)))"
+    start = f"CAST(coalesce({size.format('gaps', 'i')}, 0) + coalesce({size.format('hits', 'i - 1')}, 0) AS BIGINT)"
+    return f"""SELECT doc_id, {start} AS start, {k} AS k, {start} + length(hits[i]) AS stop, '{rule}' AS rule FROM (
+      SELECT doc_id, hits, gaps, counted, unnest(range(1, len(hits) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(t, {quoted}) AS hits, regexp_split_to_array(t, {quoted}) AS gaps, regexp_extract_all(t, {quoted}, {group}) AS counted FROM d))
+      WHERE length(counted[i]) >= {least}"""
+
+
+_NAMED = "string_agg(rule || ':' || start || ':' || stop, ',' ORDER BY start, k)"
+#: The same in SQL.
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_rule_sql(k, r) for k, r in enumerate(RULES))}),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (rule = '{r}') AS n_{r}" for r in BASE)}, {_NAMED} FILTER (k < {len(BASE)}) AS base, {_NAMED} AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{r}, 0) AS BIGINT) AS n_{r}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
