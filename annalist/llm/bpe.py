@@ -28,7 +28,7 @@ from .common import text_column
 
 FAN = 32
 #: Entries that one Python worker remembers before it starts anew; a bound on memory only.
-MEMO = 800_000
+MEMO = 300_000
 _NONE = 1 << 62
 
 

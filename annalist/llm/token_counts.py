@@ -29,7 +29,7 @@ from .bpe import merge
 from .common import text_column
 
 CHUNK = 256
-MEMO = 400_000
+MEMO = 300_000
 #: Characters that are handled at a time.
 BATCH = 1 << 20
 
