@@ -5,9 +5,11 @@ run of lines that starts there: first by its line, then by pairs of ranks at gro
 of suffixes that share so long a prefix by its first position (smallest key, then line), so ranks need no global sort,
 and an interval of one suffix leaves. At `min_lines` lines the intervals that are left are the repeated runs; every
 position but an interval's first starts a later copy, the copies of a document are joined to maximal runs, and these
-lines are deleted, with the blank lines inside of them.
+lines are deleted, with the blank lines inside of them. With `alone_words`, a line of at least so many words is a run by
+itself: its later copies are deleted too, whatever stands around them.
 
-Defined results: a null text counts as empty and stays as it is; a document with fewer lines than `min_lines` keeps all;
+Defined results: a null text counts as empty and stays as it is; a document with fewer lines than `min_lines` keeps all
+but its later copies of long lines; words are cut at ASCII white space;
 overlapping copies count; repeated rows of one key are documents of one key, whose lines are ranked together and lose
 the same lines; rows with a null key are kept unchanged; an empty table gives an empty result; other columns are kept.
 Each rank is found by an aggregation that combines before the shuffle and is joined back as one row for each distinct
@@ -22,15 +24,18 @@ from pyspark.sql import functions as F
 from .common import has_word, text_column
 
 SALTS = 8
+_SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
-def line_ids(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, seq (place among the lines that hold a word), line (place among all), and two 64-bit hashes of the line."""
+def line_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", least_words: int = 1) -> DataFrame:
+    """key, seq (place among the lines that hold a word), line (place among all), and two 64-bit hashes of the line; of
+    the lines of at least `least_words` words."""
     lines = F.transform(F.split(text_column(text), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     worded = F.filter(lines, lambda s: has_word(s["x"]))
     return (
         docs.where(F.col(key).isNotNull())
         .select(F.col(key).alias("key"), F.posexplode(worded).alias("seq", "s"))
+        .where(F.lit(True) if least_words < 2 else F.col("s.x").rlike(rf"^{_SPACE}*+(?:{_WORD}++{_SPACE}++){{{least_words - 1}}}{_WORD}"))
         .select("key", "seq", F.col("s.line").alias("line"), F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit(1), "s.x").alias("h2"))
     )
 
@@ -44,7 +49,7 @@ def _ranked(rows: DataFrame, names: list[str]) -> DataFrame:
     return salted.join(copies, [*names, "salt"]).select("key", "seq", "line", "rank")
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_runs(docs: DataFrame, min_lines: int = 2, text: str = "text", key: str = "doc_id", alone_words: int | None = None) -> DataFrame:
     """key, first, last (places among all lines), n (lines that hold a word) of each maximal run of later copies."""
     ranked = _ranked(line_ids(docs, text, key), ["h1", "h2"])
     length = 1
@@ -54,9 +59,13 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, text: str = "text", key:
         pairs = ranked.withColumn("ahead", F.first("rank").over(ahead)).where(F.col("ahead").isNotNull())
         ranked = _ranked(pairs.withColumnRenamed("rank", "here"), ["here", "ahead"])
         length += gap
-    copies = ranked.where((F.col("rank.key") != F.col("key")) | (F.col("rank.seq") != F.col("seq")))
+    later = (F.col("rank.key") != F.col("key")) | (F.col("rank.seq") != F.col("seq"))
+    copies = ranked.where(later)
     # A copy covers min_lines lines from its start on; their places come from the lines themselves.
     covered = copies.select("key", F.explode(F.sequence(F.col("seq"), F.col("seq") + (min_lines - 1))).alias("seq")).distinct()
+    if alone_words is not None:
+        long = _ranked(line_ids(docs, text, key, alone_words), ["h1", "h2"]).where(later)
+        covered = covered.unionByName(long.select("key", "seq")).distinct()
     gone = covered.join(line_ids(docs, text, key).select("key", "seq", "line").distinct(), ["key", "seq"])
     island = F.col("seq") - F.row_number().over(Window.partitionBy("key").orderBy("seq"))
     return (
@@ -67,9 +76,9 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, text: str = "text", key:
     )
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 2, text: str = "text", key: str = "doc_id", alone_words: int | None = None) -> DataFrame:
     """The rows of `docs` with later copies of repeated runs cut from the text, and `n_runs` and `n_cut` (lines cut)."""
-    runs = repeated_runs(docs, min_lines, text, key)
+    runs = repeated_runs(docs, min_lines, text, key, alone_words)
     # At most as many runs as the document has lines.
     by_key = runs.groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"), F.count(F.lit(1)).alias("n_runs"), F.sum("n").alias("n_cut")

@@ -18,6 +18,8 @@ from annalist.llm import bpe, leaks, lines, near, quality
 from annalist.llm.common import documents, has_word, text_column
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A line of so many words is a repeated passage by itself.
+ALONE_WORDS = 50
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated line runs; a document of which no word is left goes."""
-    cut = lines.dedup_lines(docs)
+    """Texts without later copies of repeated runs of two lines or of long lines; a document of which no word is left goes."""
+    cut = lines.dedup_lines(docs, alone_words=ALONE_WORDS)
     kept = cut.where((F.col("n_cut") == 0) | has_word(text_column()))
     return kept.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -66,6 +66,24 @@ def test_line_dedup_against_brute_force(spark):
         assert {r.doc_id: r.n_cut for r in lines.dedup_lines(table(spark, texts), min_lines=n).collect()} == expected
 
 
+def test_line_dedup_of_single_long_lines(spark):
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    texts = [f"a\n{long}\nb", f"c\n\t{long}\nd\n{long}\ne", long, short, short, f"{long}\nz\n{long}"]
+    got = {r.doc_id: (r.text, r.n_runs, r.n_cut) for r in lines.dedup_lines(table(spark, texts), alone_words=50).collect()}
+    assert got == {0: (texts[0], 0, 0), 1: (f"c\n\t{long}\nd\ne", 1, 1), 2: ("", 1, 1), 3: (short, 0, 0), 4: (short, 0, 0), 5: ("z", 2, 2)}
+
+
+def test_pipeline_leaves_no_long_line_twice(spark):
+    import corpus_pipeline
+
+    seen = set()
+    for row in corpus_pipeline.line_dedup(spark, documents(spark, "/root/testdata/sf0.01"), "").collect():
+        for x in (row.text or "").split("\n"):
+            if len(x.split()) >= corpus_pipeline.ALONE_WORDS:
+                assert x not in seen, row.doc_id
+                seen.add(x)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
