@@ -95,7 +95,7 @@ def _push_stream(spark, d) -> DataFrame:
 
     stream = feeds.read_events(spark, d)
     wrong = F.col("event_id") % 10 == 0
-    commands = stream.select(F.col("user_id").alias("repo"), F.concat(F.lit("refs/heads/"), "event_type").alias("ref"), F.col("event_id").alias("seq"), F.when(wrong, "x").otherwise(H.ZERO_OID).alias("old"), F.lit(H.ZERO_OID).alias("new"))
+    commands = stream.select(F.col("user_id").alias("repo"), F.concat(F.lit("refs/heads/"), "event_type").alias("ref"), F.col("_metadata.file_path").alias("batch"), F.col("event_id").alias("seq"), F.when(wrong, "x").otherwise(H.ZERO_OID).alias("old"), F.lit(H.ZERO_OID).alias("new"))
     return feeds.replay(feeds.compare_and_set(commands))
 
 
@@ -138,7 +138,7 @@ QUERIES = {
     "log_best_first": (_best_first, None),
     "format_times": (_times, _TIMES_SQL),
     "stream_push_counts": (
-        lambda spark, d: feeds.replay(feeds.push_counts(feeds.read_events(spark, d), "1 day", "0 seconds")),
+        lambda spark, d: feeds.replay_latest(feeds.push_counts(feeds.read_events(spark, d), "1 day", None), ["window_start", "event_type"]),
         None,
     ),
     "stream_compare_and_set": (
