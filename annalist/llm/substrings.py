@@ -8,7 +8,9 @@ Doubling starts inside a document, where the pairs lie side by side, and only tw
    windows choose the anchor at the same distance, so a window whose anchor rank is unique is itself unique.
 2. For the anchors that are left, the bytes of all windows that chose them are sent once per chunk of documents. The
    receiver, which holds everything about its anchor ranks, sorts the ranks of the whole windows and answers, for each,
-   whether a document of smaller key has it.
+   whether a document of smaller key has it. Of an anchor rank of very many runs (a notice that is shorter than the
+   threshold, in ever other surroundings) no blocks are sent, but the ranks of their whole windows, each with its least
+   key in the chunk, to receivers by that rank, so that such an anchor is spread over all of them.
 
 Documents are dealt to chunks by a hash of the key; a chunk sends each distinct rank or block once, so that a passage
 that a third of all documents share reaches its receiver once a chunk. Ranks are 64-bit hashes of the pairs; receivers
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ ANCHOR = 20
 #: Bytes of text in a chunk, about, and bytes that numpy handles at a time.
 CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 17
+#: Runs of one anchor rank, about, beyond which it is spread by the ranks of its windows.
+HOT_RUNS = 1 << 15
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -121,13 +126,15 @@ class _Chunk:
         key = np.array([-1 if k is None else k for k in self.keys], np.int64)
         self.key = key[self.doc] if len(found) else np.zeros(0, np.int64)
 
-    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct anchor ranks, ascending, and which of them occur under several keys of the chunk."""
+    def ranks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct anchor ranks, ascending, which of them occur under several keys of the chunk, and the logarithm
+        to base 2 of how many runs have each, rounded up."""
         order, starts = _groups(self.rank)
         if not len(order):
-            return self.rank, np.zeros(0, bool)
+            return self.rank, np.zeros(0, bool), np.zeros(0, np.uint8)
         key = self.key[order]
-        return self.rank[order[starts]], np.minimum.reduceat(key, starts) < np.maximum.reduceat(key, starts)
+        size = np.ceil(np.log2(np.diff(starts, append=len(order)))).astype(np.uint8)
+        return self.rank[order[starts]], np.minimum.reduceat(key, starts) < np.maximum.reduceat(key, starts), size
 
     def blocks(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the runs whose rank is in `shared`: a run of each distinct block that has the smallest key, ordered by
@@ -141,6 +148,54 @@ class _Chunk:
         return order[new], place
 
 
+    def windows(self, runs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks of all windows of the runs, one run after the other, and the number of windows of each run."""
+        count = self.last[runs] - self.first[runs] + 1
+        data = b"".join(self.data[d][f : e + span].tobytes() for d, f, e in zip(self.doc[runs].tolist(), self.first[runs].tolist(), self.last[runs].tolist()))
+        return _window_ranks(np.frombuffer(data, np.uint8), count, span), count
+
+    def parcels(self, shared: np.ndarray, hot: np.ndarray, buckets: int, span: int) -> "_Parcels":
+        """What the chunk has to ask: blocks by the bucket of their anchor rank, windows of hot ones by that of their own."""
+        runs, place = self.blocks(shared)
+        is_hot = np.isin(self.rank[runs], hot)
+        whole, count = self.windows(runs[is_hot], span)
+        rank, least, at = _least(whole, np.repeat(self.key[runs[is_hot]], count))
+        cold = np.flatnonzero(~is_hot)
+        blocks = {b: cold[i] for b, i in _spread(_bucket(self.rank[runs[cold]], buckets))}
+        return _Parcels(runs, place, is_hot, rank, least, at, blocks, dict(_spread(_bucket(rank, buckets))))
+
+
+class _Parcels(NamedTuple):
+    runs: np.ndarray
+    place: np.ndarray
+    #: Which of the runs have a hot anchor; the distinct window ranks of these, their least keys, and which of them each window has.
+    is_hot: np.ndarray
+    rank: np.ndarray
+    least: np.ndarray
+    at: np.ndarray
+    #: By bucket: places in `runs`, and places in `rank`.
+    blocks: dict[int, np.ndarray]
+    hot: dict[int, np.ndarray]
+
+
+def _window_ranks(data: np.ndarray, windows: np.ndarray, span: int) -> np.ndarray:
+    """The ranks of the windows of blocks that lie one after the other; `windows` is how many each block has."""
+    start = np.cumsum(windows + span - 1) - (windows + span - 1)
+    (whole,) = prefix_ranks(data, span)
+    # The windows of block b start at start[b] .. start[b] + windows[b] - 1.
+    return whole[np.arange(windows.sum()) + np.repeat(start - (np.cumsum(windows) - windows), windows)]
+
+
+def _least(rank: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ranks, ascending, the least key of each, and for each rank given its place among them."""
+    order, starts = _groups(rank)
+    if not len(order):
+        return rank, key, order
+    at = np.empty(len(order), np.int64)
+    at[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(order)))
+    return rank[order[starts]], np.minimum.reduceat(key[order], starts), at
+
+
 def _bucket(rank: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(rank * _B) % np.uint64(buckets)).astype(np.int64)
 
@@ -149,35 +204,36 @@ def _column(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(b, kind) for b in table.column(name).to_pylist()]
 
 
-def _answer_ranks(table: pa.Table) -> pa.Table:
-    """For each chunk's ranks: a byte each, 1 if another chunk has the rank too."""
-    sent = _column(table, "ranks", np.uint64)
-    sizes = [len(x) for x in sent]
-    _, at, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-    answers = np.split((count[at] > 1).astype(np.uint8), np.cumsum(sizes)[:-1])
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "answer": pa.array([a.tobytes() for a in answers], pa.binary())})
+def _answer_ranks(hot_runs: int):
+    def answer(table: pa.Table) -> pa.Table:
+        """For each chunk's ranks: a byte each, 1 if another chunk has the rank too, 2 if they have very many runs of it."""
+        sent, logs = _column(table, "ranks", np.uint64), np.concatenate(_column(table, "sizes", np.uint8))
+        sizes = [len(x) for x in sent]
+        _, at, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        runs = np.bincount(at, np.exp2(logs), len(count))
+        answers = np.split(((count > 1).astype(np.uint8) + ((count > 1) & (runs > hot_runs)))[at].astype(np.uint8), np.cumsum(sizes)[:-1])
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "answer": pa.array([a.tobytes() for a in answers], pa.binary())})
+
+    return answer
+
+
+def _later(ranks: np.ndarray, keys: np.ndarray, sizes: list[int]) -> pa.Array:
+    """For each (rank, key), a byte: 1 if the rank has a smaller key; in parts of these sizes."""
+    _, least, at = _least(ranks, keys)
+    out = (keys > least[at]).astype(np.uint8)
+    return pa.array([p.tobytes() for p in np.split(out, np.cumsum(sizes)[:-1])], pa.binary())
 
 
 def _answer_blocks(span: int):
     def answer(table: pa.Table) -> pa.Table:
-        """For each chunk's blocks: a byte for each window, 1 if a document of smaller key has it."""
+        """For each chunk's blocks, and for its single windows: a byte for each window, 1 if a document of smaller key has it."""
         keys, counts = np.concatenate(_column(table, "keys", np.int64)), _column(table, "windows", np.uint8)
-        rows = [int(c.sum()) for c in counts]
         windows = np.concatenate(counts).astype(np.int64)
         data = np.concatenate(_column(table, "bytes", np.uint8))
-        length = windows + span - 1
-        start = np.cumsum(length) - length
-        (whole,) = prefix_ranks(data, span)
-        # The windows of block b start at start[b] .. start[b] + windows[b] - 1.
-        at = np.arange(windows.sum()) + np.repeat(start - (np.cumsum(windows) - windows), windows)
-        rank, key = whole[at], np.repeat(keys, windows)
-        order, starts = _groups(rank)
-        key = key[order]
-        least = np.repeat(np.minimum.reduceat(key, starts), np.diff(starts, append=len(key)))
-        out = np.empty(len(at), np.uint8)
-        out[order] = key > least
-        parts = np.split(out, np.cumsum(rows)[:-1])
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "answer": pa.array([p.tobytes() for p in parts], pa.binary())})
+        blocks = _later(_window_ranks(data, windows, span), np.repeat(keys, windows), [int(c.sum()) for c in counts])
+        hot = _column(table, "hot", np.uint64)
+        singles = _later(np.concatenate(hot), np.concatenate(_column(table, "hot_keys", np.int64)), [len(h) for h in hot])
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "answer": blocks, "hot": singles})
 
     return answer
 
@@ -186,13 +242,15 @@ def _by_bucket(table: pa.Table, column: str) -> dict[int, np.ndarray]:
     return {b: np.frombuffer(a, np.uint8) for b, a in zip(table.column("bucket").to_pylist(), table.column(column).to_pylist()) if a is not None}
 
 
-def _shared(chunk: _Chunk, answers: dict[int, np.ndarray], buckets: int) -> np.ndarray:
-    """The anchor ranks of the chunk that occur under several keys, here or elsewhere."""
-    rank, several = chunk.ranks()
-    bucket = _bucket(rank, buckets)
+def _shared(chunk: _Chunk, answers: dict[int, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor ranks of the chunk that occur under several keys, here or elsewhere, and those of very many runs."""
+    rank, several, _ = chunk.ranks()
+    bucket, hot = _bucket(rank, buckets), np.zeros(len(rank), bool)
     for b, answer in answers.items():
-        several[bucket == b] |= answer.astype(bool)
-    return rank[several]
+        mine = bucket == b
+        several[mine] |= answer > 0
+        hot[mine] = answer > 1
+    return rank[several], rank[hot]
 
 
 def _spread(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -202,7 +260,7 @@ def _spread(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     return ((int(bucket[part[0]]), part) for part in np.split(order, cuts) if len(part))
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "text", key: str = "doc_id", hot_runs: int = HOT_RUNS) -> DataFrame:
     """`key` (long), `n_bytes`, `n_removed`, `n_spans` and `kept` (binary): each text without the bytes that lie in a string of
     `span` bytes that also starts in a document of smaller key."""
     spark = docs.sparkSession
@@ -216,23 +274,26 @@ def remove_repeats(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text:
         return _Chunk(table.column("key").to_pylist(), table.column("text").to_pylist(), span, anchor)
 
     def send_ranks(table: pa.Table) -> pa.Table:
-        rank, _ = read(table).ranks()
-        found = [(b, rank[i].tobytes()) for b, i in _spread(_bucket(rank, buckets))]
+        rank, _, size = read(table).ranks()
+        found = [(b, rank[i].tobytes(), size[i].tobytes()) for b, i in _spread(_bucket(rank, buckets))]
         number = table.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([number] * len(found), pa.int64()), "bucket": pa.array([f[0] for f in found], pa.int64()), "ranks": pa.array([f[1] for f in found], pa.binary())})
+        return pa.table({"chunk": pa.array([number] * len(found), pa.int64()), "bucket": pa.array([f[0] for f in found], pa.int64()), "ranks": pa.array([f[1] for f in found], pa.binary()), "sizes": pa.array([f[2] for f in found], pa.binary())})
 
     def send_blocks(table: pa.Table, answers: pa.Table) -> pa.Table:
-        columns: dict[str, list] = {"chunk": [], "bucket": [], "keys": [], "windows": [], "bytes": []}
+        columns: dict[str, list] = {"chunk": [], "bucket": [], "keys": [], "windows": [], "bytes": [], "hot": [], "hot_keys": []}
         if table.num_rows:
             chunk = read(table)
-            runs, _ = chunk.blocks(_shared(chunk, _by_bucket(answers, "answer"), buckets))
-            for b, i in _spread(_bucket(chunk.rank[runs], buckets)):
-                run = runs[i]
+            parcels = chunk.parcels(*_shared(chunk, _by_bucket(answers, "answer"), buckets), buckets, span)
+            none = np.zeros(0, np.int64)
+            for b in sorted({*parcels.blocks, *parcels.hot}):
+                run, single = parcels.runs[parcels.blocks.get(b, none)], parcels.hot.get(b, none)
                 columns["chunk"].append(table.column("chunk")[0].as_py())
                 columns["bucket"].append(b)
                 columns["keys"].append(chunk.key[run].tobytes())
                 columns["windows"].append((chunk.last[run] - chunk.first[run] + 1).astype(np.uint8).tobytes())
                 columns["bytes"].append(b"".join(chunk.data[d][f : e + span].tobytes() for d, f, e in zip(chunk.doc[run].tolist(), chunk.first[run].tolist(), chunk.last[run].tolist())))
+                columns["hot"].append(parcels.rank[single].tobytes())
+                columns["hot_keys"].append(parcels.least[single].tobytes())
         kinds = {"chunk": pa.int64(), "bucket": pa.int64()}
         return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in columns.items()})
 
@@ -240,14 +301,22 @@ def remove_repeats(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text:
         if not table.num_rows:
             return pa.table({c: pa.array([], t) for c, t in _RESULT})
         chunk = read(table)
-        runs, place = chunk.blocks(_shared(chunk, _by_bucket(answers, "ranks"), buckets))
+        parcels = chunk.parcels(*_shared(chunk, _by_bucket(answers, "ranks"), buckets), buckets, span)
+        runs, place = parcels.runs, parcels.place
         windows = chunk.last[runs] - chunk.first[runs] + 1
         verdict = np.zeros(int(windows.sum()), bool)
         start = np.cumsum(windows) - windows
         blocks = _by_bucket(answers, "blocks")
-        for b, i in _spread(_bucket(chunk.rank[runs], buckets)):
+        for b, i in parcels.blocks.items():
             at = np.arange(windows[i].sum()) + np.repeat(start[i] - (np.cumsum(windows[i]) - windows[i]), windows[i])
             verdict[at] = blocks[b].astype(bool)
+        # A window of a hot anchor is a repeat if its least key here isn't the least, or is not this block's.
+        single, elsewhere = _by_bucket(answers, "hot"), np.zeros(len(parcels.rank), bool)
+        for b, i in parcels.hot.items():
+            elsewhere[i] = single[b].astype(bool)
+        key = np.repeat(chunk.key[runs], windows)
+        hot = np.repeat(parcels.is_hot, windows)
+        verdict[hot] = elsewhere[parcels.at] | (key[hot] > parcels.least[parcels.at])
         # A block that the chunk has under a smaller key is a repeat as a whole.
         later = np.zeros(len(place), bool)
         known = place >= 0
@@ -269,12 +338,13 @@ def remove_repeats(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text:
             rows.append((k, len(data), int(gone.sum()), n_spans, data[~gone].tobytes()))
         return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(_RESULT)})
 
-    ranks = dealt.groupBy("chunk").applyInArrow(send_ranks, "chunk long, bucket long, ranks binary")
-    shared = ranks.groupBy("bucket").applyInArrow(_answer_ranks, "chunk long, bucket long, answer binary")
-    sent = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send_blocks, "chunk long, bucket long, keys binary, windows binary, bytes binary")
-    repeats = sent.groupBy("bucket").applyInArrow(_answer_blocks(span), "chunk long, bucket long, answer binary")
-    both = shared.select("chunk", "bucket", F.col("answer").alias("ranks"), F.lit(None).cast("binary").alias("blocks")).unionAll(
-        repeats.select("chunk", "bucket", F.lit(None).cast("binary"), "answer")
+    ranks = dealt.groupBy("chunk").applyInArrow(send_ranks, "chunk long, bucket long, ranks binary, sizes binary")
+    shared = ranks.groupBy("bucket").applyInArrow(_answer_ranks(hot_runs), "chunk long, bucket long, answer binary")
+    sent = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send_blocks, "chunk long, bucket long, keys binary, windows binary, bytes binary, hot binary, hot_keys binary")
+    repeats = sent.groupBy("bucket").applyInArrow(_answer_blocks(span), "chunk long, bucket long, answer binary, hot binary")
+    none = F.lit(None).cast("binary")
+    both = shared.select("chunk", "bucket", F.col("answer").alias("ranks"), none.alias("blocks"), none.alias("hot")).unionAll(
+        repeats.select("chunk", "bucket", none, "answer", "hot")
     )
     kept = dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
     return kept.withColumnRenamed("key", key)

@@ -243,6 +243,33 @@ def test_repeated_strings_over_chunks(spark, monkeypatch):
     assert got == substrings.brute_force(texts)
 
 
+def test_hot_anchors_are_spread():
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    notice = letters(40)
+    chunk = substrings._Chunk(list(range(300)), [letters(30) + notice + letters(30) for _ in range(300)], 50, 20)
+    rank, _, size = chunk.ranks()
+    hot = rank[size >= 8]
+    assert len(hot)
+    cold = chunk.parcels(hot, hot[:0], 64, 50)
+    spread = chunk.parcels(hot, hot, 64, 50)
+    assert len(cold.blocks) <= len(hot) and not cold.hot and not spread.blocks
+    assert len(spread.hot) == 64 and 4 * max(map(len, spread.hot.values())) < len(spread.rank)
+
+
+@pytest.mark.parametrize("hot_runs", [1, 8])
+def test_hot_anchors_against_brute_force(spark, hot_runs):
+    rng = random.Random(hot_runs)
+    notices = ["".join(rng.choice("abcdef") for _ in range(n)) for n in (25, 40, 49, 70)]
+    texts = ["".join(rng.choice(["xy", "xyz", "q"]) * rng.randrange(30) + rng.choice(notices) for _ in range(rng.randrange(5))) for _ in range(120)] + [None, ""]
+    docs = table(spark, texts).select("doc_id", "text")
+    got = {r.doc_id: r for r in substrings.remove_repeats(docs, hot_runs=hot_runs).collect()}
+    expected = substrings.brute_force(dict(enumerate(texts)))
+    assert sum(e[1] for e in expected.values()) > 0
+    for k, (n, removed, runs, digest) in expected.items():
+        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, hashlib.sha256(got[k].kept).hexdigest()) == (n, removed, runs, digest)
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(8)
     vocabulary = [a + b for a in "abcdefgh" for b in "uvwxyz"]
