@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,18 +80,23 @@ _FOLD_ANY = re.compile("[" + "".join(map(re.escape, _FOLD)) + "]")
 _SPOKEN = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _WORD = "|".join(sorted(_SPOKEN, key=len, reverse=True))
 # At least eight in a row: a shorter row of number words is ordinary speech.
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?:{_WORD})[ ,.-]{{1,2}}){{7,18}}+(?:{_WORD})(?![A-Za-z])", re.I)
+_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORD})(?:[ ,.-]{{1,2}}(?:{_WORD})(?![A-Za-z])){{7,}}+", re.I)
 _ONE = re.compile(_WORD, re.I)
+# Number words beside digits, other number words or spoken dots, however few; the detectors' own tests decide.
+_UNIT = rf"(?:[0-9]++|(?:{_WORD})(?![A-Za-z]))"
+_DOT = r"(?:[ ]dot[ ]|\s{0,2}[\[({<]\s?(?:dot|[.])\s?[\])}>]\s{0,2})"
+_MIXED = re.compile(rf"(?<![A-Za-z0-9]){_UNIT}(?:(?:{_DOT}|[ ,.-]{{1,2}}){_UNIT})++", re.I)
+_NUMBER = re.compile(rf"[0-9]+|{_WORD}", re.I)
 _SPELLED_PLUS = re.compile(r"(?<![A-Za-z])plus[ ]+(?=[0-9])", re.I)
 _MARK = r"\s{0,2}[\[({<]\s?%s\s?[\])}>]\s{0,2}"
 _DISGUISE = re.compile(
     rf"(?P<at>{_MARK % 'at'}|{_MARK % '@'})|(?P<dot>{_MARK % 'dot'}|{_MARK % '[.]'})"
-    # Spoken forms count only together: name at host dot domain.
-    r"|(?<=[A-Za-z0-9])(?P<says> at )(?=[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-]))"
+    # A spoken "at" counts only before a domain, of spoken dots or of points and a last part in letters.
+    r"|(?<=[A-Za-z0-9])(?P<says> at )(?=[A-Za-z0-9-]{1,63}(?:(?: dot [A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-])|(?:\.[A-Za-z0-9-]{1,63}){0,3}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])))"
     r"|(?<=[A-Za-z0-9])(?P<point> dot )(?=[A-Za-z0-9-])",
     re.I,
 )
-_CUE = re.compile(rf"[\[({{<]\s?(?:at|dot|@|[.])\s?[\])}}>]| dot |(?:{_WORD})[ ,.-]{{1,2}}(?:{_WORD})[ ,.-]", re.I)
+_CUE = re.compile(rf"[\[({{<]\s?(?:at|dot|@|[.])\s?[\])}}>]| dot | at (?=[a-z0-9.-]+\.[a-z])|(?:{_WORD})[ ,.-]{{1,2}}(?:{_WORD}|[0-9])|[0-9][ ,.-]{{1,2}}(?:{_WORD})", re.I)
 
 
 class Tape:
@@ -113,44 +119,74 @@ class Tape:
         self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
 
 
-def _undisguise(text: str) -> Tape | None:
-    """The tape after all transducers, or None if nothing in the text is disguised."""
-    folds = not text.isascii() and _FOLD_ANY.search(text)
-    if not folds and not _CUE.search(text):
-        return None
-    tape, changed = Tape(text), False
-    if folds:
-        tape.text = _FOLD_ANY.sub(lambda m: _FOLD[m[0]], text)
-        changed = True
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """Edits of long rows of number words: each word becomes its digit, and what stands between two goes with the second."""
     edits = []
-    for m in _SPELLED.finditer(tape.text):
-        words = list(_ONE.finditer(tape.text, *m.span()))
-        # Each word becomes its digit, and what stands between two words goes with the second.
+    for m in _SPELLED.finditer(text):
+        words = list(_ONE.finditer(text, *m.span()))
         edits += [(words[i - 1].end() if i else w.start(), w.end(), _SPOKEN[w[0].lower()]) for i, w in enumerate(words)]
-    if edits:
-        tape.rewrite(edits)
+    return edits
+
+
+def _mixed(text: str, points: bool) -> list[tuple[int, int, str]]:
+    """Edits of rows of number words and digits: spoken dots become points, and what stands beside a number word goes,
+    but for a single point, if `points`."""
+    edits = []
+    for m in _MIXED.finditer(text):
+        units = list(_NUMBER.finditer(text, *m.span()))
+        for i, u in enumerate(units):
+            digit = _SPOKEN.get(u[0].lower())
+            if not i:
+                edits += [(*u.span(), digit)] if digit else []
+                continue
+            start = units[i - 1].end()
+            between = text[start : u.start()]
+            dotted = len(between) > 2 or (points and between == ".")
+            if dotted or digit or units[i - 1][0].lower() in _SPOKEN:
+                edits.append((start, u.end(), "." * dotted + (digit or u[0])))
+    return edits
+
+
+def _rewritten(text: str, edits: Callable[[str], list[tuple[int, int, str]]]) -> Tape | None:
+    """The tape after all transducers, or None if they change nothing."""
+    tape = Tape(text)
+    tape.text = _FOLD_ANY.sub(lambda m: _FOLD[m[0]], text)
+    changed = tape.text != text
+    numbers = edits(tape.text)
+    if numbers:
+        tape.rewrite(numbers)
         tape.rewrite([(*m.span(), "+") for m in _SPELLED_PLUS.finditer(tape.text)])
     marks = [(*m.span(), "@" if m.lastgroup in ("at", "says") else ".") for m in _DISGUISE.finditer(tape.text)]
     if any(x[2] == "@" for x in marks) or "@" in tape.text or any(c in tape.text for c in "[({<"):
         tape.rewrite(marks)
-        edits += marks
-    return tape if changed or edits else None
+        changed = changed or bool(marks)
+    return tape if changed or numbers else None
+
+
+def _undisguise(text: str) -> list[Tape]:
+    """The tapes of the ways to read a text's number words; none if nothing in the text is disguised."""
+    if (text.isascii() or not _FOLD_ANY.search(text)) and not _CUE.search(text):
+        return []
+    ways = (_spelled, lambda t: _mixed(t, False), lambda t: _mixed(t, True))
+    tapes = [_rewritten(text, w) for w in ways]
+    return [t for i, t in enumerate(tapes) if t is not None and all(u is None or u.text != t.text for u in tapes[:i])]
 
 
 def find_all(text: str) -> tuple[list[Span], list[Span]]:
-    """(base spans, spans that only the rewritten text shows), each by kind as listed and then by start."""
+    """(base spans, spans that only a rewritten text shows), each by kind as listed and then by start."""
     base = find(text)
-    tape = _undisguise(text)
-    if tape is None:
-        return base, []
     taken = sorted(s[1:] for s in base)
-    added = []
-    for kind, a, b in find(tape.text):
-        start, end = tape.starts[a], tape.ends[b - 1]
-        i = bisect_left(taken, (end,))
-        if all(e <= start for _, e in taken[max(0, i - 4) : i]):
-            added.append((kind, start, end))
-    return base, added
+    added: list[Span] = []
+    for tape in _undisguise(text):
+        new = []
+        for kind, a, b in find(tape.text):
+            start, end = tape.starts[a], tape.ends[b - 1]
+            i = bisect_left(taken, (end,))
+            if all(e <= start for _, e in taken[max(0, i - 4) : i]):
+                new.append((kind, start, end))
+        added += new
+        taken = sorted([*taken, *(s[1:] for s in new)])
+    return base, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def detect(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -226,6 +226,29 @@ def test_personal_data_in_disguise(spark):
     assert got[len(cases)].added == got[len(cases)].base == got[len(cases) + 1].added == []
 
 
+@pytest.mark.parametrize(
+    "before,kind,part,after",
+    [
+        ("write to ", "email", "bob at gmail.com", " or call"),
+        ("write to ", "email", "bob.b at mail.site.co.uk", "."),
+        ("call ", "phone", "+49 171 one two three four five six seven", " now"),
+        ("call ", "phone", "plus 49 one seven one 1234567", ""),
+        ("host ", "ip", "one nine two dot one six eight dot one dot one", " is up"),
+        ("host ", "ip", "192 dot 168 dot one dot 1", " is up"),
+        ("host ", "ip", "192.168.one.one", " is up"),
+        ("card ", "card", "4111 1111 1111 one one one one", "!"),
+        ("5. ", "card", "four " + "one " * 14 + "one", " is it"),
+    ],
+)
+def test_personal_data_in_mixed_disguise(before, kind, part, after):
+    assert pii.find_all(before + part + after) == ([], [(kind, len(before), len(before + part))])
+
+
+def test_ordinary_speech_is_no_personal_data():
+    for text in ("we met at noon. One of us, or two. 3 more", "one two three", "at 10.30 we were at home", "in 2024, one or two of 30 dot com firms", "one " * 30):
+        assert pii.find_all(text) == ([], []), text
+
+
 @pytest.mark.parametrize("span,anchor", [(50, 20), (12, 5), (8, 8)])
 def test_repeated_strings_against_brute_force(spark, span, anchor):
     rng = random.Random(span)
