@@ -3,14 +3,15 @@
 Every line of a text that holds a word is a possible header: its sparse TF-IDF vector is compared by cosine with those of
 the licence templates, and lines of at least `threshold` carry the licence of the best template. The template table is a
 fixed list of some dozen rows, so its term weights are broadcast; words outside it only lengthen a line's vector, as
-distinct terms of the largest weight. A document is a licence file if licence lines hold at least half of its
-characters.
+distinct terms of the largest weight. A line "SPDX-License-Identifier" carries the licence that it names. A document is
+a licence file if licence lines hold at least half of its characters, or if it is a licence as a whole: the vector of all
+its words, however they are cut into lines, is compared in the same way with those of the texts in `licence_texts`.
 
 Licences are then inherited: a document without one takes that of the nearest ancestor directory that holds a licence
 file, by an equality join of the ancestors of its directory with the directories of licence files.
 
 Defined results: a null or empty text holds no licence; several licences in one text are all listed, sorted, and the
-best one (largest cosine, then name) stands for the text; of several licence files in a directory the one of the
+best one (largest cosine, then name; that of the whole text before those of lines) stands for the text; of several licence files in a directory the one of the
 smallest path counts; rows with a null path hold none; repeated rows of one path count as one text; an empty table gives an empty
 result; other columns are not read.
 """
@@ -18,6 +19,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,14 @@ TEMPLATES: list[tuple[str, str]] = [
 #: A line of common words alone would otherwise need a comparison with every template.
 STOP = ("the", "of", "and", "to", "in", "is", "a", "this", "any", "or", "with", "for", "are", "that", "as", "by", "it", "on", "be")
 THRESHOLD = 0.6
+#: Least cosine of a whole text with the text of a licence.
+FILE_THRESHOLD = 0.8
+#: Names in SPDX headers, in lower case.
+SPDX = {
+    f"{name}{end}".lower(): name
+    for name in {*(licence for licence, _ in TEMPLATES), "LGPL-2.1", "BSD-2-Clause"}
+    for end in (("", "-only", "-or-later", "+") if "GPL" in name else ("",))
+}
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -58,24 +68,88 @@ def _terms(text: str) -> list[str]:
     return [w for w in re.findall(_WORD, text.lower()) if w not in STOP]
 
 
-def template_terms(spark: SparkSession) -> tuple[DataFrame, float]:
-    """term, idf, and the (template, licence, weight) of the templates that have it, of unit length; and the weight of
-    a term outside the templates."""
-    n = len(TEMPLATES)
-    terms = [_terms(t) for _, t in TEMPLATES]
+def _vectors(templates: list[tuple[str, str]]) -> tuple[dict[str, float], list[dict[str, float]]]:
+    """The weight of each term, and the vector of each template, of unit length."""
+    n = len(templates)
+    terms = [_terms(t) for _, t in templates]
     df: dict[str, int] = {}
     for ts in terms:
         for t in set(ts):
             df[t] = df.get(t, 0) + 1
     idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in df.items()}
-    weights: dict[str, list[tuple[int, str, float]]] = {t: [] for t in df}
-    for i, (licence, _) in enumerate(TEMPLATES):
-        own = {t: terms[i].count(t) * idf[t] for t in set(terms[i])}
+    vectors = []
+    for ts in terms:
+        own = {t: ts.count(t) * idf[t] for t in set(ts)}
         length = math.sqrt(sum(v * v for v in own.values()))
+        vectors.append({t: v / length for t, v in own.items()})
+    return idf, vectors
+
+
+def template_terms(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> tuple[DataFrame, float]:
+    """term, idf, and the (template, licence, weight) of the templates that have it, of unit length; and the weight of
+    a term outside the templates."""
+    idf, vectors = _vectors(templates)
+    weights: dict[str, list[tuple[int, str, float]]] = {t: [] for t in idf}
+    for i, ((licence, _), own) in enumerate(zip(templates, vectors)):
         for t, v in own.items():
-            weights[t].append((i, licence, v / length))
-    table = spark.createDataFrame([(t, idf[t], weights[t]) for t in sorted(df)], "term string, idf double, at array<struct<template:int,licence:string,weight:double>>")
-    return table, math.log(1 + n) + 1
+            weights[t].append((i, licence, v))
+    table = spark.createDataFrame([(t, idf[t], weights[t]) for t in sorted(idf)], "term string, idf double, at array<struct<template:int,licence:string,weight:double>>")
+    return table, math.log(1 + len(templates)) + 1
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """The texts of whole licences by SPDX name."""
+    return [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+
+
+def _any_of(terms: set[str]) -> str:
+    listed = "|".join(sorted(terms, key=lambda t: (-len(t), t))).replace(".", r"\.")
+    return rf"(?<![a-z0-9])(?:{listed})(?![a-z0-9])"
+
+
+def _needed(templates: list[tuple[str, str]], threshold: float) -> set[str]:
+    """Terms of which a text has one if its cosine with a template reaches `threshold`: of each template the heaviest,
+    whose squares add up to more than 1 - threshold ** 2, so that the others alone can't reach it."""
+    needed: set[str] = set()
+    for own in _vectors(templates)[1]:
+        left = 1.0
+        for t in sorted(own, key=lambda t: (-own[t], t)):
+            if left < threshold**2 - 1e-6:
+                break
+            needed.add(t)
+            left -= own[t] ** 2
+    return needed
+
+
+def _cosines(rows: DataFrame, row: list[str], table: DataFrame, unknown: float, threshold: float) -> DataFrame:
+    """The columns `row`, licence and cosine of each of `rows` (row, terms) and template that reach `threshold`."""
+    found = rows.select(*row, F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).join(F.broadcast(table), "term")
+    counts = found.groupBy(*row, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"), F.first("at").alias("at"))
+    parts = F.transform("at", lambda a: F.struct(a["template"].alias("template"), a["licence"].alias("licence"), (a["weight"] * F.col("tf") * F.col("idf")).alias("part")))
+    # At most one entry for each term and template that has it.
+    per_row = counts.groupBy(*row, "n_terms").agg(
+        F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("known"), F.sum("tf").alias("n_known"), F.flatten(F.collect_list(parts)).alias("parts")
+    )
+    length = F.sqrt(F.col("known") + (F.col("n_terms") - F.col("n_known")) * (unknown * unknown))
+    scores = per_row.select(*row, length.alias("length"), F.inline("parts")).groupBy(*row, "length", "template", "licence").agg(F.sum("part").alias("dot"))
+    return scores.withColumn("cosine", F.round(F.col("dot") / F.col("length"), 9)).where(F.col("cosine") >= threshold).select(*row, "licence", "cosine")
+
+
+def _term_column(text: str):
+    return F.filter(F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1)), lambda w: ~w.isin(*STOP))
+
+
+def licence_texts(docs: DataFrame, threshold: float = FILE_THRESHOLD, text: str = "text", key: str = "path") -> DataFrame:
+    """key, licence and cosine of each text that is a licence as a whole."""
+    texts = full_texts()
+    table, unknown = template_terms(docs.sparkSession, texts)
+    lower = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(text_column(text)).alias("x"))
+    near = lower.where(F.col("x").rlike(_any_of(_needed(texts, threshold))))
+    # Repeated rows of one path are one text.
+    words = near.select("key", F.xxhash64("x").alias("h"), _term_column("x").alias("terms")).dropDuplicates(["key", "h"])
+    best = F.min(F.struct((-F.col("cosine")).alias("rank"), "licence"))
+    scored = _cosines(words, ["key", "h"], table, unknown, threshold)
+    return scored.groupBy("key").agg(best.alias("best")).select("key", F.col("best.licence").alias("licence"), (-F.col("best.rank")).alias("cosine"))
 
 
 def licence_lines(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "path") -> DataFrame:
@@ -84,33 +158,27 @@ def licence_lines(docs: DataFrame, threshold: float = THRESHOLD, text: str = "te
     split = F.posexplode(F.split(F.lower(text_column(text)), "\n")).alias("line", "x")
     lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.length(text).alias("total"), split)
     # A line without any template term has cosine 0.
-    hint = "|".join(sorted({t for _, notice in TEMPLATES for t in _terms(notice)}, key=lambda t: (-len(t), t))).replace(".", r"\.")
-    near = lines.where(F.col("x").rlike(rf"(?<![a-z0-9])(?:{hint})(?![a-z0-9])"))
-    terms = F.filter(F.regexp_extract_all("x", F.lit(f"({_WORD})"), F.lit(1)), lambda w: ~w.isin(*STOP))
+    near = lines.where(F.col("x").rlike(_any_of({t for _, notice in TEMPLATES for t in _terms(notice)})))
     line = ["key", "line", "n_chars", "total"]
+    n_chars = F.length("x").alias("n_chars")
     # Repeated rows of one path are one text.
-    words = near.select("key", "line", F.length("x").alias("n_chars"), "total", terms.alias("terms")).distinct()
-    found = words.select(*line, F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).join(F.broadcast(table), "term")
-    counts = found.groupBy(*line, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"), F.first("at").alias("at"))
-    parts = F.transform("at", lambda a: F.struct(a["template"].alias("template"), a["licence"].alias("licence"), (a["weight"] * F.col("tf") * F.col("idf")).alias("part")))
-    # At most one entry for each term and template that has it.
-    per_line = counts.groupBy(*line, "n_terms").agg(
-        F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("known"), F.sum("tf").alias("n_known"), F.flatten(F.collect_list(parts)).alias("parts")
-    )
-    length = F.sqrt(F.col("known") + (F.col("n_terms") - F.col("n_known")) * (unknown * unknown))
-    scores = per_line.select(*line, length.alias("length"), F.inline("parts")).groupBy(*line, "length", "template", "licence").agg(F.sum("part").alias("dot"))
-    scored = scores.withColumn("cosine", F.round(F.col("dot") / F.col("length"), 9)).where(F.col("cosine") >= threshold)
+    words = near.select("key", "line", n_chars, "total", _term_column("x").alias("terms")).distinct()
+    names = F.create_map(*(F.lit(x) for pair in sorted(SPDX.items()) for x in pair))
+    named = lines.select("key", "line", n_chars, "total", names[F.regexp_extract("x", r"spdx-license-identifier:\s*([a-z0-9.+-]+)", 1)].alias("licence"), F.lit(1.0).alias("cosine"))
+    scored = _cosines(words, line, table, unknown, threshold).unionByName(named.where(F.col("licence").isNotNull()))
     best = F.min(F.struct((-F.col("cosine")).alias("rank"), "licence"))
     return scored.groupBy(*line).agg(best.alias("best")).select(*line, F.col("best.licence").alias("licence"), (-F.col("best.rank")).alias("cosine"))
 
 
 def scan(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
     """path, licences (sorted), licence (the best), cosine, is_file of each text that holds a licence."""
-    found = licence_lines(docs, text=text, key=path)
+    by_line = licence_lines(docs, text=text, key=path).withColumn("whole", F.lit(False))
+    by_text = licence_texts(docs, text=text, key=path).withColumn("whole", F.lit(True))
+    found = by_line.unionByName(by_text, allowMissingColumns=True)
     return found.groupBy("key").agg(
         F.array_sort(F.collect_set("licence")).alias("licences"),
-        F.min(F.struct((-F.col("cosine")).alias("rank"), "licence")).alias("best"),
-        (2 * F.sum("n_chars") >= F.max("total")).alias("is_file"),
+        F.min(F.struct((~F.col("whole")).alias("line"), (-F.col("cosine")).alias("rank"), "licence")).alias("best"),
+        (F.max("whole") | F.coalesce(2 * F.sum("n_chars") >= F.max("total"), F.lit(False))).alias("is_file"),
     ).select(F.col("key").alias(path), "licences", F.col("best.licence").alias("licence"), (-F.col("best.rank")).alias("cosine"), "is_file")
 
 

@@ -323,6 +323,35 @@ def test_licences(spark):
     assert got["q/z"].effective is None
 
 
+def test_whole_licence_files(spark):
+    full = dict(licences.full_texts())
+    prose = " ".join(f"word{i}" for i in range(400))
+    texts = {
+        "m/LICENSE": "MIT License\n\nCopyright (c) 2024 Some Body\n\n" + full["MIT"],
+        "m/x": prose,
+        "o/LICENSE": " ".join(full["MIT"].split()),
+        "a/LICENSE": full["Apache-2.0"],
+        "g/COPYING": full["GPL-3.0"],
+        "g/deep/er/y": prose,
+        "s/z": "# SPDX-License-Identifier: MIT\n" + prose,
+        "s/o": "// SPDX-License-Identifier: GPL-2.0-or-later\n" + prose,
+        "s/n": "software of the license: the copyright notice, the program and any work\n" + prose,
+    }
+    paths = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") + 1).cast("int"))
+    got = {r.path: r for r in licences.scan_and_inherit(table(spark, list(texts.values())).withColumn("path", paths)).collect()}
+    assert {p: (r.effective, r.is_file) for p, r in got.items()} == {
+        "m/LICENSE": ("MIT", True),
+        "m/x": ("MIT", False),
+        "o/LICENSE": ("MIT", True),
+        "a/LICENSE": ("Apache-2.0", True),
+        "g/COPYING": ("GPL-3.0", True),
+        "g/deep/er/y": ("GPL-3.0", False),
+        "s/z": ("MIT", False),
+        "s/o": ("GPL-2.0", False),
+        "s/n": (None, False),
+    }
+
+
 def test_quality_ledger(spark):
     good = " ".join(f"word{i}" for i in range(80))
     texts = [good, "too few", "same words here " * 40, "### $$$ " + good.replace(" ", " # "), None]
