@@ -8,7 +8,7 @@ Rules: assign, access and hex as the contract of `op2` states them, `pem` (the f
 `url` (a user and a password before the host of a URL). Spans are in code points, end exclusive.
 
 Defined results: a null text counts as empty and holds no secret; a table without rows gives no findings; repeated rows
-share a blob and get the same findings; other columns are not read. Blobs are owned by the smallest key, so that the
+share a blob and get the same findings, also those with a null key; other columns are not read. Blobs are owned by the smallest key, so that the
 join that fetches their texts is spread evenly, and paths are dealt to salts before findings are joined to them, so
 that a blob with very many paths does not meet in one task.
 """
@@ -70,8 +70,11 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc_i
         unseen = owners.join(seen, "blob", "left").select("blob", key, F.array_except(todo, F.coalesce("seen", F.array().cast("array<struct<rule:string,version:int>>"))).alias("todo"))
         unseen = unseen.where(F.size("todo") > 0)
     # One row of the version that owns the blob, wherever a key occurs more than once: the address must agree too.
-    texts = versions.select(F.col(key), text_column(text).alias("t")).where(F.col(key).isNotNull())
-    wanted = unseen.join(texts, key)
+    texts = versions.select(F.col(key), text_column(text).alias("t"))
+    wanted = unseen.join(texts, key).select("blob", key, "todo", "t")
+    # Where no row of a blob has a key, the blob itself fetches one of its texts.
+    nameless = texts.where(F.col(key).isNull()).select(F.sha2("t", 256).alias("blob"), "t").dropDuplicates(["blob"])
+    wanted = wanted.unionByName(unseen.where(F.col(key).isNull()).join(nameless, "blob").select("blob", key, "todo", "t"))
 
     def unseen_only(rule: str) -> Column:
         found = _matches(F.col("t"), rule)

@@ -119,6 +119,15 @@ def test_secret_ledger_is_incremental(spark):
     assert secrets.scan(docs, old)[0].count() == 1
 
 
+def test_secrets_of_rows_without_a_key(spark):
+    docs = table(spark, ["token=abcdef1", "token=abcdef1", "api_key: 1234567", "api_key: 1234567", None], [None, None, None, 3, None])
+    findings, ledger = secrets.scan(docs)
+    assert findings.count() == 2 and ledger.count() == 3 * len(secrets.RULES)
+    spans = secrets.by_path(docs, findings).select(F.size("spans").alias("n"), "doc_id").collect()
+    assert sorted((r.doc_id or -1, r.n) for r in spans) == [(-1, 0), (-1, 1), (-1, 1), (-1, 1), (3, 1)]
+    assert secrets.scan(docs, ledger)[0].isEmpty()
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(7)
     base = [[rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(rng.choice([3, 30, 120, 400]))] for _ in range(12)]
