@@ -16,7 +16,6 @@ from ..functions.history import is_binary
 
 #: Bounds beyond which a pair of files is reported as too large.
 MAX_LINES, MAX_PRODUCT, MAX_EDITS, TRACE = 40_000, 4_000_000, 2000, 8_000_000
-MAX_BLAME_LINES = 5000
 OPS = "array<struct<tag:string,line:string>>"
 
 
@@ -179,7 +178,7 @@ def patch(files: DataFrame, hunk_rows: DataFrame, key: str = "path") -> DataFram
 def attribute(texts: list[str | None]) -> list[int] | None:
     """For each line of texts[0], the newest text, the place of the oldest text in whose step it appeared."""
     tip = lines(texts[0] or "")
-    if texts[0] is None or len(tip) > MAX_BLAME_LINES:
+    if texts[0] is None:
         return None
     owner = [len(texts) - 1] * len(tip)
     alive = {i: i for i in range(len(tip))}  # line of the tip: line of the version at hand
@@ -209,7 +208,7 @@ def blame(history: DataFrame) -> DataFrame:
     """repo, line_no, line, oid, author, time: who last touched each line of the newest text of each path.
 
     `history` is (repo, ordinal, oid, author, time, text), the changes of one path, newest first. A path's changes are
-    kept within one task, which the caps on revisions and lines bound.
+    kept within one task, all of them: its memory grows with the texts of the longest history.
     """
 
     def per_path(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -221,8 +220,8 @@ def blame(history: DataFrame) -> DataFrame:
         return pd.DataFrame({"repo": key[0], "line_no": range(1, len(owner) + 1), "line": lines(rows.text[0]), "oid": picked.oid, "author": picked.author, "time": picked.time})
 
     kind = {c: history.schema[c].dataType.simpleString() for c in ("repo", "oid", "author", "time")}
-    capped = history.where(F.col("ordinal") < 200).select("repo", "ordinal", "oid", "author", "time", "text")
-    return capped.groupBy("repo").applyInPandas(per_path, f"repo {kind['repo']}, line_no long, line string, oid {kind['oid']}, author {kind['author']}, time {kind['time']}")
+    narrow = history.select("repo", "ordinal", "oid", "author", "time", "text")
+    return narrow.groupBy("repo").applyInPandas(per_path, f"repo {kind['repo']}, line_no long, line string, oid {kind['oid']}, author {kind['author']}, time {kind['time']}")
 
 
 def runs(blamed: DataFrame) -> DataFrame:

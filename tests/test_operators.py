@@ -205,3 +205,13 @@ def test_compare_and_set_drops_only_replays(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = feeds.replay(feeds.compare_and_set(stream)).collect()
     assert sorted((r.seq, r.ok) for r in got) == [(1, True), (2, False), (5, True), (6, True)]
+
+
+def test_blame_of_long_histories_and_files(spark):
+    n = 230
+    steps = [(1, i, f"c{i}", "a", i, "".join(f"l{k}\n" for k in range(n - i))) for i in range(n)]
+    long = [(2, 0, "d", "a", 0, "".join(f"l{k}\n" for k in range(5001)))]
+    history = spark.createDataFrame(steps + long, "repo long, ordinal long, oid string, author string, time long, text string")
+    got = diff.blame(history).collect()
+    assert {r.line_no: r.oid for r in got if r.repo == 1} == {k + 1: f"c{n - 1 - k}" for k in range(n)}
+    assert sum(r.repo == 2 for r in got) == 5001
