@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,15 +28,25 @@ def has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, one on this machine, which only a local session can use."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="annalist-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder for tables that a query writes and reads again."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint in the shared folder of spark.checkpoint.dir.
-
-    The folder is read from the session; only where none is set (tests on one machine) a temporary one is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="annalist-checkpoint-"))
+    """Cut the lineage of `df` with a reliable checkpoint in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
