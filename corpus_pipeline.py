@@ -6,8 +6,6 @@ Parquet in the shared folder of spark.checkpoint.dir and reads it again for the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm import bpe, leaks, lines, near, quality
-from annalist.llm.common import documents, has_word, text_column
+from annalist.llm.common import documents, has_word, shared_folder, text_column
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A line of so many words is a repeated passage by itself.
@@ -62,10 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annalist-pipeline-")
-    docs = documents(spark, sf_dir)
+    folder, docs = shared_folder(spark, "pipeline"), documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}-{i}"
+        path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
