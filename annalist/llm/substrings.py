@@ -1,47 +1,54 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
-Every position gets ranks of growing prefixes: the rank of 2L bytes names the pair of the ranks of L bytes at the
-position and L bytes further on. Positions whose rank is unique leave; those left at the threshold are repeats.
-Doubling starts inside a document, where the pairs lie side by side, and only two levels are exchanged:
-
-1. Of the ANCHOR-byte ranks, only one in each window of the threshold's length is sent, the smallest by a hash. Equal
-   windows choose the anchor at the same distance, so a window whose anchor rank is unique is itself unique.
-2. For the anchors that are left, the bytes of all windows that chose them are sent once per chunk of documents. The
-   receiver, which holds everything about its anchor ranks, sorts the ranks of the whole windows and answers, for each,
-   whether a document of smaller key has it. Of an anchor rank of very many runs (a notice that is shorter than the
-   threshold, in ever other surroundings) no blocks are sent, but the ranks of their whole windows, each with its least
-   key in the chunk, to receivers by that rank, so that such an anchor is spread over all of them.
-
-Documents are dealt to chunks by a hash of the key; a chunk sends each distinct rank or block once, so that a passage
-that a third of all documents share reaches its receiver once a chunk. Ranks are 64-bit hashes of the pairs; receivers
-sort (rank, key) pairs.
-
-Defined results: a null or empty text, or one shorter than the threshold, loses nothing; rows of one key are told apart
-and don't remove each other's bytes, as only smaller keys count; rows with a null key lose nothing and remove nothing;
-an empty table gives an empty result; columns beside key and text are not read.
+A position's rank names the bytes that follow it; the rank of a longer string names the pair of the ranks of its parts at
+a growing offset. In each round Spark sorts (rank, ...) rows, and positions whose rank is unique leave; those left at the
+threshold are repeats. Inside a text, pairs lie side by side and ranks double without an exchange. What is exchanged:
+
+1. Ranks of ANCHOR bytes, of one position in each window of the threshold's length: the one whose rank has the smallest
+   hash. Equal windows choose alike, so a window whose anchor's rank is unique is itself unique. Neighbouring windows
+   with one anchor are a run.
+2. For the anchors left, the rank of the whole run, sorted below that of its anchor. A run that also stands in a document
+   of smaller key goes as a whole, so that long copies take one row for each run. Of the others, the first occurrence of
+   each run goes on if its anchor stands in several runs.
+3. For these, two longer ranks: of the bytes that all windows share in which the anchor lies in the first half, and those
+   in which it lies in the second half.
+4. For the halves left, the ranks of their whole windows; a window goes if it stands in a document of smaller key.
+
+Documents are dealt to chunks of about CHUNK_BYTES by a hash of the key. A chunk sends each distinct rank once, with its
+smallest key, so that no rank has more rows than there are chunks, however many documents share it; anchors of very many
+different runs are dealt by the ranks of these. Ranks of rounds 1 and 3, which only rule out, have as many bits as keep
+chance agreements below one in a hundred; those of rounds 2 and 4, which decide, are 64-bit hashes.
+
+Defined results: a null or empty text, or one shorter than the threshold, loses nothing; rows of one key don't remove each
+other's bytes, as only smaller keys count; rows with a null key lose nothing and remove nothing; an empty table gives an
+empty result; columns beside key and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from typing import NamedTuple
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, text_column
 
 ANCHOR = 20
 #: Bytes of text in a chunk, about, and bytes that numpy handles at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 17
-#: Runs of one anchor rank, about, beyond which it is spread by the ranks of its windows.
+#: Runs of one anchor rank, about, beyond which they are dealt by their own ranks.
 HOT_RUNS = 1 << 15
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOW = np.uint64((1 << 20) - 1)
+#: Kinds of messages to a chunk.
+ANCHORS, RUNS, HALVES, WINDOWS = range(4)
+_MESSAGE = "chunk int, kind int, value long"
+_RESULT = [("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,8 +68,12 @@ def _pair(rank: np.ndarray, gap: int) -> np.ndarray:
 
 
 def prefix_ranks(data: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """Ranks of the strings of these lengths at each position, by doubling; lengths ascend."""
-    rank, have, out = _mix((data.astype(np.uint64) + np.uint64(1)) * _A), 1, []
+    """Ranks of the strings of these lengths at each position, by doubling; lengths ascend. Eight bytes at a time (or
+    four, two, one, if a length is smaller) are their own first rank."""
+    have = next(n for n in (8, 4, 2, 1) if n <= lengths[0])
+    n = max(0, len(data) - have + 1)
+    rank = _mix((np.ndarray((n,), f"<u{have}", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64) + np.uint64(have)) * _A)
+    out = []
     for length in lengths:
         while 2 * have <= length:
             rank, have = _pair(rank, have) if len(rank) > have else rank[:0], 2 * have
@@ -70,125 +81,15 @@ def prefix_ranks(data: np.ndarray, *lengths: int) -> list[np.ndarray]:
     return out
 
 
-def _runs(data: np.ndarray, span: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """First window, last window and anchor rank of each run of windows of one document that chose the same anchor.
-
-    A document is handled in blocks of windows; a run that a block's end cuts is two runs, which changes no answer.
-    """
-    firsts, lasts, ranks, heads, tails = [], [], [], [], []
-    for at in range(0, len(data) - span + 1, BLOCK_BYTES):
-        part = data[at : at + BLOCK_BYTES + span - 1]
-        near, whole = prefix_ranks(part, anchor, span)
-        n = len(whole)
-        # The smallest hash in its upper bits, the leftmost position in its lower ones.
-        least = (_mix(near * _C) & ~_LOW) | np.arange(len(near), dtype=np.uint64)
-        have, width = 1, span - anchor + 1
-        while 2 * have <= width:
-            least, have = np.minimum(least[:-have], least[have:]), 2 * have
-        if have < width:
-            least = np.minimum(least[: have - width], least[width - have :])
-        chosen = (least[:n] & _LOW).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-        ends = np.concatenate([starts[1:], [n]]) - 1
-        firsts.append(starts + at)
-        lasts.append(ends + at)
-        # Which of its windows a rank belongs to is part of the rank: the anchor's distance from the first.
-        ranks.append(near[chosen[starts]])
-        heads.append(whole[starts])
-        tails.append(whole[ends])
-    if not firsts:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    first, last = np.concatenate(firsts), np.concatenate(lasts)
-    # The first and the last window overlap, so that together they name all bytes of the run.
-    block = _mix(np.concatenate(heads) * _A + np.concatenate(tails) * _C + (last - first).astype(np.uint64))
-    return first, last, np.concatenate(ranks), block
-
-
-def _groups(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the ranks, and where in it each distinct one starts."""
-    order = np.argsort(rank)
-    ordered = rank[order]
-    return order, np.flatnonzero(np.concatenate([np.ones(min(len(rank), 1), bool), ordered[1:] != ordered[:-1]]))
-
-
-class _Chunk:
-    """The documents of a chunk in the order of their keys, and the runs of all of them."""
-
-    def __init__(self, keys: list, texts: list, span: int, anchor: int):
-        order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i], texts[i]))
-        self.keys = [keys[i] for i in order]
-        self.data = [np.frombuffer(texts[i].encode(), np.uint8) for i in order]
-        found = [_runs(d, span, anchor) if k is not None else _runs(d[:0], span, anchor) for k, d in zip(self.keys, self.data)]
-        self.doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        self.first, self.last, self.rank, self.block = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
-        self.rank, self.block = self.rank.astype(np.uint64), self.block.astype(np.uint64)
-        key = np.array([-1 if k is None else k for k in self.keys], np.int64)
-        self.key = key[self.doc] if len(found) else np.zeros(0, np.int64)
-
-    def ranks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct anchor ranks, ascending, which of them occur under several keys of the chunk, and the logarithm
-        to base 2 of how many runs have each, rounded up."""
-        order, starts = _groups(self.rank)
-        if not len(order):
-            return self.rank, np.zeros(0, bool), np.zeros(0, np.uint8)
-        key = self.key[order]
-        size = np.ceil(np.log2(np.diff(starts, append=len(order)))).astype(np.uint8)
-        return self.rank[order[starts]], np.minimum.reduceat(key, starts) < np.maximum.reduceat(key, starts), size
-
-    def blocks(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the runs whose rank is in `shared`: a run of each distinct block that has the smallest key, ordered by
-        rank and block, and for each run of the chunk the place of its block in that list, or -1."""
-        mine = np.flatnonzero(np.isin(self.rank, shared))
-        order = mine[np.lexsort((self.first[mine], self.doc[mine], self.block[mine], self.rank[mine]))]
-        new = np.ones(len(order), bool)
-        new[1:] = (self.block[order][1:] != self.block[order][:-1]) | (self.rank[order][1:] != self.rank[order][:-1])
-        place = np.full(len(self.rank), -1)
-        place[order] = np.cumsum(new) - 1
-        return order[new], place
-
-
-    def windows(self, runs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ranks of all windows of the runs, one run after the other, and the number of windows of each run."""
-        count = self.last[runs] - self.first[runs] + 1
-        data = b"".join(self.data[d][f : e + span].tobytes() for d, f, e in zip(self.doc[runs].tolist(), self.first[runs].tolist(), self.last[runs].tolist()))
-        return _window_ranks(np.frombuffer(data, np.uint8), count, span), count
-
-    def parcels(self, shared: np.ndarray, hot: np.ndarray, buckets: int, span: int) -> "_Parcels":
-        """What the chunk has to ask: blocks by the bucket of their anchor rank, windows of hot ones by that of their own."""
-        runs, place = self.blocks(shared)
-        is_hot = np.isin(self.rank[runs], hot)
-        whole, count = self.windows(runs[is_hot], span)
-        rank, least, at = _least(whole, np.repeat(self.key[runs[is_hot]], count))
-        cold = np.flatnonzero(~is_hot)
-        blocks = {b: cold[i] for b, i in _spread(_bucket(self.rank[runs[cold]], buckets))}
-        return _Parcels(runs, place, is_hot, rank, least, at, blocks, dict(_spread(_bucket(rank, buckets))))
-
-
-class _Parcels(NamedTuple):
-    runs: np.ndarray
-    place: np.ndarray
-    #: Which of the runs have a hot anchor; the distinct window ranks of these, their least keys, and which of them each window has.
-    is_hot: np.ndarray
-    rank: np.ndarray
-    least: np.ndarray
-    at: np.ndarray
-    #: By bucket: places in `runs`, and places in `rank`.
-    blocks: dict[int, np.ndarray]
-    hot: dict[int, np.ndarray]
-
-
-def _window_ranks(data: np.ndarray, windows: np.ndarray, span: int) -> np.ndarray:
-    """The ranks of the windows of blocks that lie one after the other; `windows` is how many each block has."""
-    start = np.cumsum(windows + span - 1) - (windows + span - 1)
-    (whole,) = prefix_ranks(data, span)
-    # The windows of block b start at start[b] .. start[b] + windows[b] - 1.
-    return whole[np.arange(windows.sum()) + np.repeat(start - (np.cumsum(windows) - windows), windows)]
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array starts."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]]))
 
 
 def _least(rank: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct ranks, ascending, the least key of each, and for each rank given its place among them."""
-    order, starts = _groups(rank)
+    order = np.argsort(rank, kind="stable")
+    starts = _starts(rank[order])
     if not len(order):
         return rank, key, order
     at = np.empty(len(order), np.int64)
@@ -196,161 +97,262 @@ def _least(rank: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return rank[order[starts]], np.minimum.reduceat(key[order], starts), at
 
 
-def _bucket(rank: np.ndarray, buckets: int) -> np.ndarray:
-    return (_mix(rank * _B) % np.uint64(buckets)).astype(np.int64)
-
-
-def _column(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(b, kind) for b in table.column(name).to_pylist()]
-
-
-def _answer_ranks(hot_runs: int):
-    def answer(table: pa.Table) -> pa.Table:
-        """For each chunk's ranks: a byte each, 1 if another chunk has the rank too, 2 if they have very many runs of it."""
-        sent, logs = _column(table, "ranks", np.uint64), np.concatenate(_column(table, "sizes", np.uint8))
-        sizes = [len(x) for x in sent]
-        _, at, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-        runs = np.bincount(at, np.exp2(logs), len(count))
-        answers = np.split(((count > 1).astype(np.uint8) + ((count > 1) & (runs > hot_runs)))[at].astype(np.uint8), np.cumsum(sizes)[:-1])
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "answer": pa.array([a.tobytes() for a in answers], pa.binary())})
-
-    return answer
-
-
-def _later(ranks: np.ndarray, keys: np.ndarray, sizes: list[int]) -> pa.Array:
-    """For each (rank, key), a byte: 1 if the rank has a smaller key; in parts of these sizes."""
-    _, least, at = _least(ranks, keys)
-    out = (keys > least[at]).astype(np.uint8)
-    return pa.array([p.tobytes() for p in np.split(out, np.cumsum(sizes)[:-1])], pa.binary())
+def _several(rank: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """For each row, whether its rank also occurs with another `what` among the rows."""
+    _, low, at = _least(rank, what)
+    _, high, _ = _least(rank, ~what)
+    return (low < ~high)[at] if len(at) else np.zeros(0, bool)
 
 
-def _answer_blocks(span: int):
-    def answer(table: pa.Table) -> pa.Table:
-        """For each chunk's blocks, and for its single windows: a byte for each window, 1 if a document of smaller key has it."""
-        keys, counts = np.concatenate(_column(table, "keys", np.int64)), _column(table, "windows", np.uint8)
-        windows = np.concatenate(counts).astype(np.int64)
-        data = np.concatenate(_column(table, "bytes", np.uint8))
-        blocks = _later(_window_ranks(data, windows, span), np.repeat(keys, windows), [int(c.sum()) for c in counts])
-        hot = _column(table, "hot", np.uint64)
-        singles = _later(np.concatenate(hot), np.concatenate(_column(table, "hot_keys", np.int64)), [len(h) for h in hot])
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "answer": blocks, "hot": singles})
+class _Shape:
+    """Threshold, anchor length, and bits of the ranks that only rule out."""
 
-    return answer
+    def __init__(self, span: int, anchor: int, bits: int):
+        self.span, self.anchor, self.bits = span, anchor, bits
+        self.windows = span - anchor + 1  # at most, in a run
+        # Windows with the anchor at distance d < half all hold the bytes from the anchor on, others those before it.
+        self.half = self.windows // 2
 
+    def short(self, rank: np.ndarray) -> np.ndarray:
+        return (rank >> np.uint64(64 - self.bits)).astype(np.int64)
 
-def _by_bucket(table: pa.Table, column: str) -> dict[int, np.ndarray]:
-    return {b: np.frombuffer(a, np.uint8) for b, a in zip(table.column("bucket").to_pylist(), table.column(column).to_pylist()) if a is not None}
 
-
-def _shared(chunk: _Chunk, answers: dict[int, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor ranks of the chunk that occur under several keys, here or elsewhere, and those of very many runs."""
-    rank, several, _ = chunk.ranks()
-    bucket, hot = _bucket(rank, buckets), np.zeros(len(rank), bool)
-    for b, answer in answers.items():
-        mine = bucket == b
-        several[mine] |= answer > 0
-        hot[mine] = answer > 1
-    return rank[several], rank[hot]
-
-
-def _spread(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The buckets that occur, each with the places that have it, in ascending order."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    return ((int(bucket[part[0]]), part) for part in np.split(order, cuts) if len(part))
-
-
-def remove_repeats(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "text", key: str = "doc_id", hot_runs: int = HOT_RUNS) -> DataFrame:
-    """`key` (long), `n_bytes`, `n_removed`, `n_spans` and `kept` (binary): each text without the bytes that lie in a string of
-    `span` bytes that also starts in a document of smaller key."""
+class _Chunk:
+    """The texts of a chunk one after the other, in the order of their keys."""
+
+    def __init__(self, table: pa.Table, shape: _Shape):
+        self.shape = shape
+        table = table.sort_by([("key", "ascending"), ("text", "ascending")]).combine_chunks()
+        keys = table.column("key")
+        self.known = np.asarray(keys.is_valid())
+        self.keys = keys.fill_null(0).to_numpy()
+        texts = table.column("text").cast(pa.large_binary()).combine_chunks()
+        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        body = texts.buffers()[2]
+        self.data = np.frombuffer(body, np.uint8)[bounds[0] : bounds[-1]] if body is not None else np.zeros(0, np.uint8)
+        self.bounds = bounds - bounds[0]
+
+    def runs(self) -> None:
+        """first, count (of windows), before (the anchor's distance from the first), rank (of the anchor), block (of the
+        whole run) and key of each run, in order.
+
+        The chunk is handled in blocks of windows; a run that a block's end cuts is two runs, which changes no answer.
+        """
+        span, n = self.shape.span, len(self.data)
+        inside = np.ones(n, bool)  # windows that lie within one document with a key
+        ends = self.bounds[1:]
+        tails = (ends[:, None] - np.arange(1, span)[None, :]).ravel() if len(ends) else ends
+        inside[tails[tails >= 0]] = False
+        for a, b in zip(self.bounds[:-1][~self.known].tolist(), ends[~self.known].tolist()):
+            inside[a:b] = False
+        none = np.zeros(0, np.int64)
+        found: list[list[np.ndarray]] = [[none], [none], [none], [none.astype(np.uint64)], [none.astype(np.uint64)]]
+        for at in range(0, n - span + 1, BLOCK_BYTES):
+            near, whole = prefix_ranks(self.data[at : at + BLOCK_BYTES + span - 1], self.shape.anchor, span)
+            m = len(whole)
+            # The smallest hash in its upper bits, the leftmost position in its lower ones.
+            least = (_mix(near * _C) & ~_LOW) | np.arange(len(near), dtype=np.uint64)
+            have, width = 1, self.shape.windows
+            while 2 * have <= width:
+                least, have = np.minimum(least[:-have], least[have:]), 2 * have
+            if have < width:
+                least = np.minimum(least[: have - width], least[width - have :])
+            chosen = (least[:m] & _LOW).astype(np.int64)
+            here = inside[at : at + m]
+            new, old = here.copy(), here.copy()
+            same = here[1:] & here[:-1] & (chosen[1:] == chosen[:-1])
+            new[1:] &= ~same
+            old[:-1] &= ~same
+            first, last = np.flatnonzero(new), np.flatnonzero(old)
+            count, anchor = last - first + 1, chosen[first]
+            found[0].append(first + at)
+            found[1].append(count)
+            found[2].append(anchor - first)
+            found[3].append(near[anchor])
+            # The first and the last window overlap, so that together they name all bytes of the run.
+            found[4].append(_mix(whole[first] * _A + whole[last] * _C + count.astype(np.uint64)))
+        self.first, self.count, self.before, self.rank, self.block = map(np.concatenate, found)
+        self.key = self.keys[np.searchsorted(self.bounds, self.first, "right") - 1]
+
+    def place(self, runs: np.ndarray) -> np.ndarray:
+        """One number for where a run is, how many windows it has, and where its anchor is."""
+        w = self.shape.windows
+        return (self.first[runs] * w + self.count[runs] - 1) * w + self.before[runs]
+
+    def placed(self, places: np.ndarray) -> "_Owned":
+        w, places = self.shape.windows, np.sort(places)
+        return _Owned(self, places // (w * w), places // w % w + 1, places % w)
+
+
+class _Owned:
+    """Runs of a chunk that no document of smaller key has, though the anchor stands in other runs too."""
+
+    def __init__(self, chunk: _Chunk, first: np.ndarray, count: np.ndarray, before: np.ndarray):
+        self.chunk, self.first, self.count, self.before = chunk, first, count, before
+        self.key = chunk.keys[np.searchsorted(chunk.bounds, first, "right") - 1]
+
+    def _of(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """Ranks of the strings of this length at these places."""
+        bytes_ = self.chunk.data[(starts[:, None] + np.arange(length)[None, :]).ravel()]
+        (ranks,) = prefix_ranks(bytes_, length)
+        return ranks[::length]
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """rank, run and side (0: the anchor is in the first half of the window) of the halves that have windows."""
+        shape = self.chunk.shape
+        at = self.first + self.before
+        near = np.flatnonzero(self.before - self.count + 1 < shape.half)
+        far = np.flatnonzero(self.before >= shape.half)
+        ranks = [self._of(at[near], shape.span - shape.half + 1), ~self._of(at[far] - shape.half, shape.half + shape.anchor)]
+        return shape.short(np.concatenate(ranks)), np.concatenate([near, far]), np.repeat([0, 1], [len(near), len(far)])
+
+    def windows(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """rank and run of each window, those left out whose half is neither among `shared` nor in several runs here;
+        and the place of each."""
+        shape = self.chunk.shape
+        rank, run, side = self.halves()
+        left = np.isin(rank, shared) | _several(rank, run)
+        alive = np.zeros((2, len(self.first)), bool)
+        alive[side[left], run[left]] = True
+        size = self.count + shape.span - 1
+        inner = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        bytes_ = self.chunk.data[np.repeat(self.first, size) + inner(size)]
+        (whole,) = prefix_ranks(bytes_, shape.span) if len(bytes_) else (np.zeros(0, np.uint64),)
+        owner, j = np.repeat(np.arange(len(self.count)), self.count), inner(self.count)
+        ranks = whole[np.repeat(np.cumsum(size) - size, self.count) + j] if len(owner) else whole
+        kept = alive[(np.repeat(self.before, self.count) - j >= shape.half).astype(np.int64), owner]
+        return ranks[kept].view(np.int64), owner[kept], (np.repeat(self.first, self.count) + j)[kept]
+
+
+def _rows(**columns: np.ndarray | int) -> pa.Table:
+    n = max((len(c) for c in columns.values() if isinstance(c, np.ndarray)), default=0)
+    return pa.table({k: pa.array(v if isinstance(v, np.ndarray) else np.full(n, v, np.int32)) for k, v in columns.items()})
+
+
+def _told(messages: pa.Table, kind: int) -> np.ndarray:
+    value = messages.column("value").to_numpy()
+    return value[messages.column("kind").to_numpy() == kind]
+
+
+def rounds(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "text", key: str = "doc_id", hot_runs: int = HOT_RUNS) -> dict[str, DataFrame]:
+    """The rows that are sorted in each round (`anchors`, `runs`, `halves`, `windows`), and `kept`, what `remove_repeats` returns."""
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("key"), text_column(text).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(partitions(spark), total // CHUNK_BYTES + 1)
-    buckets = 2 * chunks
-    dealt = source.withColumn("chunk", F.pmod(F.xxhash64("key", F.when(F.col("key").isNull(), F.xxhash64("text"))), F.lit(chunks))).repartition("chunk")
-
-    def read(table: pa.Table) -> _Chunk:
-        return _Chunk(table.column("key").to_pylist(), table.column("text").to_pylist(), span, anchor)
-
-    def send_ranks(table: pa.Table) -> pa.Table:
-        rank, _, size = read(table).ranks()
-        found = [(b, rank[i].tobytes(), size[i].tobytes()) for b, i in _spread(_bucket(rank, buckets))]
-        number = table.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([number] * len(found), pa.int64()), "bucket": pa.array([f[0] for f in found], pa.int64()), "ranks": pa.array([f[1] for f in found], pa.binary()), "sizes": pa.array([f[2] for f in found], pa.binary())})
-
-    def send_blocks(table: pa.Table, answers: pa.Table) -> pa.Table:
-        columns: dict[str, list] = {"chunk": [], "bucket": [], "keys": [], "windows": [], "bytes": [], "hot": [], "hot_keys": []}
-        if table.num_rows:
-            chunk = read(table)
-            parcels = chunk.parcels(*_shared(chunk, _by_bucket(answers, "answer"), buckets), buckets, span)
-            none = np.zeros(0, np.int64)
-            for b in sorted({*parcels.blocks, *parcels.hot}):
-                run, single = parcels.runs[parcels.blocks.get(b, none)], parcels.hot.get(b, none)
-                columns["chunk"].append(table.column("chunk")[0].as_py())
-                columns["bucket"].append(b)
-                columns["keys"].append(chunk.key[run].tobytes())
-                columns["windows"].append((chunk.last[run] - chunk.first[run] + 1).astype(np.uint8).tobytes())
-                columns["bytes"].append(b"".join(chunk.data[d][f : e + span].tobytes() for d, f, e in zip(chunk.doc[run].tolist(), chunk.first[run].tolist(), chunk.last[run].tolist())))
-                columns["hot"].append(parcels.rank[single].tobytes())
-                columns["hot_keys"].append(parcels.least[single].tobytes())
-        kinds = {"chunk": pa.int64(), "bucket": pa.int64()}
-        return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in columns.items()})
-
-    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in _RESULT})
-        chunk = read(table)
-        parcels = chunk.parcels(*_shared(chunk, _by_bucket(answers, "ranks"), buckets), buckets, span)
-        runs, place = parcels.runs, parcels.place
-        windows = chunk.last[runs] - chunk.first[runs] + 1
-        verdict = np.zeros(int(windows.sum()), bool)
-        start = np.cumsum(windows) - windows
-        blocks = _by_bucket(answers, "blocks")
-        for b, i in parcels.blocks.items():
-            at = np.arange(windows[i].sum()) + np.repeat(start[i] - (np.cumsum(windows[i]) - windows[i]), windows[i])
-            verdict[at] = blocks[b].astype(bool)
-        # A window of a hot anchor is a repeat if its least key here isn't the least, or is not this block's.
-        single, elsewhere = _by_bucket(answers, "hot"), np.zeros(len(parcels.rank), bool)
-        for b, i in parcels.hot.items():
-            elsewhere[i] = single[b].astype(bool)
-        key = np.repeat(chunk.key[runs], windows)
-        hot = np.repeat(parcels.is_hot, windows)
-        verdict[hot] = elsewhere[parcels.at] | (key[hot] > parcels.least[parcels.at])
-        # A block that the chunk has under a smaller key is a repeat as a whole.
-        later = np.zeros(len(place), bool)
-        known = place >= 0
-        later[known] = chunk.key[known] > chunk.key[runs][place[known]]
-        rows = []
-        cuts = np.searchsorted(chunk.doc, np.arange(len(chunk.keys) + 1))
-        for d, (k, data) in enumerate(zip(chunk.keys, chunk.data)):
-            step = np.zeros(len(data) + 1, np.int32)
-            mine = np.arange(cuts[d], cuts[d + 1])
-            mine = mine[place[mine] >= 0]
-            size = chunk.last[mine] - chunk.first[mine] + 1
-            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            hit = np.repeat(later[mine], size) | verdict[np.repeat(start[place[mine]], size) + inner]
-            at = (np.repeat(chunk.first[mine], size) + inner)[hit]
-            step[at] += 1  # windows are distinct positions
-            np.add.at(step, at + span, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            n_spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-            rows.append((k, len(data), int(gone.sum()), n_spans, data[~gone].tobytes()))
-        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(_RESULT)})
-
-    ranks = dealt.groupBy("chunk").applyInArrow(send_ranks, "chunk long, bucket long, ranks binary, sizes binary")
-    shared = ranks.groupBy("bucket").applyInArrow(_answer_ranks(hot_runs), "chunk long, bucket long, answer binary")
-    sent = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send_blocks, "chunk long, bucket long, keys binary, windows binary, bytes binary, hot binary, hot_keys binary")
-    repeats = sent.groupBy("bucket").applyInArrow(_answer_blocks(span), "chunk long, bucket long, answer binary, hot binary")
-    none = F.lit(None).cast("binary")
-    both = shared.select("chunk", "bucket", F.col("answer").alias("ranks"), none.alias("blocks"), none.alias("hot")).unionAll(
-        repeats.select("chunk", "bucket", none, "answer", "hot")
-    )
-    kept = dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return kept.withColumnRenamed("key", key)
+    shape = _Shape(span, anchor, min(60, math.ceil(math.log2(total + 2)) + 4))
+    number = F.pmod(F.xxhash64("key", F.when(F.col("key").isNull(), F.xxhash64("text"))), F.lit(chunks)).cast("int")
+    dealt = source.withColumn("chunk", number).repartition("chunk")
+
+    def visit(messages: DataFrame, body: Callable[[_Chunk, int, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """Each chunk, with or without messages, through `body`, which gets the chunk, its number and what it is told."""
+
+        def run(table: pa.Table, told: pa.Table) -> pa.Table:
+            return body(_Chunk(table, shape), table.column("chunk")[0].as_py(), told)
+
+        return dealt.groupBy("chunk").cogroup(messages.groupBy("chunk")).applyInArrow(run, schema)
+
+    def elsewhere(rows: DataFrame, kind: int) -> DataFrame:
+        """Sorts (rank, chunk, size), and tells chunks which of their ranks another chunk has too, and which of these
+        very many runs have."""
+        of = Window.partitionBy("rank")
+        met = rows.withColumn("met", F.min("chunk").over(of) < F.max("chunk").over(of)).withColumn("hot", F.sum(F.expr("shiftleft(1L, size)")).over(of) > hot_runs)
+        return met.where("met").select("chunk", F.lit(kind).alias("kind"), (2 * F.col("rank") + F.col("hot").cast("long")).alias("value"))
+
+    def anchors(table: pa.Table) -> pa.Table:
+        chunk = _Chunk(table, shape)
+        chunk.runs()
+        ranks = np.sort(shape.short(chunk.rank))
+        starts = _starts(ranks)
+        size = np.ceil(np.log2(np.diff(starts, append=len(ranks)))).astype(np.int32) if len(ranks) else ranks.astype(np.int32)
+        return _rows(rank=ranks[starts], chunk=table.column("chunk")[0].as_py(), size=size)
+
+    def runs(chunk: _Chunk, number: int, told: pa.Table) -> pa.Table:
+        chunk.runs()
+        value, rank = _told(told, ANCHORS), shape.short(chunk.rank)
+        left = np.flatnonzero(np.isin(rank, value >> 1) | _several(rank, chunk.key))
+        block = chunk.block[left].view(np.int64)
+        order = np.lexsort((chunk.first[left], block))  # places ascend with keys
+        one = order[_starts(block[order])]
+        mine = left[one]
+        hot = np.isin(rank[mine], value[value & 1 == 1] >> 1)
+        group = np.where(hot, (block[one] >> 2) & ((1 << 62) - 1) | (1 << 61), rank[mine])
+        return _rows(group=group, block=block[one], key=chunk.key[mine], chunk=number, place=chunk.place(mine), hot=hot.astype(np.int32))
+
+    def halves(chunk: _Chunk, number: int, told: pa.Table) -> pa.Table:
+        value = _told(told, RUNS)
+        ranks = np.unique(chunk.placed(value[value & 1 == 0] >> 1).halves()[0])
+        return _rows(rank=ranks, chunk=number, size=np.zeros(len(ranks), np.int32))
+
+    def windows(chunk: _Chunk, number: int, told: pa.Table) -> pa.Table:
+        value = _told(told, RUNS)
+        owned = chunk.placed(value[value & 1 == 0] >> 1)
+        rank, run, _ = owned.windows(_told(told, HALVES) >> 1)
+        ranks, keys, _ = _least(rank, owned.key[run])
+        return _rows(rank=ranks, key=keys, chunk=number)
+
+    def remove(chunk: _Chunk, number: int, told: pa.Table) -> pa.Table:
+        chunk.runs()
+        value = _told(told, RUNS)
+        owned = chunk.placed(value[value & 1 == 0] >> 1)
+        rank, run, at = owned.windows(_told(told, HALVES) >> 1)
+        _, least, where = _least(rank, owned.key[run])
+        # A window that is sent under its smallest key here, and is answered if another chunk has a smaller one.
+        gone = np.isin(rank, _told(told, WINDOWS)) | ((owned.key[run] > least[where]) if len(run) else np.zeros(0, bool))
+        # Runs by what they hold: a copy under a larger key goes, and all go where a smaller key elsewhere has it.
+        block = chunk.block.view(np.int64)
+        order = np.lexsort((chunk.first, block))
+        starts = _starts(block[order])
+        owner = np.repeat(order[starts], np.diff(starts, append=len(order)))
+        first = np.empty(len(order), np.int64)
+        first[order] = owner
+        later = (chunk.key > chunk.key[first]) | np.isin(chunk.place(first), value[value & 1 == 1] >> 1)
+        step = np.zeros(len(chunk.data) + 1, np.int64)
+        np.add.at(step, chunk.first[later], 1)
+        np.add.at(step, chunk.first[later] + chunk.count[later] + span - 1, -1)
+        # The first key may hold a run more than once: what is gone of the first is gone of all.
+        twins = np.flatnonzero(~later)
+        source = np.searchsorted(owned.first, chunk.first[first[twins]])
+        held = np.isin(chunk.first[first[twins]], owned.first)
+        twins, source = twins[held], source[held]
+        hits = np.flatnonzero(gone)
+        by_run = np.searchsorted(run[hits], np.arange(len(owned.first) + 1))
+        size = by_run[source + 1] - by_run[source]
+        pick = hits[np.repeat(by_run[source], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        places = at[pick] - owned.first[run[pick]] + np.repeat(chunk.first[twins], size)
+        np.add.at(step, places, 1)
+        np.add.at(step, places + span, -1)
+        lost = np.cumsum(step[:-1]) > 0
+        begins = lost.copy()
+        begins[1:] &= ~lost[:-1]
+        starts = chunk.bounds[:-1][np.diff(chunk.bounds) > 0]
+        begins[starts] = lost[starts]
+        upto = lambda x: np.concatenate([[0], np.cumsum(x)])[chunk.bounds]
+        kept, ends = chunk.data[~lost], upto(~lost)
+        texts = pa.Array.from_buffers(pa.large_binary(), len(chunk.keys), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)])
+        columns = [pa.array(chunk.keys, mask=~chunk.known), np.diff(chunk.bounds), np.diff(upto(lost)), np.diff(upto(begins)), texts.cast(pa.binary())]
+        return pa.table({c: pa.array(x, t) if isinstance(x, np.ndarray) else x for (c, t), x in zip(_RESULT, columns)})
+
+    ranks = dealt.groupBy("chunk").applyInArrow(anchors, "rank long, chunk int, size int")
+    of_group = Window.partitionBy("group")
+    sent = visit(elsewhere(ranks, ANCHORS), runs, "group long, block long, key long, chunk int, place long, hot int")
+    judged = sent.withColumn("least", F.min("key").over(Window.partitionBy("group", "block"))).withColumn("mixed", (F.min("block").over(of_group) < F.max("block").over(of_group)) | (F.col("hot") == 1))
+    later = F.col("key") > F.col("least")
+    run_messages = judged.where(later | F.col("mixed")).select("chunk", F.lit(RUNS).alias("kind"), (2 * F.col("place") + later.cast("long")).alias("value"))
+    halved = visit(run_messages, halves, "rank long, chunk int, size int")
+    half_messages = elsewhere(halved, HALVES)
+    both = run_messages.unionAll(half_messages)
+    whole = visit(both, windows, "rank long, key long, chunk int").withColumn("least", F.min("key").over(Window.partitionBy("rank")))
+    window_messages = whole.where(later).select("chunk", F.lit(WINDOWS).alias("kind"), F.col("rank").alias("value"))
+    kept = visit(both.unionAll(window_messages), remove, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return {"anchors": ranks, "runs": sent, "halves": halved, "windows": whole, "kept": kept.withColumnRenamed("key", key)}
 
 
-_RESULT = [("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
+def remove_repeats(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "text", key: str = "doc_id", hot_runs: int = HOT_RUNS) -> DataFrame:
+    """`key` (long), `n_bytes`, `n_removed`, `n_spans` and `kept` (binary): each text without the bytes that lie in a string of
+    `span` bytes that also starts in a document of smaller key."""
+    return rounds(docs, span, anchor, text, key, hot_runs)["kept"]
 
 
 def brute_force(texts: dict[int, str], span: int = 50) -> dict[int, tuple[int, int, int, str]]:

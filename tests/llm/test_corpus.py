@@ -258,10 +258,10 @@ def test_ordinary_speech_is_no_personal_data():
         assert pii.find_all(text) == ([], []), text
 
 
-@pytest.mark.parametrize("span,anchor", [(50, 20), (12, 5), (8, 8)])
+@pytest.mark.parametrize("span,anchor", [(50, 20), (12, 5), (8, 8), (300, 20)])
 def test_repeated_strings_against_brute_force(spark, span, anchor):
     rng = random.Random(span)
-    passages = ["".join(rng.choice("ab é") for _ in range(rng.randrange(20, 160))) for _ in range(12)]
+    passages = ["".join(rng.choice("ab é") for _ in range(rng.randrange(20, max(160, 2 * span)))) for _ in range(12)]
     texts = ["".join(rng.choice([*passages, "z" * rng.randrange(60), str(rng.random())]) for _ in range(rng.randrange(6))) for _ in range(60)] + ["a" * 300, "a" * 200, None, passages[0][: span - 1]]
     got = {r.key: r for r in substrings.remove_repeats(table(spark, texts).select("doc_id", "text"), span, anchor).withColumnRenamed("doc_id", "key").collect()}
     for k, (n, removed, runs, digest) in substrings.brute_force(dict(enumerate(texts)), span).items():
@@ -275,18 +275,14 @@ def test_repeated_strings_over_chunks(spark, monkeypatch):
     assert got == substrings.brute_force(texts)
 
 
-def test_hot_anchors_are_spread():
+def test_hot_anchors_are_spread(spark):
     rng = random.Random(5)
     letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
     notice = letters(40)
-    chunk = substrings._Chunk(list(range(300)), [letters(30) + notice + letters(30) for _ in range(300)], 50, 20)
-    rank, _, size = chunk.ranks()
-    hot = rank[size >= 8]
-    assert len(hot)
-    cold = chunk.parcels(hot, hot[:0], 64, 50)
-    spread = chunk.parcels(hot, hot, 64, 50)
-    assert len(cold.blocks) <= len(hot) and not cold.hot and not spread.blocks
-    assert len(spread.hot) == 64 and 4 * max(map(len, spread.hot.values())) < len(spread.rank)
+    docs = table(spark, [letters(30) + notice + letters(30) for _ in range(300)]).select("doc_id", "text")
+    for hot_runs, largest in ((1000, 300), (8, 8)):
+        sent = substrings.rounds(docs, hot_runs=hot_runs)["runs"]
+        assert sent.count() >= 300 and sent.groupBy("group").count().agg(F.max("count")).first()[0] <= largest
 
 
 @pytest.mark.parametrize("hot_runs", [1, 8])
@@ -362,16 +358,33 @@ def test_whole_licence_files(spark):
 
 
 def test_quality_ledger(spark):
-    good = " ".join(f"word{i}" for i in range(80))
-    texts = [good, "too few", "same words here " * 40, "### $$$ " + good.replace(" ", " # "), None]
+    good = " ".join(f"word{i}" for i in range(80)) + "."
+    texts = [good, "too few.", "same words here " * 40 + ".", "### $$$ " + good.replace(" ", " # "), None]
     entries = quality.ledger(table(spark, texts))
-    bits = {r.doc_id: r.failed for r in entries.collect()}
+    bits = {r.doc_id: r.failed & quality.mask("full-1") for r in entries.collect()}
     assert bits == {0: 0, 1: 1, 2: 2, 3: 4, 4: 1}
-    rows = {r.rule: r for r in quality.ablations(entries).collect()}
+    rows = {r.rule: r for r in quality.ablations(entries, "full-1").collect()}
     assert (rows["few_words"].n_failed, rows["few_words"].n_alone, rows["few_words"].n_docs) == (2, 2, 5)
     assert {r.rule for r in quality.ablations(entries, "base-1").collect()} == set(quality.BASE)
-    kept = quality.keep_documents(table(spark, texts))
-    assert [r.doc_id for r in kept.collect()] == [0] and kept.columns == table(spark, texts).columns
+    for policy in quality.POLICIES:
+        kept = quality.keep_documents(table(spark, texts), policy)
+        assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == ([0, 3] if policy == "base-1" else [0]) and kept.columns == table(spark, texts).columns
+
+
+def test_quality_rules_of_lines_and_letters(spark):
+    prose = "\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20)) + " end." for i in range(10))
+    texts = {
+        prose: (),
+        prose.replace(" end.", " 1 2 3 4 5 6 7 8."): ("few_letters",),
+        "\n".join("- " + x for x in prose.split("\n")): ("bullets",),
+        prose.replace(".", "..."): ("ellipses",),
+        prose.replace(".", "\u2026"): ("ellipses", "open_lines"),
+        prose.replace(".", ""): ("open_lines",),
+        prose + " wa wb wc." * 20: ("repeated_words", "common_window")[1:],
+        prose.replace("\n", "\r\n"): (),
+    }
+    got = {r.doc_id: r.failed for r in quality.ledger(table(spark, list(texts))).collect()}
+    assert {i: tuple(r for k, r in enumerate(quality.RULES) if got[i] >> k & 1) for i in got} == {i: rules for i, rules in enumerate(texts.values())}
 
 
 def test_pipeline(spark, tmp_path):
