@@ -1,141 +1,172 @@
 """Byte-level BPE: encode texts by a file of merge ranks, and decode the ids again.
 
-Each match of the split pattern is merged on its own. A segment tree over the positions of the match holds, at its
-root, the leftmost position of the lowest pair rank; a merge updates the leaves of the merged pair and its live left
-neighbour, each in a number of steps that is logarithmic in the length. Nodes have FAN children, whose minimum is one
-call of min(), so that a short match is a tree of one node, kept as a plain list of its live positions, and a match of
-any length stays quasi-linear.
-
-Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows are encoded one by one;
-an empty table gives an empty result; other columns are not read. Texts are only ever handled row by row.
+Each match of the split pattern is merged on its own. A binary segment tree over the byte positions of the match holds, at
+its root, the leftmost position of the lowest pair rank; a merge updates the leaves of the merged pair and of its live
+left neighbour, and the nodes above them, so that a match of any length takes a number of steps that is its length
+times a logarithm. The trees of many matches are the rows of one array: a step merges one pair in each of them.
+
+The pattern is matched on the classes of the characters (letter, number, white space, other) by Unicode 16.0, as the
+library has them, with the letters of the contractions as themselves.
+
+Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows, rows with a null key among
+them, are encoded one by one; an empty table gives an empty result; other columns are not read. Texts are only ever
+handled row by row.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .characters import LETTER, NUMBER, SPACE, classes, code_points
 from .common import text_column
 
-FAN = 32
-#: Entries that one Python worker remembers before it starts anew; a bound on memory only.
-MEMO = 300_000
+#: Matches that one Python worker remembers before it starts anew, and leaves of the trees that it merges at a time;
+#: bounds on memory only.
+MEMO, LEAVES = 300_000, 1 << 17
+#: Bytes of text that are handled at a time, about.
+SLICE = 8 << 20
 _NONE = 1 << 62
 
 
-def merge(symbols: Sequence, rank: Callable) -> list:
-    """The symbols after all merges: always the pair of lowest rank(left, right), the leftmost one of equal rank."""
-    parts = list(symbols)
-    n = len(parts)
-    if n <= FAN:
-        return _merge_node(parts, rank)
-    leaves = [_NONE] * n
-    for i in range(n - 1):
-        r = rank(parts[i], parts[i + 1])
-        if r is not None:
-            leaves[i] = r * n + i
-    levels = [leaves]
-    while len(levels[-1]) > FAN:
-        low = levels[-1]
-        levels.append([min(low[i : i + FAN]) for i in range(0, len(low), FAN)])
-    top, upper = levels[-1], range(1, len(levels))
-
-    def put(i: int, value: int) -> None:
-        leaves[i] = value
-        for k in upper:
-            i //= FAN
-            levels[k][i] = min(levels[k - 1][i * FAN : (i + 1) * FAN])
-
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (least := min(top)) < _NONE:
-        i = least % n
-        j = after[i]
-        k = after[j]
-        parts[i] += parts[j]
-        parts[j] = None
-        after[i] = k
-        put(j, _NONE)
-        r = None
-        if k < n:
-            before[k] = i
-            r = rank(parts[i], parts[k])
-        put(i, _NONE if r is None else r * n + i)
-        h = before[i]
-        if h >= 0:
-            r = rank(parts[h], parts[i])
-            put(h, _NONE if r is None else r * n + h)
-    return [p for p in parts if p is not None]
-
-
-def _merge_node(parts: list, rank: Callable) -> list:
-    """The same where all positions are children of one node."""
-    ranks = [_NONE if (r := rank(a, b)) is None else r for a, b in zip(parts, parts[1:])]
-    while ranks and (least := min(ranks)) < _NONE:
-        i = ranks.index(least)
-        joined = parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del ranks[i]
-        if i < len(ranks):
-            r = rank(joined[0], parts[i + 1])
-            ranks[i] = _NONE if r is None else r
-        if i:
-            r = rank(parts[i - 1], joined[0])
-            ranks[i - 1] = _NONE if r is None else r
-    return parts
-
-
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-# All letters of these ranges are letters for \p{L} as well, and no digit outside 0-9 or unusual space is among them,
-# so that the standard library's faster matcher splits texts over them exactly as the full pattern does.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(f"[\t-\r -~{_LETTERS[6:]}]*")
-_FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+class Pairs:
+    """The rank of each pair of tokens that may merge; the merged token has it as its id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {
+            (left << 32) | right: rank
+            for token, rank in ranks.items()
+            for i in range(1, len(token))
+            if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None
+        }
+        self.key = np.array(sorted(pairs) or [-1], np.int64)
+        self.rank = np.array([pairs.get(int(k), _NONE) for k in self.key], np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks, or _NONE."""
+        key = (left.astype(np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], _NONE)
+
+
+def merge_all(ids: np.ndarray, sizes: np.ndarray, pairs: Pairs, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of matches of up to `leaves` (a power of two) symbols: `ids` has a row for each match, of which the
+    first sizes[row] are symbols. All tokens, row by row, and how many each row has."""
+    rows, place = len(ids), np.arange(leaves)
+    live = place[None, :] < sizes[:, None]
+    after, before = np.tile(place + 1, (rows, 1)), np.tile(place - 1, (rows, 1))
+    tree = np.full((rows, 2 * leaves), _NONE, np.int64)
+    rank = pairs.of(ids[:, :-1], ids[:, 1:])
+    tree[:, leaves:-1] = np.where(live[:, 1:] & (rank < _NONE), rank * leaves + place[:-1], _NONE)
+    width = leaves
+    while width > 1:
+        tree[:, width // 2 : width] = np.minimum(tree[:, width : 2 * width : 2], tree[:, width + 1 : 2 * width : 2])
+        width //= 2
+    row = np.flatnonzero(tree[:, 1] < _NONE)
+    while len(row):
+        least = tree[row, 1]
+        i = least % leaves
+        j = after[row, i]
+        k, h = after[row, j], before[row, i]
+        ids[row, i] = least // leaves
+        live[row, j] = False
+        after[row, i] = k
+        has_k, has_h = k < sizes[row], h >= 0
+        before[row[has_k], k[has_k]] = i[has_k]
+        # The merged pair's left place pairs with what follows, and what stands before it with the merged token.
+        left = np.concatenate([i[has_k], h[has_h]])
+        right = np.concatenate([k[has_k], i[has_h]])
+        who = np.concatenate([row[has_k], row[has_h]])
+        new = pairs.of(ids[who, left], ids[who, right])
+        tree[row, leaves + j] = _NONE
+        tree[row, leaves + i] = _NONE
+        tree[who, leaves + left] = np.where(new < _NONE, new * leaves + left, _NONE)
+        who, node = np.concatenate([row, row, row[has_h]]), np.concatenate([i, j, h[has_h]]) + leaves
+        while node[0] > 1:
+            node >>= 1
+            tree[who, node] = np.minimum(tree[who, 2 * node], tree[who, 2 * node + 1])
+        row = row[tree[row, 1] < _NONE]
+    return ids[live], live.sum(1)
+
+
+#: The characters that stand for the classes: any letter but those of contractions, a number, and other white space.
+_SHOWN = np.full(4, ord("."), np.uint8)
+_SHOWN[[LETTER, NUMBER, SPACE]] = [ord("a"), ord("0"), ord("\t")]
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[a-z]+| ?0+| ?[.']+|\s+(?!\S)|\s+")
+
+
+def _shown() -> np.ndarray:
+    """What the pattern sees of each code point."""
+    shown = _SHOWN[classes()]
+    for c in "strevmld' ":
+        shown[ord(c)] = ord(c)
+    return shown
 
 
 class Codec:
-    """Encoder and decoder for one file of ranks and one split pattern."""
+    """Encoder and decoder for one file of ranks, under public_tokenizers.PATTERN."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.pattern = regex.compile(pattern)
-        self.fast = pattern == public_tokenizers.PATTERN
+        self.pairs = Pairs(ranks)
+        self.shown = _shown()
         self.memo: dict[str, tuple[int, ...]] = {}
         tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             tokens[i] = token
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        ranks = self.ranks
-        if (whole := ranks.get(data)) is not None:
-            return (whole,)
-        merged = merge([data[i : i + 1] for i in range(len(data))], lambda a, b: ranks.get(a + b))
-        return tuple(ranks[t] for t in merged)
-
-    def encode(self, text: str) -> np.ndarray:
-        pieces = (_FAST if self.fast and _PLAIN.fullmatch(text) else self.pattern).findall(text)
+    def split(self, text: str) -> list[str]:
+        """The matches of the pattern."""
+        shown = self.shown[code_points(text)].tobytes().decode("latin-1")
+        ends = np.cumsum([len(x) for x in _SPLIT.findall(shown)]).tolist()
+        return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Merge the matches that aren't remembered, those of similar length together."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        by_leaves: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces:
+            if piece not in self.memo:
+                data = piece.encode("utf-8", "surrogatepass")
+                if (whole := self.ranks.get(data)) is not None:
+                    self.memo[piece] = (whole,)
+                else:
+                    by_leaves.setdefault(max(2, 1 << (len(data) - 1).bit_length()), []).append((piece, data))
+        for leaves, group in by_leaves.items():
+            at_once = max(1, LEAVES // leaves)
+            for at in range(0, len(group), at_once):
+                part = group[at : at + at_once]
+                symbols = np.frombuffer(b"".join(data.ljust(leaves, b"\0") for _, data in part), np.uint8).reshape(len(part), leaves)
+                tokens, count = merge_all(self.byte[symbols], np.array([len(data) for _, data in part]), self.pairs, leaves)
+                ends = np.cumsum(count).tolist()
+                tokens = tokens.tolist()
+                for (piece, _), a, b in zip(part, [0, *ends], ends):
+                    self.memo[piece] = tuple(tokens[a:b])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = [self.split(t) for t in texts]
+        self.learn(set(chain.from_iterable(pieces)))
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for p in set(pieces):
-            if p not in memo:
-                memo[p] = self.piece(p)
-        return np.fromiter(chain.from_iterable(map(memo.__getitem__, pieces)), np.int32)
+        return [np.fromiter(chain.from_iterable(map(memo.__getitem__, p)), np.int32) for p in pieces]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids; one gather over the table of token bytes."""
@@ -146,19 +177,26 @@ class Codec:
 
 
 #: The codec that this Python worker used last, which outlives its tasks.
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def _codec(path: str, shared, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
+def _codec(path: str, shared) -> Codec:
+    if path not in _codecs:
         _codecs.clear()
-        _codecs[path, pattern] = Codec(shared.value, pattern)
-    return _codecs[path, pattern]
+        _codecs[path] = Codec(shared.value)
+    return _codecs[path]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def _slices(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, by the sizes of its rows."""
+    i = 0
+    while i < batch.num_rows:
+        j, size = i + 1, sizes[i]
+        while j < batch.num_rows and size + sizes[j] <= SLICE:
+            size += sizes[j]
+            j += 1
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -171,9 +209,9 @@ def _ranks(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load_ranks(path))
 
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """`key` and `ids`, the token ids of each text."""
-    return _run(docs.select(F.col(key), text_column(text).alias("text")), path, pattern, key, ids=True, decoded=False)
+    return _run(docs.select(F.col(key), text_column(text).alias("text")), path, key, decoded=False)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -181,38 +219,36 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     shared = _ranks(encoded.sparkSession, path)
 
     def run(batches):
-        codec = _codec(path, shared, public_tokenizers.PATTERN)
+        codec = _codec(path, shared)
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, [16 * len(x or ()) for x in batch.column(1).to_pylist()]):
                 out = [codec.decode(np.asarray(x or (), np.int32)) for x in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(out, pa.binary())], names=[key, "decoded"])
 
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", key: str = "doc_id") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """`key`, `ids` and `decoded`: the ids of each text, and the bytes that these ids decode to, in one pass."""
-    return _run(docs.select(F.col(key), text_column(text).alias("text")), path, pattern, key, ids=True, decoded=True)
+    return _run(docs.select(F.col(key), text_column(text).alias("text")), path, key, decoded=True)
 
 
-def _run(rows: DataFrame, path: str, pattern: str, key: str, ids: bool, decoded: bool) -> DataFrame:
+def _run(rows: DataFrame, path: str, key: str, decoded: bool) -> DataFrame:
     shared = _ranks(rows.sparkSession, path)
-    names = [key] + ["ids"] * ids + ["decoded"] * decoded
+    names = [key, "ids"] + ["decoded"] * decoded
 
     def run(batches):
-        codec = _codec(path, shared, pattern)
+        codec = _codec(path, shared)
         for batch in batches:
-            for part in _slices(batch):
-                encoded = [codec.encode(t) for t in part.column(1).to_pylist()]
-                out = [part.column(0)]
-                if ids:
-                    out.append(_lists(encoded))
+            for part in _slices(batch, pc.binary_length(batch.column(1)).to_pylist()):
+                encoded = codec.encode(part.column(1).to_pylist())
+                out = [part.column(0), _lists(encoded)]
                 if decoded:
                     out.append(pa.array([codec.decode(x) for x in encoded], pa.binary()))
                 yield pa.record_batch(out, names=names)
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, ", ".join([f"`{key}` {kind}"] + ["ids array<int>"] * ids + ["decoded binary"] * decoded))
+    return rows.mapInArrow(run, ", ".join([f"`{key}` {kind}", "ids array<int>"] + ["decoded binary"] * decoded))
 
 
 def op4(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -4,8 +4,12 @@ The split pattern of the vocabulary is compiled into a deterministic transducer
 annotated with the tokens that it emits: one that starts at the character read, and one that started at the character
 before (a letter after an apostrophe that turns out not to continue a contraction). The characters of a batch are cut
 into chunks of equal length; each chunk is run from every state at once, which gives its state map, the maps are
-composed by a parallel prefix scan, and the chunks are then replayed from their true first states. A second transducer,
-over the words, emits the number of BPE tokens of each; its transitions are compiled when a word is first met.
+composed by a parallel prefix scan, and the chunks are then replayed from their true first states.
+
+Inside a word a second machine counts. A sequence of tokens is what BPE gives exactly if each two neighbours stay two when
+they are merged on their own, so the tokens are the states, and a transition leads from the last token of a prefix to
+the one token that may follow it and ends at the symbol read; it emits one token more than that prefix had. Transitions
+are compiled when two tokens first meet.
 
 Defined results: a null or empty text has no tokens and no bytes; special strings inside a text count as one token, as
 the library does by default; an empty table gives an empty result; repeated rows are counted one by one; other columns
@@ -16,7 +20,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 
 import numpy as np
@@ -25,19 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import merge
+from .characters import classes, code_points, lower
 from .common import text_column
 
 CHUNK = 256
 MEMO = 300_000
+_NEVER = 1 << 62
 #: Characters that are handled at a time.
 BATCH = 1 << 20
 
 # Character classes and states of the transducer.
 SPACE, DIGIT, MARK, QUOTE, LETTER, ENDS, OPENS_E, OPENS_L, E = range(9)
 FREE, WORD, MARKS, QUOTED, NEEDS_E, NEEDS_L = range(6)
-#: The white-space code points of Unicode, fixed values.
-SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
 def _machine() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,14 +65,7 @@ def _machine() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _classes() -> np.ndarray:
     """The class of every code point."""
-    kinds = np.full(sys.maxunicode + 1, MARK, np.uint8)
-    for i in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(i))[0]
-        if kind == "L":
-            kinds[i] = LETTER
-        elif kind == "N":
-            kinds[i] = DIGIT
-    kinds[SPACES] = SPACE
+    kinds = np.array([MARK, LETTER, DIGIT, SPACE], np.uint8)[classes()]  # by characters.OTHER, LETTER, NUMBER, SPACE
     for chars, c in (("'", QUOTE), ("stmd", ENDS), ("rv", OPENS_E), ("l", OPENS_L), ("e", E)):
         kinds[[ord(x) for x in chars]] = c
     return kinds
@@ -91,12 +86,59 @@ class Counter:
         self.to, self.here, self.before = _machine()
         self.kinds = _classes()
         self.letters = _byte_letters()
+        self.symbols = {*self.letters, *(x + self.end for x in self.letters)}
+        #: Tokens by how many symbols they have; each is the merge of two others, down to single symbols.
+        merged = {a + b for a, b in self.pairs}
+        self.longest = max((len(t.removesuffix(self.end)) for t in merged), default=1)
+        self.tokens = self.symbols | merged
+        self.follows: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, int] = {}
 
+    def merged(self, symbols: list[str]) -> list[str]:
+        """The tokens of a few symbols, merge by merge."""
+        parts = list(symbols)
+        while len(parts) > 1:
+            rank, i = min((self.pairs.get(p, _NEVER), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if rank == _NEVER:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    def split(self, token: str) -> list[str]:
+        """The symbols of a token."""
+        body = token.removesuffix(self.end) if self.end and token not in self.letters else token
+        out = list(body)
+        if len(body) < len(token):
+            out[-1] += self.end
+        return out
+
+    def transition(self, left: str, right: str) -> bool:
+        """Whether there is a transition: both tokens stay as they are side by side (`left` is empty at a word's start)."""
+        if len(self.follows) > MEMO:
+            self.follows.clear()
+        known = self.follows[left, right] = self.merged([*self.split(left), *self.split(right)]) == [left, right][not left :]
+        return known
+
     def word(self, word: str) -> int:
-        symbols = [self.letters[b] for b in word.encode()]
-        symbols[-1] += self.end
-        return len(merge(symbols, lambda a, b: self.pairs.get((a, b))))
+        body = "".join([self.letters[b] for b in word.encode()])
+        n, tokens, follows = len(body), self.tokens, self.follows
+        last: list[str | None] = [""]
+        count = [0]
+        for i in range(1, n + 1):
+            end = self.end if i == n else ""
+            found, total = None, 0
+            # One token fits where the prefix has tokens at all; most are short.
+            for j in range(i - 1, max(-1, i - 1 - self.longest), -1):
+                token = body[j:i] + end
+                if token in tokens and (left := last[j]) is not None:
+                    if (known := follows.get((left, token))) is None:
+                        known = self.transition(left, token)
+                    if known:
+                        found, total = token, count[j] + 1
+                        break
+            last.append(found)
+            count.append(total)
+        return count[n]
 
     def states(self, kinds: np.ndarray) -> np.ndarray:
         """The state before each character."""
@@ -130,12 +172,12 @@ class Counter:
                 if part:
                     if not unicodedata.is_normalized("NFC", part):
                         part = unicodedata.normalize("NFC", part)
-                    pieces.append(part.replace("Σ", "σ").lower())
+                    pieces.append(lower(part))
                     owners.append(i)
         if not pieces:
             return total
         text = "\n".join(pieces) + "\n"
-        kinds = self.kinds[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        kinds = self.kinds[code_points(text)]
         at = self.states(kinds) * np.uint8(9) + kinds
         starts = self.here.ravel()[at]
         starts[:-1] |= self.before.ravel()[at[1:]]
@@ -157,9 +199,19 @@ class Counter:
         return total
 
 
+#: The normalisers and the split pattern that the first machine is compiled from.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def load_vocabulary(path: str) -> dict:
+    """Merges, suffix and special strings of a tokenizer file; files that split texts in another way are refused."""
     with open(path, encoding="utf-8") as f:
         whole = json.load(f)
+    steps = [n["type"] for n in whole["normalizer"]["normalizers"]]
+    split = whole["pre_tokenizer"]["pretokenizers"][0]
+    if steps != _NORMAL or split["type"] != "Split" or split["pattern"] != {"Regex": _PATTERN} or whole["model"]["type"] != "BPE":
+        raise ValueError(f"{path}: not a tokenizer of this kind")
     merges = [m if isinstance(m, list) else m.split(" ") for m in whole["model"]["merges"]]
     return {"merges": merges, "suffix": whole["model"]["end_of_word_suffix"] or "", "special": [t["content"] for t in whole["added_tokens"]]}
 

@@ -167,10 +167,30 @@ def test_components_of_a_chain(spark):
     assert roots == {**{i: 0 for i in range(61)}, 100: 90, 95: 90, 90: 90}
 
 
+def test_segment_tree_merges_the_leftmost_lowest_pair():
+    rng = random.Random(9)
+    ranks = {bytes([b]): b for b in range(256)}
+    for _ in range(60):
+        a, b = rng.choice([t for t in ranks if t[-1] < 100]), rng.choice(list(ranks)[97:100] + list(ranks)[256:])
+        ranks.setdefault(a[-6:] + b[:6], len(ranks))
+    pieces = ["".join(rng.choice("abc") for _ in range(n)) for n in (2, 3, 5, 8, 17, 33, 64, 200) for _ in range(9)]
+    codec = bpe.Codec(ranks)
+    codec.learn(pieces)
+    for piece in pieces:
+        parts = [bytes([b]) for b in piece.encode()]
+        while True:
+            known = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not known or len(parts) == 1:
+                break
+            i = min(known)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert codec.memo[piece] in (tuple(ranks[p] for p in parts), (ranks.get(piece.encode()),)), piece
+
+
 @pytest.fixture(scope="module")
 def strings():
     rng = random.Random(3)
-    alphabet = ["'", "r", "e", "l", "s", "ll", "ve", " ", "\n", "\t", "é", "é", "😀", "1", "²", "٣", ".", "\x1c", "\x85", "\xa0", "Σ", "字", "ß", "ǅ", "the", "<|endoftext|>"]
+    alphabet = ["'", "r", "e", "l", "s", "ll", "ve", " ", "\n", "\t", "é", "é", "😀", "1", "²", "٣", ".", "\x1c", "\x85", "\xa0", "Σ", "\ua7cb", "\ua7ce", "\U00010d50", "\U0003f234", "\U000323b0", "字", "ß", "ǅ", "the", "<|endoftext|>"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(500)]
     return [*texts, "", "a" * 5000, "ab" * 3000 + "'ll", "   x   ", "\r\n\r\n"]
 
