@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_column
@@ -32,6 +32,8 @@ SHORT = tuple(tuple(range(n)) for n in (1, 2, 3))
 #: The bitmap has about 256 bits for each item seed, within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 24, 1 << 27
 SPAN, PERCENT = 20, 80
+#: Tasks over which the hits of one seed are spread, and alignments of a document that are compared at a time.
+SALTS, WANTED = 8, 512
 
 
 def item_seeds(items: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
@@ -102,9 +104,13 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, percent: int = PE
                 )
 
     hit = source.mapInArrow(hits, f"key {kind}, h long, at int")
-    aligned = hit.join(seeds, "h").select("key", "item", "n", (F.col("at") - F.col("pos")).alias("shift")).distinct()
-    # At most the item's length of alignments for each word of the document.
-    wanted = aligned.groupBy("key").agg(F.collect_list(F.struct("item", "n", "shift")).alias("wanted"))
+    # Seeds and items are copied, and hits and alignments dealt, to SALTS tasks: a common phrase or a short item is met often.
+    copied = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = lambda df, *by: df.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    aligned = dealt(hit, "key", "at").join(copied(seeds), ["h", "salt"]).select("key", "item", "n", (F.col("at") - F.col("pos")).alias("shift")).distinct()
+    # A text goes along once for each WANTED alignments.
+    part = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("item", "shift")) - 1) / WANTED).alias("part")
+    wanted = aligned.select("*", part).groupBy("key", "part").agg(F.collect_list(F.struct("item", "n", "shift")).alias("wanted"))
 
     def align(batches):
         for batch in batches:
@@ -118,7 +124,8 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, percent: int = PE
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["key", "item", "shift", "lo", "part"])
 
     parts = source.join(wanted, "key").select("key", "text", "wanted")
-    sliced = parts.mapInArrow(align, f"key {kind}, item {item_kind}, shift int, lo int, part array<long>").join(known.select("item", "n", "words"), "item")
+    pieces = parts.mapInArrow(align, f"key {kind}, item {item_kind}, shift int, lo int, part array<long>")
+    sliced = dealt(pieces, "key", "shift").join(copied(known.select("item", "n", "words")), ["item", "salt"])
     # Places of the item that the document doesn't reach count as unequal, so a stretch may lie anywhere in the item.
     compared = sliced.select("key", "item", "shift", "lo", "n", F.zip_with("part", F.slice("words", F.col("lo") - F.col("shift") + 1, F.size("part")), lambda a, b: a == b).alias("equal"))
 

@@ -12,8 +12,9 @@ file, by an equality join of the ancestors of its directory with the directories
 
 Defined results: a null or empty text holds no licence; several licences in one text are all listed, sorted, and the
 best one (largest cosine, then name; that of the whole text before those of lines) stands for the text; of several licence files in a directory the one of the
-smallest path counts; rows with a null path hold none; repeated rows of one path count as one text; an empty table gives an empty
-result; other columns are not read.
+smallest path counts; rows with a null path hold none and inherit none; repeated rows of one path and text count as one
+text; other texts under that path are judged each, and the path holds the licences of all and is a licence file if one of
+them is; an empty table gives an empty result; other columns are not read, but for those that `keep` names.
 """
 
 from __future__ import annotations
@@ -140,31 +141,30 @@ def _term_column(text: str):
 
 
 def licence_texts(docs: DataFrame, threshold: float = FILE_THRESHOLD, text: str = "text", key: str = "path") -> DataFrame:
-    """key, licence and cosine of each text that is a licence as a whole."""
+    """key, h (a hash of the text), licence and cosine of each text that is a licence as a whole."""
     texts = full_texts()
     table, unknown = template_terms(docs.sparkSession, texts)
     lower = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(text_column(text)).alias("x"))
     near = lower.where(F.col("x").rlike(_any_of(_needed(texts, threshold))))
-    # Repeated rows of one path are one text.
     words = near.select("key", F.xxhash64("x").alias("h"), _term_column("x").alias("terms")).dropDuplicates(["key", "h"])
     best = F.min(F.struct((-F.col("cosine")).alias("rank"), "licence"))
     scored = _cosines(words, ["key", "h"], table, unknown, threshold)
-    return scored.groupBy("key").agg(best.alias("best")).select("key", F.col("best.licence").alias("licence"), (-F.col("best.rank")).alias("cosine"))
+    return scored.groupBy("key", "h").agg(best.alias("best")).select("key", "h", F.col("best.licence").alias("licence"), (-F.col("best.rank")).alias("cosine"))
 
 
 def licence_lines(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "path") -> DataFrame:
-    """key, line (place), n_chars, total (characters of the text), licence and cosine of each line with a licence."""
+    """key, h (a hash of the text), line (place), n_chars, total (characters of the text), licence and cosine of each line
+    with a licence."""
     table, unknown = template_terms(docs.sparkSession)
-    split = F.posexplode(F.split(F.lower(text_column(text)), "\n")).alias("line", "x")
-    lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.length(text).alias("total"), split)
+    lower = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(text_column(text)).alias("t"))
+    lines = lower.select("key", F.xxhash64("t").alias("h"), F.length("t").alias("total"), F.posexplode(F.split("t", "\n")).alias("line", "x"))
     # A line without any template term has cosine 0.
     near = lines.where(F.col("x").rlike(_any_of({t for _, notice in TEMPLATES for t in _terms(notice)})))
-    line = ["key", "line", "n_chars", "total"]
+    line = ["key", "h", "line", "n_chars", "total"]
     n_chars = F.length("x").alias("n_chars")
-    # Repeated rows of one path are one text.
-    words = near.select("key", "line", n_chars, "total", _term_column("x").alias("terms")).distinct()
+    words = near.select("key", "h", "line", n_chars, "total", _term_column("x").alias("terms")).distinct()
     names = F.create_map(*(F.lit(x) for pair in sorted(SPDX.items()) for x in pair))
-    named = lines.select("key", "line", n_chars, "total", names[F.regexp_extract("x", r"spdx-license-identifier:\s*([a-z0-9.+-]+)", 1)].alias("licence"), F.lit(1.0).alias("cosine"))
+    named = lines.select("key", "h", "line", n_chars, "total", names[F.regexp_extract("x", r"spdx-license-identifier:\s*([a-z0-9.+-]+)", 1)].alias("licence"), F.lit(1.0).alias("cosine"))
     scored = _cosines(words, line, table, unknown, threshold).unionByName(named.where(F.col("licence").isNotNull()))
     best = F.min(F.struct((-F.col("cosine")).alias("rank"), "licence"))
     return scored.groupBy(*line).agg(best.alias("best")).select(*line, F.col("best.licence").alias("licence"), (-F.col("best.rank")).alias("cosine"))
@@ -175,10 +175,13 @@ def scan(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
     by_line = licence_lines(docs, text=text, key=path).withColumn("whole", F.lit(False))
     by_text = licence_texts(docs, text=text, key=path).withColumn("whole", F.lit(True))
     found = by_line.unionByName(by_text, allowMissingColumns=True)
-    return found.groupBy("key").agg(
-        F.array_sort(F.collect_set("licence")).alias("licences"),
+    by_version = found.groupBy("key", "h").agg(
+        F.collect_set("licence").alias("licences"),
         F.min(F.struct((~F.col("whole")).alias("line"), (-F.col("cosine")).alias("rank"), "licence")).alias("best"),
         (F.max("whole") | F.coalesce(2 * F.sum("n_chars") >= F.max("total"), F.lit(False))).alias("is_file"),
+    )
+    return by_version.groupBy("key").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("licences")))).alias("licences"), F.min("best").alias("best"), F.max("is_file").alias("is_file")
     ).select(F.col("key").alias(path), "licences", F.col("best.licence").alias("licence"), (-F.col("best.rank")).alias("cosine"), "is_file")
 
 
@@ -194,16 +197,19 @@ def inherit(paths: DataFrame, files: DataFrame, path: str = "path") -> DataFrame
     return own.join(nearest, "own", "left").select(path, F.col("best.inherited").alias("inherited"), F.col("best.directory").alias("from_directory"))
 
 
-def scan_and_inherit(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
-    """path, licences, licence, cosine, is_file, effective (own licence, else the inherited one), from_directory."""
+def scan_and_inherit(docs: DataFrame, text: str = "text", path: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, licences, licence, cosine, is_file, effective (own licence, else the inherited one), from_directory of each row,
+    and its columns `keep`."""
     own = scan(docs, text, path)
     above = inherit(docs.select(path), own.where("is_file").select(path, "licence"), path).dropDuplicates([path])
+    row = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None)
     return (
-        docs.select(path)
+        docs.select(path, row.alias("row"))
         .join(own, path, "left")
         .join(above, path, "left")
         .select(
             path,
+            *(F.col("row")[c].alias(c) for c in keep),
             F.coalesce("licences", F.array().cast("array<string>")).alias("licences"),
             "licence",
             "cosine",
@@ -215,14 +221,7 @@ def scan_and_inherit(docs: DataFrame, text: str = "text", path: str = "path") ->
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    """Documents lie at source/lang/doc_id."""
-    at = docs.select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("path"))
-    found = scan_and_inherit(at)
-    return found.select(
-        F.substring_index("path", "/", -1).cast("long").alias("doc_id"),
-        F.size("licences").cast("long").alias("n_licences"),
-        F.array_join("licences", ",").alias("licences"),
-        "licence",
-        "effective",
-        "is_file",
-    )
+    """Documents lie at source/lang/doc_id; one without an id lies nowhere."""
+    path = F.when(F.col("doc_id").isNotNull(), F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")))
+    found = scan_and_inherit(docs.select("doc_id", "text", path.alias("path")), keep=("doc_id",))
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_licences"), F.array_join("licences", ",").alias("licences"), "licence", "effective", "is_file")

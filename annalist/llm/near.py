@@ -11,8 +11,8 @@ the rarest of their shingles (see `_rest`). No group is collected, and all pairs
 one component needs no comparison, since it changes no component.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a null key is
-linked with nothing and has a null component; repeated rows of one key keep their own sets and share a component;
-an empty table gives an empty result; columns beside key and text are not read.
+linked with nothing and has a null component; rows of one key keep their own sets, are linked by each of their texts, and
+share a component; an empty table gives an empty result; columns beside key and text are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ ROWS, BANDS = 7, 40
 PERMUTATIONS = ROWS * BANDS // 2
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 15
+#: Tasks over which the members that have one shingle are spread, at least, and members of one shingle in a task, about.
+SALTS, MEMBERS = 8, 512
 
 
 def _multipliers() -> np.ndarray:
@@ -67,6 +69,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def set_name(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits, less two, that stand for a set."""
+    h = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return h >> 65, h & (1 << 63) - 1
+
+
 def sketch(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, set_a and set_b (128 bits that stand for the set, null without shingles), bands."""
 
@@ -80,9 +88,7 @@ def sketch(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id")
                 names: list = [(None, None)] * len(sets)
                 if full:
                     for i, row in zip(full, band_keys(signatures([sets[i] for i in full]))):
-                        bands[i] = row
-                        h = xxhash.xxh3_128_intdigest(sets[i].tobytes())
-                        names[i] = ((h >> 65), (h & (1 << 63) - 1))
+                        bands[i], names[i] = row, set_name(sets[i])
                 columns = [
                     part.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
@@ -99,7 +105,8 @@ def sketch(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, b) of `pairs` whose full sets have 100 * intersection >= percent * union; `texts` is id, text."""
+    """The (a, b) of `pairs` whose full sets have 100 * intersection >= percent * union; `texts` is id, text. Where an id has
+    several texts, any of them counts."""
     at_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = at_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -159,7 +166,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
     sketches = checkpointed(sketch(docs, size, text, key))
     linked = sketches.where(F.col("set_a").isNotNull() & F.col("id").isNotNull())
     sets = linked.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.min(F.struct("id", "bands"))["bands"].alias("bands"), F.min("n_shingles").alias("n"))
-    members = sets.select("rep", "n", F.explode("bands").alias("band"))
+    members = sets.select("rep", F.col("set_a").alias("set"), "n", F.explode("bands").alias("band"))
     leaders = members.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "lead")
     shared = checkpointed(members.join(leaders, "band"))
     stars = shared.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")).where("a <> b").where(_fits(percent)).select("a", "b").distinct()
@@ -168,7 +175,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         roots = None
     else:
         wanted = shared.select(F.col("rep").alias("id")).distinct()
-        texts = checkpointed(docs.select(F.col(key).alias("id"), text_column(text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+        texts = checkpointed(docs.select(F.col(key).alias("id"), text_column(text).alias("text")).join(wanted, "id", "left_semi").withColumn("version", F.xxhash64("text")).dropDuplicates(["id", "version"]).drop("version"))
         links = checkpointed(confirm(stars, texts, size, percent))
         roots = components(links)
         rest = checkpointed(_rest(shared, roots, stars, texts, size, percent))
@@ -184,7 +191,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
 
 
 def _tokens(texts: DataFrame, size: int) -> DataFrame:
-    """rep, h: a row for each shingle of `texts` (id, text)."""
+    """rep, set, h: a row for each shingle of `texts` (id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -193,9 +200,10 @@ def _tokens(texts: DataFrame, size: int) -> DataFrame:
                 sets = [shingle_set(t, size) for t in part.column(1).to_pylist()]
                 owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                 if len(owner):
-                    yield pa.record_batch([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "h"])
+                    names = np.array([set_name(s)[0] for s in sets], np.int64)
+                    yield pa.record_batch([part.column(0).take(pa.array(owner)), pa.array(names[owner]), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "set", "h"])
 
-    return texts.mapInArrow(run, f"rep {texts.schema['id'].dataType.simpleString()}, h long")
+    return texts.mapInArrow(run, f"rep {texts.schema['id'].dataType.simpleString()}, set long, h long")
 
 
 def _rest(shared: DataFrame, roots: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -208,31 +216,35 @@ def _rest(shared: DataFrame, roots: DataFrame, tried: DataFrame, texts: DataFram
     that share but a common passage, make no pairs. Of the members that meet in a shingle, those outside the largest
     component are paired with the others.
     """
-    at = shared.select("band", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    at = shared.select("band", "rep", "set", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "set", "n", F.coalesce("root", "rep").alias("root"))
     mixed = at.groupBy("band").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("band")
-    left = checkpointed(at.join(mixed, "band").select("rep", "n", "root").distinct())
-    tokens = _tokens(texts.join(left.select(F.col("rep").alias("id")), "id").select("id", "text"), size)
+    left = checkpointed(at.join(mixed, "band").select("rep", "set", "n", "root").distinct())
+    tokens = _tokens(texts.join(left.select(F.col("rep").alias("id")).distinct(), "id").select("id", "text"), size)
     counts = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    known = tokens.join(counts, "h").join(left, "rep")
-    of = Window.partitionBy("rep")
+    known = tokens.join(counts, "h").join(left, ["rep", "set"])
+    of = Window.partitionBy("rep", "set")
     single = F.col("n") - F.count(F.lit(1)).over(of)  # shingles that no other member has are the rarest
     placed = known.withColumn("single", single).withColumn("place", F.col("single") + F.row_number().over(of.orderBy("df", "h")))
     n, both = F.col("n"), 100 + percent
     probe = n - F.floor((percent * n + 99) / 100) + 1
     index = n - F.floor((2 * percent * n + both - 1) / both) + 1
-    rare = checkpointed(placed.where(F.col("place") <= probe).select("h", "rep", "n", "root", "place", (F.col("place") <= index).alias("index")))
+    rare = checkpointed(placed.where(F.col("place") <= probe).select("h", "rep", "set", "n", "root", "place", (F.col("place") <= index).alias("index")))
     sizes = rare.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
-    split = sizes.groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    here = rare.join(split.select("h", "most"), "h").withColumn("few", F.col("root") != F.col("most"))
-    smaller = here.where("index").select("h", F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("root_x"), F.col("place").alias("place_x"), F.col("few").alias("few_x"))
-    larger = here.select("h", F.col("rep").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("root_y"), F.col("place").alias("place_y"), F.col("few").alias("few_y"))
+    # Members of one shingle are dealt to as many tasks as they need; what they are joined with is copied to each.
+    split = sizes.groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"), (F.sum("size") / MEMBERS + 1).cast("int").alias("parts")).where("roots > 1")
+    copies = split.select("h", "most", "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rare.withColumn("salt", F.pmod(F.xxhash64("rep", "set"), F.lit(SALTS)).cast("int"))
+    here = salted.join(copies, ["h", "salt"]).withColumn("few", F.col("root") != F.col("most"))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    smaller = here.where("index").select("h", part, F.col("rep").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("root_x"), F.col("place").alias("place_x"), F.col("few").alias("few_x"))
+    larger = here.select("h", F.pmod(F.xxhash64("set", "rep"), F.col("parts")).cast("int").alias("part"), F.col("rep").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("root_y"), F.col("place").alias("place_y"), F.col("few").alias("few_y"))
     able = (
         (F.col("root_x") != F.col("root_y"))
         & (F.struct("n_a", F.col("x").alias("id")) < F.struct(F.col("n_b").alias("n_a"), F.col("y").alias("id")))
         & (100 * F.col("n_a") >= percent * F.col("n_b"))
         & (both * (1 + F.least(F.col("n_a") - F.col("place_x"), F.col("n_b") - F.col("place_y"))) >= percent * (F.col("n_a") + F.col("n_b")))
     )
-    met = smaller.where("few_x").join(larger, "h").where(able).unionByName(smaller.where("NOT few_x").join(larger.where("few_y"), "h").where(able))
+    met = smaller.where("few_x").join(larger, ["h", "part"]).where(able).unionByName(smaller.where("NOT few_x").join(larger.where("few_y"), ["h", "part"]).where(able))
     pairs = met.select(_ordered("x", "y").alias("p")).select("p.a", "p.b").distinct()
     return pairs.join(tried.select(_ordered("a", "b").alias("p")).select("p.a", "p.b"), ["a", "b"], "left_anti")
 

@@ -1,18 +1,21 @@
 """Personal data, also where it is disguised.
 
-Base identifiers are found on the text as it is. Then transducers rewrite disguises (look-alike characters, spelled
-digits, bracketed or spoken "at" and "dot"), keeping for every output character the source range that it came from;
-identifiers found in the rewritten text are mapped back to source characters and added where they overlap no base span.
+Base identifiers are found on the text as it is. Then transducers rewrite disguises (invisible characters, look-alikes,
+mathematical and full-width forms, digits of other scripts and in words, bracketed or spoken "at" and "dot"), keeping for every output character the source range that it came from;
+identifiers found in the rewritten text are mapped back to source characters and added where they overlap no span found
+before; an address is also added where it holds all of these within it.
 
-Defined results: a null or empty text has no spans; an empty table gives an empty result; repeated rows are searched
-one by one; other columns are not read. Spans are in code points, end exclusive. Every matcher starts only where a match
+Defined results: a null or empty text has no spans; an empty table gives an empty result; repeated rows, and rows with a
+null key, are searched one by one; other columns are not read. Spans are in code points, end exclusive. Every matcher starts only where a match
 can start (at the first character of a run, or at an "@"), so that a text of any length takes linear time.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left
+from itertools import accumulate
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -75,19 +78,26 @@ def find(text: str) -> list[Span]:
 _LOOK_ALIKE = dict(zip("АВЕКМНОРСТУХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABEKMHOPCTYXaeopcyxijsdqwABEZHIKMNOPTYXov"))
 #: Full-width forms, and digits of other scripts that have a fixed distance from theirs.
 _FOLD = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {chr(base + i): str(i) for base in (0x660, 0x6F0, 0x966) for i in range(10)} | _LOOK_ALIKE
+#: Letters and digits in mathematical styles and in circles, which compatibility names as such.
+_FOLD |= {chr(c): plain for c in (*range(0x1D400, 0x1D800), *range(0x2460, 0x2469), *range(0x24B6, 0x24EA), *range(0x2080, 0x208A)) if len(plain := unicodedata.normalize("NFKC", chr(c))) == 1 and plain.isascii()}
+#: Characters that show nothing (soft hyphen, zero-width ones, word joiner, byte order mark).
+_UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
 _FOLD_ANY = re.compile("[" + "".join(map(re.escape, _FOLD)) + "]")
 #: Digits in words.
 _SPOKEN = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _WORD = "|".join(sorted(_SPOKEN, key=len, reverse=True))
+#: What may stand between two number words: a mark or two, brackets of an area code, a line break.
+_GAP = r"[ ,.()\n-]{1,3}"
 # At least eight in a row: a shorter row of number words is ordinary speech.
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORD})(?:[ ,.-]{{1,2}}(?:{_WORD})(?![A-Za-z])){{7,}}+", re.I)
+_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORD})(?:{_GAP}(?:{_WORD})(?![A-Za-z])){{7,}}+", re.I)
 _ONE = re.compile(_WORD, re.I)
 # Number words beside digits, other number words or spoken dots, however few; the detectors' own tests decide.
 _UNIT = rf"(?:[0-9]++|(?:{_WORD})(?![A-Za-z]))"
-_DOT = r"(?:[ ]dot[ ]|\s{0,2}[\[({<]\s?(?:dot|[.])\s?[\])}>]\s{0,2})"
-_MIXED = re.compile(rf"(?<![A-Za-z0-9]){_UNIT}(?:(?:{_DOT}|[ ,.-]{{1,2}}){_UNIT})++", re.I)
+_DOT = r"(?:\s(?:dot|point)\s|\s{0,2}[\[({<]\s?(?:dot|[.])\s?[\])}>]\s{0,2})"
+_MIXED = re.compile(rf"(?<![A-Za-z0-9]){_UNIT}(?:(?:{_DOT}|{_GAP}){_UNIT})++", re.I)
+_ANY_DOT = re.compile(_DOT, re.I)
 _NUMBER = re.compile(rf"[0-9]+|{_WORD}", re.I)
-_SPELLED_PLUS = re.compile(r"(?<![A-Za-z])plus[ ]+(?=[0-9])", re.I)
+_SPELLED_PLUS = re.compile(r"(?<![A-Za-z])plus[ ]+(?=[0-9(])", re.I)
 _MARK = r"\s{0,2}[\[({<]\s?%s\s?[\])}>]\s{0,2}"
 _DISGUISE = re.compile(
     rf"(?P<at>{_MARK % 'at'}|{_MARK % '@'})|(?P<dot>{_MARK % 'dot'}|{_MARK % '[.]'})"
@@ -96,7 +106,7 @@ _DISGUISE = re.compile(
     r"|(?<=[A-Za-z0-9])(?P<point> dot )(?=[A-Za-z0-9-])",
     re.I,
 )
-_CUE = re.compile(rf"[\[({{<]\s?(?:at|dot|@|[.])\s?[\])}}>]| dot | at (?=[a-z0-9.-]+\.[a-z])|(?:{_WORD})[ ,.-]{{1,2}}(?:{_WORD}|[0-9])|[0-9][ ,.-]{{1,2}}(?:{_WORD})", re.I)
+_CUE = re.compile(rf"[\[({{<]\s?(?:at|dot|@|[.])\s?[\])}}>]| dot | at (?=[a-z0-9.-]+\.[a-z])|(?:{_WORD})(?:{_GAP}|\s(?:dot|point)\s)(?:{_WORD}|[0-9])|[0-9](?:{_GAP}|\s(?:dot|point)\s)(?:{_WORD})|[0-9]\spoint\s[0-9]", re.I)
 
 
 class Tape:
@@ -130,10 +140,11 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 def _mixed(text: str, points: bool) -> list[tuple[int, int, str]]:
     """Edits of rows of number words and digits: spoken dots become points, and what stands beside a number word goes,
-    but for a single point, if `points`."""
+    but for a single point, if `points`; so do line breaks in a row that has number words."""
     edits = []
     for m in _MIXED.finditer(text):
         units = list(_NUMBER.finditer(text, *m.span()))
+        spoken = any(u[0].lower() in _SPOKEN for u in units)
         for i, u in enumerate(units):
             digit = _SPOKEN.get(u[0].lower())
             if not i:
@@ -141,8 +152,8 @@ def _mixed(text: str, points: bool) -> list[tuple[int, int, str]]:
                 continue
             start = units[i - 1].end()
             between = text[start : u.start()]
-            dotted = len(between) > 2 or (points and between == ".")
-            if dotted or digit or units[i - 1][0].lower() in _SPOKEN:
+            dotted = bool(_ANY_DOT.search(between)) or (points and between == ".")
+            if dotted or digit or units[i - 1][0].lower() in _SPOKEN or (spoken and "\n" in between):
                 edits.append((start, u.end(), "." * dotted + (digit or u[0])))
     return edits
 
@@ -150,7 +161,10 @@ def _mixed(text: str, points: bool) -> list[tuple[int, int, str]]:
 def _rewritten(text: str, edits: Callable[[str], list[tuple[int, int, str]]]) -> Tape | None:
     """The tape after all transducers, or None if they change nothing."""
     tape = Tape(text)
-    tape.text = _FOLD_ANY.sub(lambda m: _FOLD[m[0]], text)
+    unseen = [(*m.span(), "") for m in _UNSEEN.finditer(text)]
+    if unseen:
+        tape.rewrite(unseen)
+    tape.text = _FOLD_ANY.sub(lambda m: _FOLD[m[0]], tape.text)
     changed = tape.text != text
     numbers = edits(tape.text)
     if numbers:
@@ -165,7 +179,7 @@ def _rewritten(text: str, edits: Callable[[str], list[tuple[int, int, str]]]) ->
 
 def _undisguise(text: str) -> list[Tape]:
     """The tapes of the ways to read a text's number words; none if nothing in the text is disguised."""
-    if (text.isascii() or not _FOLD_ANY.search(text)) and not _CUE.search(text):
+    if (text.isascii() or not (_FOLD_ANY.search(text) or _UNSEEN.search(text))) and not _CUE.search(text):
         return []
     ways = (_spelled, lambda t: _mixed(t, False), lambda t: _mixed(t, True))
     tapes = [_rewritten(text, w) for w in ways]
@@ -179,10 +193,16 @@ def find_all(text: str) -> tuple[list[Span], list[Span]]:
     added: list[Span] = []
     for tape in _undisguise(text):
         new = []
+        reach = [0, *accumulate((b for _, b in taken), max)]  # where the spans so far end
         for kind, a, b in find(tape.text):
             start, end = tape.starts[a], tape.ends[b - 1]
             i = bisect_left(taken, (end,))
-            if all(e <= start for _, e in taken[max(0, i - 4) : i]):
+            inside = []
+            while reach[i] > start:
+                i -= 1
+                inside.append(taken[i])
+            # An address whose look-alikes cut it short is found again as a whole.
+            if not inside or kind == "email" and all(start <= x and y <= end and (x, y) != (start, end) for x, y in inside if y > start):
                 new.append((kind, start, end))
         added += new
         taken = sorted([*taken, *(s[1:] for s in new)])
@@ -219,4 +239,5 @@ def op8(docs: DataFrame) -> DataFrame:
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added") > 0).alias("has_pii"),
     )

@@ -14,7 +14,8 @@ threshold are repeats. Inside a text, pairs lie side by side and ranks double wi
    in which it lies in the second half.
 4. For the halves left, the ranks of their whole windows; a window goes if it stands in a document of smaller key.
 
-Documents are dealt to chunks of about CHUNK_BYTES by a hash of the key. A chunk sends each distinct rank once, with its
+Before these, texts that a smaller key has as a whole leave: all of their windows are repeats.
+Documents are dealt, compressed, to chunks of about CHUNK_BYTES by a hash of the key. A chunk sends each distinct rank once, with its
 smallest key, so that no rank has more rows than there are chunks, however many documents share it; anchors of very many
 different runs are dealt by the ranks of these. Ranks of rounds 1 and 3, which only rule out, have as many bits as keep
 chance agreements below one in a hundred; those of rounds 2 and 4, which decide, are 64-bit hashes.
@@ -32,6 +33,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +45,12 @@ CHUNK_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 17
 #: Runs of one anchor rank, about, beyond which they are dealt by their own ranks.
 HOT_RUNS = 1 << 15
+#: Tasks over which the copies of one text are spread.
+SALTS = 16
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOW = np.uint64((1 << 20) - 1)
 #: Kinds of messages to a chunk.
-ANCHORS, RUNS, HALVES, WINDOWS = range(4)
+COPIES, ANCHORS, RUNS, HALVES, WINDOWS = range(5)
 _MESSAGE = "chunk int, kind int, value long"
 _RESULT = [("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
 
@@ -120,18 +124,16 @@ class _Shape:
 class _Chunk:
     """The texts of a chunk one after the other, in the order of their keys."""
 
-    def __init__(self, table: pa.Table, shape: _Shape):
+    def __init__(self, table: pa.Table, shape: _Shape, told: pa.Table):
         self.shape = shape
-        table = table.sort_by([("key", "ascending"), ("text", "ascending")]).combine_chunks()
+        table = table.sort_by([("key", "ascending"), ("mark", "ascending")]).combine_chunks()
         keys = table.column("key")
-        self.known = np.asarray(keys.is_valid())
-        self.keys = keys.fill_null(0).to_numpy()
-        texts = table.column("text").cast(pa.large_binary()).combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        body = texts.buffers()[2]
-        self.data = np.frombuffer(body, np.uint8)[bounds[0] : bounds[-1]] if body is not None else np.zeros(0, np.uint8)
-        self.bounds = bounds - bounds[0]
+        self.keys, self.known = keys.fill_null(0).to_numpy(), np.asarray(keys.is_valid())
+        self.copies = np.isin(table.column("mark").to_numpy(), _told(told, COPIES)) & self.known
+        unpack = zstandard.ZstdDecompressor().decompress
+        texts = [unpack(body) for body in table.column("body").to_pylist()]
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
     def runs(self) -> None:
         """first, count (of windows), before (the anchor's distance from the first), rank (of the anchor), block (of the
@@ -140,11 +142,12 @@ class _Chunk:
         The chunk is handled in blocks of windows; a run that a block's end cuts is two runs, which changes no answer.
         """
         span, n = self.shape.span, len(self.data)
-        inside = np.ones(n, bool)  # windows that lie within one document with a key
+        inside = np.ones(n, bool)  # windows that lie within one document that counts
         ends = self.bounds[1:]
         tails = (ends[:, None] - np.arange(1, span)[None, :]).ravel() if len(ends) else ends
         inside[tails[tails >= 0]] = False
-        for a, b in zip(self.bounds[:-1][~self.known].tolist(), ends[~self.known].tolist()):
+        out = ~self.known | self.copies
+        for a, b in zip(self.bounds[:-1][out].tolist(), ends[out].tolist()):
             inside[a:b] = False
         none = np.zeros(0, np.int64)
         found: list[list[np.ndarray]] = [[none], [none], [none], [none.astype(np.uint64)], [none.astype(np.uint64)]]
@@ -230,6 +233,14 @@ def _rows(**columns: np.ndarray | int) -> pa.Table:
     return pa.table({k: pa.array(v if isinstance(v, np.ndarray) else np.full(n, v, np.int32)) for k, v in columns.items()})
 
 
+def _packed(batches):
+    """The texts of batches (key, text, chunk, mark), compressed one by one."""
+    pack = zstandard.ZstdCompressor().compress
+    for batch in batches:
+        bodies = pa.array([pack(text) for text in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.record_batch([batch.column(0), bodies, batch.column(2), batch.column(3)], names=["key", "body", "chunk", "mark"])
+
+
 def _told(messages: pa.Table, kind: int) -> np.ndarray:
     value = messages.column("value").to_numpy()
     return value[messages.column("kind").to_numpy() == kind]
@@ -243,15 +254,23 @@ def rounds(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "t
     chunks = max(partitions(spark), total // CHUNK_BYTES + 1)
     shape = _Shape(span, anchor, min(60, math.ceil(math.log2(total + 2)) + 4))
     number = F.pmod(F.xxhash64("key", F.when(F.col("key").isNull(), F.xxhash64("text"))), F.lit(chunks)).cast("int")
-    dealt = source.withColumn("chunk", number).repartition("chunk")
+    mark = F.xxhash64("key", "text")
+    dealt = source.select("key", "text", number.alias("chunk"), mark.alias("mark")).mapInArrow(_packed, "key long, body binary, chunk int, mark long").repartition("chunk")
+    # Of each text that has several keys, all but the smallest.
+    names = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    named = source.where("key IS NOT NULL").select("key", number.alias("chunk"), mark.alias("mark"), *names)
+    several = named.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    salted = several.select("h1", "h2", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    twins = named.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"]).where("key > least")
+    copies = twins.select("chunk", F.lit(COPIES).alias("kind"), F.col("mark").alias("value"))
 
     def visit(messages: DataFrame, body: Callable[[_Chunk, int, pa.Table], pa.Table], schema: str) -> DataFrame:
         """Each chunk, with or without messages, through `body`, which gets the chunk, its number and what it is told."""
 
         def run(table: pa.Table, told: pa.Table) -> pa.Table:
-            return body(_Chunk(table, shape), table.column("chunk")[0].as_py(), told)
+            return body(_Chunk(table, shape, told), table.column("chunk")[0].as_py(), told)
 
-        return dealt.groupBy("chunk").cogroup(messages.groupBy("chunk")).applyInArrow(run, schema)
+        return dealt.groupBy("chunk").cogroup(copies.unionAll(messages).groupBy("chunk")).applyInArrow(run, schema)
 
     def elsewhere(rows: DataFrame, kind: int) -> DataFrame:
         """Sorts (rank, chunk, size), and tells chunks which of their ranks another chunk has too, and which of these
@@ -260,13 +279,12 @@ def rounds(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "t
         met = rows.withColumn("met", F.min("chunk").over(of) < F.max("chunk").over(of)).withColumn("hot", F.sum(F.expr("shiftleft(1L, size)")).over(of) > hot_runs)
         return met.where("met").select("chunk", F.lit(kind).alias("kind"), (2 * F.col("rank") + F.col("hot").cast("long")).alias("value"))
 
-    def anchors(table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, shape)
+    def anchors(chunk: _Chunk, number: int, told: pa.Table) -> pa.Table:
         chunk.runs()
         ranks = np.sort(shape.short(chunk.rank))
         starts = _starts(ranks)
         size = np.ceil(np.log2(np.diff(starts, append=len(ranks)))).astype(np.int32) if len(ranks) else ranks.astype(np.int32)
-        return _rows(rank=ranks[starts], chunk=table.column("chunk")[0].as_py(), size=size)
+        return _rows(rank=ranks[starts], chunk=number, size=size)
 
     def runs(chunk: _Chunk, number: int, told: pa.Table) -> pa.Table:
         chunk.runs()
@@ -278,7 +296,7 @@ def rounds(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "t
         mine = left[one]
         hot = np.isin(rank[mine], value[value & 1 == 1] >> 1)
         group = np.where(hot, (block[one] >> 2) & ((1 << 62) - 1) | (1 << 61), rank[mine])
-        return _rows(group=group, block=block[one], key=chunk.key[mine], chunk=number, place=chunk.place(mine), hot=hot.astype(np.int32))
+        return _rows(group=group, block=block[one], key=chunk.key[mine], chunk=number, place=2 * chunk.place(mine) + hot)
 
     def halves(chunk: _Chunk, number: int, told: pa.Table) -> pa.Table:
         value = _told(told, RUNS)
@@ -298,8 +316,8 @@ def rounds(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "t
         owned = chunk.placed(value[value & 1 == 0] >> 1)
         rank, run, at = owned.windows(_told(told, HALVES) >> 1)
         _, least, where = _least(rank, owned.key[run])
-        # A window that is sent under its smallest key here, and is answered if another chunk has a smaller one.
-        gone = np.isin(rank, _told(told, WINDOWS)) | ((owned.key[run] > least[where]) if len(run) else np.zeros(0, bool))
+        # A window is sent under its smallest key here, and stays for that one if no other chunk has a smaller one.
+        gone = ~np.isin(rank, _told(told, WINDOWS)) | ((owned.key[run] > least[where]) if len(run) else np.zeros(0, bool))
         # Runs by what they hold: a copy under a larger key goes, and all go where a smaller key elsewhere has it.
         block = chunk.block.view(np.int64)
         order = np.lexsort((chunk.first, block))
@@ -323,6 +341,9 @@ def rounds(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "t
         places = at[pick] - owned.first[run[pick]] + np.repeat(chunk.first[twins], size)
         np.add.at(step, places, 1)
         np.add.at(step, places + span, -1)
+        whole = chunk.copies & (np.diff(chunk.bounds) >= span)
+        np.add.at(step, chunk.bounds[:-1][whole], 1)
+        np.add.at(step, chunk.bounds[1:][whole], -1)
         lost = np.cumsum(step[:-1]) > 0
         begins = lost.copy()
         begins[1:] &= ~lost[:-1]
@@ -334,17 +355,18 @@ def rounds(docs: DataFrame, span: int = 50, anchor: int = ANCHOR, text: str = "t
         columns = [pa.array(chunk.keys, mask=~chunk.known), np.diff(chunk.bounds), np.diff(upto(lost)), np.diff(upto(begins)), texts.cast(pa.binary())]
         return pa.table({c: pa.array(x, t) if isinstance(x, np.ndarray) else x for (c, t), x in zip(_RESULT, columns)})
 
-    ranks = dealt.groupBy("chunk").applyInArrow(anchors, "rank long, chunk int, size int")
+    ranks = visit(copies.where(F.lit(False)), anchors, "rank long, chunk int, size int")
     of_group = Window.partitionBy("group")
-    sent = visit(elsewhere(ranks, ANCHORS), runs, "group long, block long, key long, chunk int, place long, hot int")
-    judged = sent.withColumn("least", F.min("key").over(Window.partitionBy("group", "block"))).withColumn("mixed", (F.min("block").over(of_group) < F.max("block").over(of_group)) | (F.col("hot") == 1))
+    sent = visit(elsewhere(ranks, ANCHORS), runs, "group long, block long, key long, chunk int, place long")
+    judged = sent.withColumn("least", F.min("key").over(Window.partitionBy("group", "block"))).withColumn("mixed", (F.min("block").over(of_group) < F.max("block").over(of_group)) | (F.col("place").bitwiseAND(F.lit(1)) == 1))
     later = F.col("key") > F.col("least")
-    run_messages = judged.where(later | F.col("mixed")).select("chunk", F.lit(RUNS).alias("kind"), (2 * F.col("place") + later.cast("long")).alias("value"))
+    run_messages = judged.where(later | F.col("mixed")).select("chunk", F.lit(RUNS).alias("kind"), (F.col("place") - F.col("place").bitwiseAND(F.lit(1)) + later.cast("long")).alias("value"))
     halved = visit(run_messages, halves, "rank long, chunk int, size int")
     half_messages = elsewhere(halved, HALVES)
     both = run_messages.unionAll(half_messages)
     whole = visit(both, windows, "rank long, key long, chunk int").withColumn("least", F.min("key").over(Window.partitionBy("rank")))
-    window_messages = whole.where(later).select("chunk", F.lit(WINDOWS).alias("kind"), F.col("rank").alias("value"))
+    # Told are the windows that stay, which are fewer: a window of a shared half is mostly shared.
+    window_messages = whole.where(~later).select("chunk", F.lit(WINDOWS).alias("kind"), F.col("rank").alias("value"))
     kept = visit(both.unionAll(window_messages), remove, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
     return {"anchors": ranks, "runs": sent, "halves": halved, "windows": whole, "kept": kept.withColumnRenamed("key", key)}
 

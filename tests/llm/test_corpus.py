@@ -1,4 +1,6 @@
+import collections
 import hashlib
+import math
 import random
 import re
 
@@ -273,6 +275,35 @@ def test_personal_data_in_mixed_disguise(before, kind, part, after):
     assert pii.find_all(before + part + after) == ([], [(kind, len(before), len(before + part))])
 
 
+#: Disguises with what they hide: kind, and the text before, of, and after it.
+DISGUISES = [
+    ("email", "to ", "bob\u200b@site.com", ""), ("email", "to ", "bo\u00adb@si\u00adte.org", " now"), ("email", "", "𝐛𝐨𝐛@𝐬𝐢𝐭𝐞.𝐜𝐨𝐦", "!"), ("email", "", "𝚋𝚘𝚋@site.com", ""),
+    ("email", "", "ⓑⓞⓑ@site.com", ""), ("email", "", "bo𝚋@site.com", ""), ("email", "at home: ", "bob(at)site(dot)com", ""), ("email", "", "bob <at> site <dot> com", ""),
+    ("email", "", "bob [@] site [.] com", ""), ("email", "", "bob{at}site{dot}co{dot}uk", ""), ("email", "", "bob at mail dot site dot com", " or so"), ("email", "", "BOB AT SITE DOT COM", ""),
+    ("email", "", "bоb@site.cоm", ""), ("email", "", "bob＠site．com", ""), ("ip", "on ", "192 dot 168 dot 0 dot 1", ""), ("ip", "", "１９２.１６８.１.１", " is"),
+    ("ip", "", "one nine two dot\none six eight dot one dot one", ""), ("ip", "", "one nine two point one six eight point one point two", ""), ("ip", "", "192[.]168[.]0[.]1", ""), ("ip", "", "10 point 0 point 0 point 1", ""),
+    ("ip", "", "𝟏𝟗𝟐.𝟏𝟔𝟖.𝟏.𝟏", ""), ("ip", "", "192.168.\u200b1.1", ""), ("phone", "call ", "plus one (four one five) five five five one two three four", ""), ("phone", "", "plus one, four one five, five five five, one two three four", " today"),
+    ("phone", "", "+1 four one five 555 1234", ""), ("phone", "", "+４９ １７１ ２３４５６７８", ""), ("phone", "", "plus 49 171\n234 five six seven eight", ""), ("phone", "", "plus four four oh two oh seven nine four six oh nine five eight", ""),
+    ("phone", "", "+٤٩ ١٧١ ٢٣٤٥٦٧", ""), ("phone", "", "+49 171\u2060 2345678", ""), ("card", "pay ", "four one one one one one one one one one one one one one one one", ""), ("card", "", "4111-1111-1111-one one one one", ""),
+    ("card", "", "４１１１１１１１１１１１１１１１", ""), ("card", "", "4111 1111 1111\u200b 1111", ""), ("card", "", "𝟒𝟏𝟏𝟏 𝟏𝟏𝟏𝟏 𝟏𝟏𝟏𝟏 𝟏𝟏𝟏𝟏", ""),
+    # Not rewritten: letters spelled out, leet in words, reversed text.
+    ("email", "", "b o b @ s i t e . c o m", ""), ("email", "", "moc.etis ta bob", ""), ("phone", "", "double five triple one two three four", ""),
+]
+
+
+def test_recall_of_disguises():
+    found = [(kind, len(before), len(before + part)) in (lambda r: [*r[0], *r[1]])(pii.find_all(before + part + after)) for kind, before, part, after in DISGUISES]
+    missed = [d[2] for d, hit in zip(DISGUISES, found) if not hit]
+    assert sum(found) >= 0.9 * len(found), missed
+    assert set(missed) <= {d[2] for d in DISGUISES[-3:]}, missed
+
+
+def test_long_spans_keep_later_ones_apart():
+    text = "a@b." + "c" * 50 + " " + " ".join("1.2.3.4" for _ in range(9)) + " x＠y.com"
+    base, added = pii.find_all(text)
+    assert len(base) == 10 and [k for k, *_ in added] == ["email"]
+
+
 def test_ordinary_speech_is_no_personal_data():
     for text in ("we met at noon. One of us, or two. 3 more", "one two three", "at 10.30 we were at home", "in 2024, one or two of 30 dot com firms", "one " * 30):
         assert pii.find_all(text) == ([], []), text
@@ -338,6 +369,87 @@ def test_leaks_against_brute_force(spark):
     assert leaks.op5(table(spark, texts), bench.where("item_id < 0")).where("contaminated").isEmpty()
 
 
+def test_seeds_find_every_stretch_at_the_threshold():
+    from itertools import combinations
+
+    for n in range(4, 21):
+        most = max(k for k in range(n + 1) if 100 * (n - k) >= leaks.PERCENT * n)
+        for gone in combinations(range(n), most):
+            equal = {*range(n)} - {*gone}
+            assert any(all(i + o in equal for o in mask) for mask in leaks.SEEDS for i in range(n - mask[-1])), (n, gone)
+
+
+class PlainLicences:
+    """The best template's licence by TF-IDF vectors, and its cosine, or None; one template after the other."""
+
+    def __init__(self, templates, threshold):
+        self.threshold = threshold
+        texts = [(name, self.words(t)) for name, t in templates]
+        self.df = {}
+        for _, ws in texts:
+            for w in set(ws):
+                self.df[w] = self.df.get(w, 0) + 1
+        self.n = len(texts)
+        self.own = []
+        for name, ws in texts:
+            vector = {w: ws.count(w) * self.idf(w) for w in set(ws)}
+            self.own.append((name, vector, math.sqrt(sum(v * v for v in vector.values()))))
+
+    @staticmethod
+    def words(text):
+        return [w for w in re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower()) if w not in licences.STOP]
+
+    def idf(self, word):
+        return math.log((1 + self.n) / (1 + self.df.get(word, 0))) + 1
+
+    def best(self, text):
+        counts = collections.Counter(self.words(text))
+        # Words outside of the templates count as distinct terms.
+        length = math.sqrt(sum((k * self.idf(w)) ** 2 if w in self.df else k * self.idf(w) ** 2 for w, k in counts.items()))
+        found = []
+        for name, vector, size in self.own:
+            cosine = round(sum(v * counts[w] * self.idf(w) for w, v in vector.items() if w in counts) / (size * length), 9) if length else 0
+            if cosine >= self.threshold:
+                found.append((-cosine, name))
+        return min(found, default=None)
+
+
+def test_licences_against_brute_force(spark):
+    """op7 over the whole table of documents, and over licence texts wrapped at several widths."""
+    import textwrap
+
+    docs = documents(spark, DATA)
+    full = licences.full_texts()
+    extra = [(100_000 + 10 * i + j, textwrap.fill(t, width) if width else t, "en", f"w{i}") for i, (_, t) in enumerate(full) for j, width in enumerate((0, 60, 78, 10_000))]
+    extra += [(200_000 + i, "plain prose without any grant", "en", f"w{i}") for i in range(len(full))]
+    both = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string"))
+    rows = {r.doc_id: r for r in both.collect()}
+    got = {r.doc_id: r for r in licences.op7(both).collect()}
+    by_line, by_text = PlainLicences(licences.TEMPLATES, licences.THRESHOLD), PlainLicences(full, licences.FILE_THRESHOLD)
+    expected, files = {}, {}
+    for k, r in rows.items():
+        text, found = (r.text or ""), []
+        chars = 0
+        for x in text.lower().split("\n"):
+            spdx = licences.SPDX.get(m[1]) if (m := re.search(r"spdx-license-identifier:\s*([a-z0-9.+-]+)", x)) else None
+            best = min([b for b in (by_line.best(x), (-1.0, spdx) if spdx else None) if b], default=None)
+            if best:
+                found.append((True, *best))
+                chars += len(x)
+        if whole := by_text.best(text):
+            found.append((False, *whole))
+        is_file = bool(found) and (whole is not None or 2 * chars >= len(text))
+        expected[k] = (sorted({f[2] for f in found}), min(found)[2] if found else None, is_file)
+        if is_file:
+            path = f"{r.source}/{r.lang}/{k}"
+            files.setdefault(f"{r.source}/{r.lang}", []).append((path, min(found)[2]))
+    for k, (names, licence, is_file) in expected.items():
+        above = min(files.get(f"{rows[k].source}/{rows[k].lang}", [(None, None)]))[1]
+        assert (got[k].licences, got[k].licence, got[k].is_file, got[k].effective) == (",".join(names), licence, is_file, licence or above), k
+    for i, (name, _) in enumerate(full):
+        assert got[200_000 + i].effective in {n for n, t in full} and all(got[100_000 + 10 * i + j].is_file for j in range(4)), name
+
+
 def test_licences(spark):
     texts = ["prose before, and more of it than of the licence itself, so that it is no licence file\nLicensed under the Apache License, Version 2.0.\nprose", "Released under the MIT License.", "a plain text of the kind that one may read under the sun", None]
     docs = table(spark, texts).withColumn("path", F.element_at(F.array(F.lit("a/b/x"), F.lit("a/LICENSE"), F.lit("a/b/c/y"), F.lit("q/z")), (F.col("doc_id") + 1).cast("int")))
