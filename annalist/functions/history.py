@@ -20,26 +20,33 @@ def is_oid(oid: Column) -> Column:
     return F.coalesce(oid.rlike("^[0-9a-f]{40}$"), F.lit(False))
 
 
+#: White space and other characters that a reference name may not have.
+_NOT_IN_REFS = r"[\x00-\x20\x7f\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff~^:?*\[\\<>\"'&`]"
+#: First segments that aren't repositories.
+RESERVED = ("api", "cgit.css", "favicon.ico", "robots.txt", "info", "git-upload-pack", "git-receive-pack")
+
+
 def is_ref_name(name: Column) -> Column:
-    """Whether a pushed reference may have this name."""
+    """Whether a pushed reference may have this name; its length is counted in UTF-16 units."""
+    units = F.length(name) + F.regexp_count(name, F.lit(r"[\x{10000}-\x{10FFFF}]"))
     bad = (
-        name.rlike(r"[\x00-\x20\x7f~^:?*\[\\<>\"'&]")
+        name.rlike(_NOT_IN_REFS)
         | name.contains("..")
         | name.contains("@{")
         | name.contains("//")
         | name.endswith("/")
         | name.endswith(".lock")
         | name.rlike(r"(^|/)\.")
-        | (F.length(name) > 255)
+        | (units > 255)
     )
     return F.coalesce(name.startswith("refs/") & ~bad, F.lit(False))
 
 
 def is_repo_name(name: Column, namespaced: bool = False) -> Column:
     """One segment, or two where names have namespaces; no reserved word in front."""
-    part = r"[A-Za-z0-9_][A-Za-z0-9._-]{0,99}"
-    shape = f"^{part}/{part}$" if namespaced else f"^{part}$"
-    return F.coalesce(name.rlike(shape) & ~F.lower(F.substring_index(name, "/", 1)).isin("api", "assets", "static"), F.lit(False))
+    part = r"[A-Za-z0-9][A-Za-z0-9._-]*"
+    shape = f"^{part}/{part}\\z" if namespaced else f"^{part}\\z"
+    return F.coalesce(name.rlike(shape) & ~F.substring_index(name, "/", 1).isin(*RESERVED), F.lit(False))
 
 
 def in_namespace(name: Column, namespace: str) -> Column:
@@ -70,22 +77,23 @@ def period_key(seconds: Column, period: str) -> Column:
 
 
 def age(seconds: Column, now: int | Column) -> Column:
-    """How long ago, in the largest fitting unit; empty for the time 0."""
+    """How long ago, in the largest fitting unit, in the singular for one; empty for the time 0."""
     now = F.lit(now) if isinstance(now, int) else now
-    d = now - seconds
+    d = F.greatest(F.lit(0), now - seconds)
     hour, day = 3600, 86400
 
     def unit(size: int, name: str) -> Column:
-        return F.concat(F.floor(d / size).cast("string"), F.lit(f" {name}"))
+        n = F.floor(d / size)
+        return F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))
 
     return (
         F.when(seconds == 0, "")
         .when(d < hour, F.concat(F.greatest(F.lit(1), F.floor(d / 60)).cast("string"), F.lit(" min.")))
-        .when(d < day, unit(hour, "hours"))
-        .when(d < 7 * day, unit(day, "days"))
-        .when(d < 31 * day, unit(7 * day, "weeks"))
-        .when(d < 365 * day, unit(30 * day, "months"))
-        .otherwise(unit(365 * day, "years"))
+        .when(d < day, unit(hour, "hour"))
+        .when(d < 7 * day, unit(day, "day"))
+        .when(d < 31 * day, unit(7 * day, "week"))
+        .when(d < 365 * day, unit(30 * day, "month"))
+        .otherwise(unit(365 * day, "year"))
     )
 
 
@@ -125,11 +133,10 @@ def mode_kind(mode: Column) -> Column:
 
 
 def mode_string(mode: Column) -> Column:
-    """As a listing shows it: a type letter and rwx for user, group and others."""
-    bits = _mode_bits(mode)
-    kind = F.when(mode_kind(mode) == "tree", "d").when(mode_kind(mode) == "symlink", "l").when(mode_kind(mode) == "commit", "m").otherwise("-")
+    """As a listing shows it: a file's bits as rwx for user, group and others; other kinds have fixed forms."""
+    bits, kind = _mode_bits(mode), mode_kind(mode)
     flags = [F.when(bits.bitwiseAND(F.lit(1 << (8 - i))) != 0, "rwx"[i % 3]).otherwise("-") for i in range(9)]
-    return F.concat(kind, *flags)
+    return F.when(kind == "tree", "d---------").when(kind == "commit", "m---------").when(kind == "symlink", "lrwxrwxrwx").otherwise(F.concat(F.lit("-"), *flags))
 
 
 def path_segments(path: Column) -> Column:
@@ -145,7 +152,7 @@ def is_safe_path(path: Column) -> Column:
 
 def is_safe_target(target: Column) -> Column:
     """Whether a symbolic link in an archive may point there."""
-    return ~target.startswith("/") & ~target.contains("\\") & ~F.exists(F.split(target, "/"), lambda s: s == "..")
+    return ~target.startswith("/") & ~F.exists(F.split(target, "/"), lambda s: s == "..")
 
 
 def is_binary(data: Column) -> Column:
@@ -165,18 +172,17 @@ def mentions(field: Column, query: str) -> Column:
     return F.contains(F.lower(F.coalesce(field, F.lit(""))), F.lit(query.lower()))
 
 
-#: Content types by file extension.
+#: Content types by file extension; what a browser would run is served as text.
 CONTENT_TYPES = {
-    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp",
-    "ico": "image/x-icon", "pdf": "application/pdf", "json": "application/json",
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "text/plain; charset=utf-8",
+    "pdf": "application/pdf", "html": "text/plain",
 }
 
 
 def content_type(path: Column, data: Column) -> Column:
-    extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    known = F.lit(None).cast("string")
-    for name, kind in CONTENT_TYPES.items():
-        known = F.when(extension == name, kind).otherwise(known)
+    """By the extension, which is the whole name where it has no point, else by the bytes."""
+    extension = F.lower(F.substring_index(F.substring_index(path, "/", -1), ".", -1))
+    known = F.create_map(*(F.lit(x) for pair in CONTENT_TYPES.items() for x in pair))[extension]
     return F.coalesce(known, F.when(is_binary(data), "application/octet-stream").otherwise("text/plain; charset=utf-8"))
 
 

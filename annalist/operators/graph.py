@@ -8,40 +8,84 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, one on this machine, which only a local session can use."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="annalist-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="annalist-checkpoint-"))
+    """A reliable checkpoint in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def closure(edges: DataFrame, roots: DataFrame, excluded: DataFrame | None = None, max_depth: int | None = None, key: str = "id") -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, excluded: DataFrame | None = None, max_depth: int | None = None, key: str = "id", within: tuple[str, ...] = ()) -> DataFrame:
     """key, depth (rounds from a root, the least) of all that the roots reach, without what is excluded.
 
     The walk doesn't pass through excluded ids, so closure(wants, closure(haves)) is the difference of the closures of
-    a history whose excluded set is closed.
+    a history whose excluded set is closed. `within` names columns that all tables have, such as the repository: walks
+    stay inside one value of these. A round is a level; commit histories, which are long, take `history` instead.
     """
-    steps = edges.select(F.col("src").alias(key), F.col("dst"))
-    start = roots.select(key).distinct()
+    at = [*within, key]
+    steps = edges.select(*within, F.col("src").alias(key), F.col("dst"))
+    start = roots.select(*at).distinct()
     if excluded is not None:
-        start = start.join(excluded.select(key).distinct(), key, "left_anti")
+        start = start.join(excluded.select(*at).distinct(), at, "left_anti")
     frontier = checkpointed(start.withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
-        reached = frontier.join(steps, key).select(F.col("dst").alias(key)).distinct().join(seen, key, "left_anti")
+        reached = frontier.join(steps, at).select(*within, F.col("dst").alias(key)).distinct().join(seen, at, "left_anti")
         if excluded is not None:
-            reached = reached.join(excluded.select(key).distinct(), key, "left_anti")
+            reached = reached.join(excluded.select(*at).distinct(), at, "left_anti")
         frontier = checkpointed(reached.withColumn("depth", F.lit(depth)))
         seen = seen.unionAll(frontier)
+        if depth % 8 == 0:  # else each round reads as many tables as there were rounds
+            seen = checkpointed(seen)
     return seen
 
 
+def jumps(parents: DataFrame, within: tuple[str, ...] = ()) -> list[DataFrame]:
+    """within, oid, far: of each commit its first-parent ancestor 1, 2, 4, ... steps away, until no chain is so long."""
+    first = parents.where("nth = 0 AND parent IS NOT NULL").select(*within, "oid", F.col("parent").alias("far"))
+    found = [checkpointed(first)]
+    while not found[-1].isEmpty():
+        onward = found[-1].select(*within, F.col("oid").alias("far"), F.col("far").alias("next"))
+        found.append(checkpointed(found[-1].join(onward, [*within, "far"]).select(*within, "oid", F.col("next").alias("far"))))
+    return found[:-1]
+
+
+def history(parents: DataFrame, tips: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """within, oid of the commits that `tips` reach, themselves included; `parents` is (within, oid, nth, parent).
+
+    First parents are followed by pointer doubling, all commits of a chain of n in log2(n) joins; what else merges bring in
+    are the tips of the next round, so that rounds grow with how deep merges are nested, not with the history's length.
+    """
+    at = [*within, "oid"]
+    far = jumps(parents, within)
+    sides = parents.where("nth > 0").select(*at, "parent")
+    frontier = checkpointed(tips.select(*at).distinct())
+    seen = None
+    while not frontier.isEmpty():
+        reached = frontier
+        for jump in far:
+            reached = reached.unionAll(reached.join(jump, at).select(*within, F.col("far").alias("oid"))).distinct()
+        fresh = checkpointed(reached if seen is None else reached.join(seen, at, "left_anti"))
+        seen = fresh if seen is None else checkpointed(seen.unionAll(fresh))
+        frontier = checkpointed(fresh.join(sides, at).select(*within, F.col("parent").alias("oid")).distinct().join(seen, at, "left_anti"))
+    return tips.select(*at).where(F.lit(False)) if seen is None else seen
+
+
 def boundary(reached: DataFrame, depth: int) -> DataFrame:
     """The shallow points of a depth-limited closure: those at the limit, roots of the history included."""
     return reached.where(F.col("depth") == depth)
@@ -81,34 +125,85 @@ def ancestor_pairs(parents: DataFrame, of: DataFrame | None = None) -> DataFrame
 
 
 def is_ancestor(parents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """anc, desc, is_ancestor for each of `pairs`; an id is its own ancestor. A pair without it is a forced update."""
-    known = ancestor_pairs(parents, pairs.select(F.col("desc").alias("oid"))).select(F.col("oid").alias("desc"), F.col("ancestor").alias("anc")).withColumn("hit", F.lit(True))
+    """anc, desc, is_ancestor for each of `pairs`; an id is its own ancestor. A pair without it is a forced update.
+
+    `parents` is (oid, parent) of single-parent histories, or (oid, nth, parent). Only the asked pairs travel: each is
+    lifted along first parents to the depth of `anc`, by binary lifting. Pairs that miss it go on from the side parents of
+    the merges that they passed, one merge a round.
+    """
+    if "nth" not in parents.columns:
+        parents = parents.withColumn("nth", F.lit(0))
+    far = jumps(parents)
+    depth = checkpointed(_depths(parents, far))
+    sides = parents.where("nth > 0").select("oid", "parent")
+    merges = checkpointed(_next_merges(parents, far))
+    target = pairs.select("anc", "desc").distinct().join(depth.select(F.col("oid").alias("anc"), F.col("depth").alias("goal")), "anc", "left")
+    frontier = checkpointed(target.select("anc", "desc", "goal", F.col("desc").alias("at")))
+    hits = frontier.where("anc = desc").select("anc", "desc")
+    frontier = frontier.where("anc <> desc AND goal IS NOT NULL")
+    tried = None
+    while not frontier.isEmpty():
+        # A commit as deep as the goal or deeper is lifted by the binary digits of the difference.
+        lifted = frontier.join(depth.withColumnRenamed("oid", "at"), "at").select("anc", "desc", F.col("at").alias("here"), (F.col("depth") - F.col("goal")).alias("steps")).where("steps >= 0")
+        for k, jump in enumerate(far):
+            moved = lifted.join(jump.select(F.col("oid").alias("here"), "far"), "here", "left")
+            lifted = moved.select("anc", "desc", F.when(F.col("steps").bitwiseAND(F.lit(1 << k)) != 0, F.col("far")).otherwise(F.col("here")).alias("here"), "steps")
+        found = checkpointed(lifted.where("here = anc").select("anc", "desc").distinct())
+        hits = checkpointed(hits.unionAll(found).distinct())
+        # Below the next merge on the way: its side parents, and its first parent's own way on.
+        passed = frontier.join(hits, ["anc", "desc"], "left_anti").join(merges.withColumnRenamed("oid", "at"), "at").select("anc", "desc", "goal", "merge")
+        onward = passed.join(parents.select(F.col("oid").alias("merge"), "parent"), "merge").where("parent IS NOT NULL").select("anc", "desc", "goal", F.col("parent").alias("at")).distinct()
+        tried = checkpointed(frontier.select("anc", "desc", "at") if tried is None else tried.unionAll(frontier.select("anc", "desc", "at")))
+        frontier = checkpointed(onward.join(tried, ["anc", "desc", "at"], "left_anti"))
+    known = hits.distinct().withColumn("hit", F.lit(True))
     return pairs.join(known, ["anc", "desc"], "left").select("anc", "desc", F.coalesce("hit", F.lit(False)).alias("is_ancestor"))
 
 
-def peel(tags: DataFrame, targets: DataFrame, max_hops: int = 10) -> DataFrame:
-    """oid, peeled: follow tags (oid, target) from each of `targets` (oid) to what isn't a tag."""
-    hops = tags.select(F.col("oid").alias("peeled"), "target")
-    out = targets.select("oid", F.col("oid").alias("peeled"))
-    for _ in range(max_hops):
-        out = out.join(hops, "peeled", "left").select("oid", F.coalesce("target", "peeled").alias("peeled"))
-    return out
+def _depths(parents: DataFrame, far: list[DataFrame]) -> DataFrame:
+    """oid, depth: how many first parents a commit has above it, the sum of the jumps that lead to its root."""
+    at = parents.select("oid", F.col("oid").alias("here"), F.lit(0).cast("long").alias("depth")).distinct()
+    for k, jump in reversed(list(enumerate(far))):
+        moved = at.join(jump.select(F.col("oid").alias("here"), "far"), "here", "left")
+        at = moved.select("oid", F.coalesce("far", "here").alias("here"), (F.col("depth") + F.when(F.col("far").isNotNull(), 1 << k).otherwise(0)).alias("depth"))
+    return at.select("oid", "depth")
+
+
+def _next_merges(parents: DataFrame, far: list[DataFrame]) -> DataFrame:
+    """oid, merge: the nearest merge on the first-parent way from each commit, itself included; none where there is none."""
+    merge = parents.where("nth > 0").select(F.col("oid").alias("merge")).distinct()
+    ids = parents.select("oid").distinct()
+    known = checkpointed(ids.join(merge, ids["oid"] == merge["merge"], "left").select("oid", "merge"))
+    for jump in far:  # after k rounds, the nearest within 2^k - 1 steps
+        ahead = jump.join(known.select(F.col("oid").alias("far"), F.col("merge").alias("other")), "far").select("oid", "other")
+        known = checkpointed(known.join(ahead, "oid", "left").select("oid", F.coalesce("merge", "other").alias("merge")))
+    return known.where("merge IS NOT NULL")
+
+
+def peel(tags: DataFrame, targets: DataFrame) -> DataFrame:
+    """oid, peeled: follow tags (oid, target) from each of `targets` (oid) to what isn't a tag, however many there are on
+    the way: pointers double until no tag points at a tag."""
+    hops = checkpointed(tags.where("oid <> target").select("oid", "target"))
+    while True:
+        onward = hops.select(F.col("oid").alias("target"), F.col("target").alias("far"))
+        longer = checkpointed(hops.join(onward, "target", "left").select("oid", F.coalesce("far", "target").alias("target"), F.col("far").isNotNull().alias("moved")))
+        hops = longer.select("oid", "target")
+        if longer.where("moved").isEmpty():
+            break
+    return targets.select("oid").join(hops, "oid", "left").select("oid", F.coalesce("target", "oid").alias("peeled"))
 
 
-def flatten_tree(entries: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten_tree(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """root, path, mode, oid of all files below the root trees; links to other repositories are left out.
 
     `entries` is (tree_oid, name, mode, oid); a round descends one directory level in all trees at once.
     """
     level = roots.select(F.col("tree_oid").alias("root"), "tree_oid", F.lit("").alias("prefix"))
     files = None
-    for _ in range(max_depth):
+    while files is None or not level.isEmpty():
         inside = checkpointed(
             level.join(entries.where("mode <> '160000'"), "tree_oid").select("root", F.concat("prefix", "name").alias("path"), "mode", "oid")
         )
         leaf = inside.where(~F.col("mode").isin("40000", "040000"))
         files = leaf if files is None else files.unionAll(leaf)
         level = inside.where(F.col("mode").isin("40000", "040000")).select("root", F.col("oid").alias("tree_oid"), F.concat("path", F.lit("/")).alias("prefix"))
-        if level.isEmpty():
-            break
     return files

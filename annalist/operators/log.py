@@ -62,7 +62,7 @@ def touches(path_oids: DataFrame, commits: DataFrame) -> DataFrame:
 
 def page(log: DataFrame, offset: int = 0, n: int = 50, order: tuple[str, ...] = ("position",)) -> DataFrame:
     """One page per repository, with `more` where the next page isn't empty; n is held between 1 and 100."""
-    n, offset = max(1, min(n, 100)), max(0, min(offset, 5000))
+    n, offset = max(1, min(n, 100)), max(0, offset)
     place = F.row_number().over(Window.partitionBy("repo").orderBy(*order))
     kept = log.withColumn("place_", place).where(F.col("place_").between(offset + 1, offset + n + 1))
     more = F.max("place_").over(Window.partitionBy("repo")) > offset + n

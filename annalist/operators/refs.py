@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.history import ZERO_OID, in_namespace, is_ref_name, short_ref
+from .graph import checkpointed
 
 
 def latest(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -51,26 +52,65 @@ def fingerprint(refs: DataFrame, heads: DataFrame) -> DataFrame:
     return lines.join(heads, "repo", "left").select("repo", F.sha1(F.array_join(F.concat("lines", F.array(F.concat(F.lit("HEAD\0"), F.coalesce("ref_name", F.lit(""))))), "\n")).alias("version"))
 
 
+def _accepted(valid: DataFrame, refs: DataFrame) -> DataFrame:
+    """repo, ref, batch, seq of the commands that apply, of `valid` (repo, ref, batch, seq, old, new).
+
+    A command applies if it is the first one of a later batch that names as old what another set, so that the ones that
+    apply are a chain of such pointers from the stored target on; the chain is found by pointer doubling, in a number of
+    rounds that is the logarithm of the longest one.
+    """
+    at = F.struct("batch", "seq")
+    start = refs.select("repo", F.col("name").alias("ref"), F.col("target").alias("value"))
+    fresh = valid.select("repo", "ref").distinct().join(start, ["repo", "ref"], "left").withColumn("value", F.coalesce("value", F.lit(ZERO_OID)))
+    none = F.lit(None).cast("struct<batch:long,seq:long>")
+    # Rows that set a value, and rows that expect it: the next one is the first that expects it in a later batch.
+    rows = (
+        fresh.select("repo", "ref", "value", F.lit(-1).cast("long").alias("batch"), F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(-1).cast("long").alias("seq")).alias("sets"), none.alias("wants"))
+        .unionByName(valid.select("repo", "ref", F.col("new").alias("value"), "batch", at.alias("sets"), none.alias("wants")))
+        .unionByName(valid.select("repo", "ref", F.col("old").alias("value"), "batch", none.alias("sets"), at.alias("wants")))
+    )
+    later = Window.partitionBy("repo", "ref", "value").orderBy("batch").rangeBetween(1, Window.unboundedFollowing)
+    jump = checkpointed(rows.withColumn("next", F.min("wants").over(later)).where("sets IS NOT NULL AND next IS NOT NULL").select("repo", "ref", "sets", "next"))
+    reached = jump.where(F.col("sets.batch") == -1).select("repo", "ref", F.col("next").alias("sets"))
+    while not jump.isEmpty():
+        reached = checkpointed(reached.unionAll(reached.join(jump, ["repo", "ref", "sets"]).select("repo", "ref", "next")))
+        onward = jump.select("repo", "ref", F.col("sets").alias("next"), F.col("next").alias("far"))
+        jump = checkpointed(jump.join(onward, ["repo", "ref", "next"]).select("repo", "ref", "sets", F.col("far").alias("next")))
+    return reached.select("repo", "ref", "sets.batch", "sets.seq")
+
+
 def decide(commands: DataFrame, refs: DataFrame, stored: DataFrame, ancestry: DataFrame | None = None, unpacked: Column | None = None) -> DataFrame:
     """`commands` (repo, batch, seq, ref, old, new) with `ok`, `message`, `forced`; the rules in their fixed order.
 
-    Of several commands of one batch for one reference all are compared with the stored state. `stored` is (oid);
-    `ancestry` (anc, desc, is_ancestor) tells fast-forwards, without it no update counts as forced.
+    Batches are pushes, one after the other in their order: each command is compared with the references as the batches before left them,
+    and of several of one batch for one reference the first that fits applies. `stored` is (oid); `ancestry` (anc, desc,
+    is_ancestor) tells fast-forwards, without it no update counts as forced. A deletion is none.
     """
-    current = refs.select("repo", F.col("name").alias("ref"), F.col("target").alias("current"))
-    rows = commands.join(current, ["repo", "ref"], "left").withColumn("current", F.coalesce("current", F.lit(ZERO_OID)))
+    number = F.dense_rank().over(Window.partitionBy("repo").orderBy("batch")).cast("long")
+    rows = commands.withColumn("number_", number).withColumn("seq_", F.col("seq").cast("long"))
     rows = rows.join(stored.select(F.col("oid").alias("new")).distinct().withColumn("stored", F.lit(True)), "new", "left")
     if ancestry is not None:
         rows = rows.join(ancestry.select(F.col("anc").alias("old"), F.col("desc").alias("new"), "is_ancestor"), ["old", "new"], "left")
     else:
         rows = rows.withColumn("is_ancestor", F.lit(True))
+    whole = F.lit(True) if unpacked is None else unpacked
+    named, known = is_ref_name(F.col("ref")), (F.col("new") == ZERO_OID) | F.col("stored").isNotNull()
+    rows = checkpointed(rows.withColumn("whole", whole).withColumn("named", named).withColumn("known", known))
+    valid = rows.where("whole AND named AND known").select("repo", "ref", F.col("number_").alias("batch"), F.col("seq_").alias("seq"), "old", "new")
+    accepted = _accepted(valid, refs).select("repo", "ref", F.col("batch").alias("number_"), F.col("seq").alias("seq_"), F.lit(True).alias("accepted"))
+    rows = rows.join(accepted, ["repo", "ref", "number_", "seq_"], "left")
+    before = Window.partitionBy("repo", "ref").orderBy("number_").rangeBetween(Window.unboundedPreceding, -1)
+    moved = F.max(F.when(F.col("accepted"), F.struct("number_", "new"))).over(before)["new"]
+    target = refs.select("repo", F.col("name").alias("ref"), "target")
+    rows = rows.withColumn("moved", moved).join(target, ["repo", "ref"], "left").withColumn("current", F.coalesce("moved", "target", F.lit(ZERO_OID)))
     message = (
-        F.when(~(F.lit(True) if unpacked is None else unpacked), "unpacker error")
-        .when(~is_ref_name(F.col("ref")), "funny refname")
+        F.when(~F.col("whole"), "unpacker error")
+        .when(~F.col("named"), "funny refname")
         .when(F.col("current") != F.col("old"), "fetch first")
-        .when((F.col("new") != ZERO_OID) & F.col("stored").isNull(), "missing necessary objects")
+        .when(~F.col("known"), "missing necessary objects")
+        .when(F.col("accepted").isNull(), "fetch first")
     )
-    forced = (F.col("old") != ZERO_OID) & ((F.col("new") == ZERO_OID) | ~F.coalesce("is_ancestor", F.lit(False)))
+    forced = (F.col("old") != ZERO_OID) & (F.col("new") != ZERO_OID) & ~F.coalesce("is_ancestor", F.lit(False))
     judged = rows.withColumn("message", message)
     return judged.select(*commands.columns, F.col("message").isNull().alias("ok"), "message", (F.col("message").isNull() & forced).alias("forced"))
 
@@ -112,7 +152,11 @@ def patch_config(repos: DataFrame, patches: DataFrame) -> DataFrame:
     return repos.join(p, "name", "left").select("name", *(F.coalesce(f"new_{f}", f).alias(f) for f in (*fields, "private")))
 
 
-def readme(entries: DataFrame, names: tuple[str, ...] = ("readme.md", "readme.markdown", "readme.txt", "readme.rst", "readme")) -> DataFrame:
+#: Files that describe a repository, the first that there is.
+ABOUT = ("about.md", "about.markdown", "about", "readme.md", "readme.markdown", "readme", "readme.txt", "readme.rst")
+
+
+def readme(entries: DataFrame, names: tuple[str, ...] = ABOUT) -> DataFrame:
     """repo, name, oid: the entry of the first listed name at the root, case aside, that isn't a tree."""
     rank = F.array_position(F.array(*(F.lit(n) for n in names)), F.lower("name"))
     ranked = entries.where("mode NOT IN ('40000', '040000')").withColumn("rank", rank).where("rank > 0")
@@ -145,6 +189,6 @@ def push_events(decided: DataFrame) -> DataFrame:
 
 def newest_branches(refs: DataFrame, commits: DataFrame, n: int = 10) -> DataFrame:
     """repo, name, oid, time, rank: the branches whose tips are newest."""
-    tips = refs.where(F.col("name").startswith("refs/heads/")).join(commits.select(F.col("oid").alias("target"), "time"), "target")
+    tips = refs.where(F.col("name").startswith("refs/heads/")).join(commits.select("repo", F.col("oid").alias("target"), "time"), ["repo", "target"])
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("time"), "name"))
     return tips.withColumn("rank", rank).where(F.col("rank") <= n).select("repo", short_ref(F.col("name")).alias("name"), F.col("target").alias("oid"), "time", "rank")

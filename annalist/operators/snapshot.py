@@ -1,61 +1,21 @@
-"""Snapshots: the files of a tree as zip or gzipped tar archives of bounded size, one row for each part."""
+"""Snapshots: which files of a tree go into which part of a bounded archive."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.history import is_safe_path, is_safe_target, mode_kind
 
 
-def _zip(prefix: str, files: list[tuple[str, int, bool, bytes]], mtime: int) -> bytes:
-    when = pd.Timestamp(max(mtime, 315532800), unit="s").timetuple()[:6]
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for path, mode, link, data in files:
-            info = zipfile.ZipInfo(f"{prefix}/{path}", when)
-            info.external_attr = ((0o120777 if link else 0o100000 | mode) << 16) & 0xFFFFFFFF
-            info.compress_type = zipfile.ZIP_DEFLATED if data else zipfile.ZIP_STORED
-            z.writestr(info, data)
-    return out.getvalue()
-
-
-def _tar_gz(prefix: str, files: list[tuple[str, int, bool, bytes]], mtime: int) -> bytes:
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w:gz", format=tarfile.USTAR_FORMAT) as t:
-        for path, mode, link, data in files:
-            info = tarfile.TarInfo(f"{prefix}/{path}")
-            info.mtime, info.mode = mtime, 0o777 if link else mode
-            if link:
-                info.type, info.linkname = tarfile.SYMTYPE, data.decode()
-                t.addfile(info)
-            else:
-                info.size = len(data)
-                t.addfile(info, io.BytesIO(data))
-    return out.getvalue()
-
+def parts(files: DataFrame, budget: int = 16 << 20) -> DataFrame:
+    """repo, part, n_files, bytes, first_path, last_path of `files` (repo, path, mode, data): unsafe entries are left out.
 
-def archives(files: DataFrame, kind: str = "zip", budget: int = 16 << 20, mtime: int = 0) -> DataFrame:
-    """repo, part, n_files, archive of `files` (repo, path, mode, data): unsafe entries are left out.
-
-    Files are dealt to parts of about `budget` bytes in path order, so that a task holds one part and never a repository.
+    Files are dealt to parts of about `budget` bytes in path order; no bytes leave the scan.
     """
     link = mode_kind(F.col("mode")) == "symlink"
-    data = F.col("data").cast("binary")
     safe = files.where(is_safe_path(F.col("path")) & (~link | is_safe_target(F.col("data").cast("string"))))
-    running = F.sum(F.octet_length(data)).over(Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    dealt = safe.select("repo", "path", F.conv("mode", 8, 10).cast("int").bitwiseAND(F.lit(0o777)).alias("mode"), link.alias("link"), data.alias("data"), F.floor(F.coalesce(running, F.lit(0)) / budget).alias("part"))
-    write = _zip if kind == "zip" else _tar_gz
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("path")
-        entries = list(zip(rows.path, rows["mode"], rows.link, rows.data))
-        return pd.DataFrame([(*key, len(entries), write(str(key[0]).rsplit("/", 1)[-1], entries, mtime))], columns=["repo", "part", "n_files", "archive"])
-
-    kind_ = files.schema["repo"].dataType.simpleString()
-    return dealt.groupBy("repo", "part").applyInPandas(pack, f"repo {kind_}, part long, n_files long, archive binary")
+    sized = safe.select("repo", "path", F.octet_length(F.col("data").cast("binary")).cast("long").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = sized.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / budget))
+    return dealt.groupBy("repo", "part").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import history as H
 from ..operators import log, stats
+from ..operators.graph import shared_root
 from ..sources import tables as T
 from ..streaming import feeds
 
@@ -21,7 +24,8 @@ _ORDERS = "(SELECT o_custkey AS repo, o_orderkey AS oid, o_orderpriority AS auth
 _CHAIN = """(SELECT user_id AS repo, event_id AS oid, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent,
   'user ' || user_id AS author, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS time, event_type AS subject, concat_ws(' ', event_type, props) AS message,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS position, ts, value FROM events)"""
-NOW = 1_750_000_000
+#: Five days after the newest order, so that all units occur.
+NOW = 902_534_400
 
 
 def _by_period(period: str):
@@ -81,22 +85,29 @@ def _times(spark, d) -> DataFrame:
     )
 
 
-_UNIT = lambda div, name: f"CAST(CAST(floor(d / {div}) AS BIGINT) AS VARCHAR) || ' {name}'"
-_TIMES_SQL = f"""SELECT oid, CASE WHEN d < 3600 THEN greatest(1, CAST(floor(d / 60) AS BIGINT)) || ' min.' WHEN d < 86400 THEN {_UNIT('3600', 'hours')}
-  WHEN d < 604800 THEN {_UNIT('86400', 'days')} WHEN d < 2678400 THEN {_UNIT('604800', 'weeks')} WHEN d < 31536000 THEN {_UNIT('2592000', 'months')}
-  ELSE {_UNIT('31536000', 'years')} END AS age, strftime(t, '%Y-%m-%d %H:%M:%S') || ' +0530' AS date,
+_UNIT = lambda div, name: f"CAST(CAST(floor(d / {div}) AS BIGINT) AS VARCHAR) || ' {name}' || CASE WHEN floor(d / {div}) = 1 THEN '' ELSE 's' END"
+_TIMES_SQL = f"""SELECT oid, CASE WHEN d < 3600 THEN greatest(1, CAST(floor(d / 60) AS BIGINT)) || ' min.' WHEN d < 86400 THEN {_UNIT('3600', 'hour')}
+  WHEN d < 604800 THEN {_UNIT('86400', 'day')} WHEN d < 2678400 THEN {_UNIT('604800', 'week')} WHEN d < 31536000 THEN {_UNIT('2592000', 'month')}
+  ELSE {_UNIT('31536000', 'year')} END AS age, strftime(t, '%Y-%m-%d %H:%M:%S') || ' +0530' AS date,
   strftime(t + INTERVAL 330 MINUTE, '%a, %-d %b %Y %H:%M:%S') || ' +0530' AS rfc2822, strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS iso
   FROM (SELECT *, {NOW} - epoch(t) AS d FROM {_ORDERS})"""
 
 
 def _push_stream(spark, d) -> DataFrame:
-    """Each event is a push of its user's branch from the event before it; every tenth names a wrong old target."""
-    import uuid
-
-    stream = feeds.read_events(spark, d)
+    """Each event pushes its own id to its user's branch of its type, from the last id that was accepted there; every tenth
+    names a wrong old target. The pushes are written as files, and these are read as a stream."""
+    of = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     wrong = F.col("event_id") % 10 == 0
-    commands = stream.select(F.col("user_id").alias("repo"), F.concat(F.lit("refs/heads/"), "event_type").alias("ref"), F.col("_metadata.file_path").alias("batch"), F.col("event_id").alias("seq"), F.when(wrong, "x").otherwise(H.ZERO_OID).alias("old"), F.lit(H.ZERO_OID).alias("new"))
-    return feeds.replay(feeds.compare_and_set(commands))
+    last = F.last(F.when(~wrong, F.col("event_id")), ignorenulls=True).over(of.rowsBetween(Window.unboundedPreceding, -1))
+    old = F.when(wrong, "x").otherwise(F.coalesce(last.cast("string"), F.lit(H.ZERO_OID)))
+    commands = T.table(spark, d, "events").select(
+        F.col("user_id").alias("repo"), F.concat(F.lit("refs/heads/"), "event_type").alias("ref"), F.row_number().over(of).cast("long").alias("seq"), old.alias("old"), F.col("event_id").cast("string").alias("new")
+    )
+    # A branch's pushes are in one file, in their order, as they come from one host.
+    folder = f"{shared_root(spark)}/pushes-{uuid.uuid4().hex}"
+    commands.repartition("repo", "ref").sortWithinPartitions("repo", "ref", "seq").write.parquet(folder)
+    stream = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return feeds.replay(feeds.compare_and_set(stream))
 
 
 _PERIODS = {"y": "year", "q": "quarter", "m": "month", "w": "week"}
@@ -139,10 +150,11 @@ QUERIES = {
     "format_times": (_times, _TIMES_SQL),
     "stream_push_counts": (
         lambda spark, d: feeds.replay_latest(feeds.push_counts(feeds.read_events(spark, d), "1 day", None), ["window_start", "event_type"]),
-        None,
+        "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS pushes FROM events GROUP BY ALL",
     ),
     "stream_compare_and_set": (
         _push_stream,
-        "SELECT user_id AS repo, 'refs/heads/' || event_type AS ref, event_id AS seq, event_id % 10 <> 0 AS ok, CASE WHEN event_id % 10 = 0 THEN 'fetch first' END AS message FROM events",
+        """SELECT user_id AS repo, 'refs/heads/' || event_type AS ref, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS seq,
+        event_id % 10 <> 0 AS ok, CASE WHEN event_id % 10 = 0 THEN 'fetch first' END AS message FROM events""",
     ),
 }

@@ -98,12 +98,12 @@ _FIVE = "[{}][p_partkey % 5 + 1]"
 def _flags(spark, d) -> DataFrame:
     p = T.table(spark, d, "pages")
     nul = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("\0"))).otherwise(F.col("html"))
-    path = F.concat(F.lit("a/"), "page_id", F.element_at(F.array(F.lit(".PNG"), F.lit(".json"), F.lit("/../x"), F.lit("")), (F.col("page_id") % 4 + 1).cast("int")))
+    path = F.concat(F.lit("a/"), "page_id", F.element_at(F.array(*(F.lit(x) for x in (".PNG", ".json", "/../x", "", ".svg", ".html"))), (F.col("page_id") % 6 + 1).cast("int")))
     return p.select("page_id", H.is_binary(nul).alias("is_binary"), H.content_type(path, nul).alias("content_type"), H.is_safe_path(path).alias("is_safe"), F.array_join(H.path_segments(path), "/").alias("clean"), F.length(H.escape_html(F.col("html"))).cast("long").alias("escaped"))
 
 
 def _readme(spark, d) -> DataFrame:
-    names = F.element_at(F.array(F.lit("README"), F.lit("Readme.md"), F.lit("main.c"), F.lit("readme.txt")), (F.col("doc_id") % 4 + 1).cast("int"))
+    names = F.element_at(F.array(F.lit("README"), F.when(F.col("lang") != "fr", "Readme.md").otherwise("main.h"), F.lit("main.c"), F.lit("readme.txt"), F.when(F.col("lang") == "de", "About").otherwise("about.txt")), (F.col("doc_id") % 5 + 1).cast("int"))
     return refs.readme(T.table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("repo"), F.concat(names, F.lit("")).alias("name"), F.col("doc_id").alias("oid"), F.lit("100644").alias("mode")).groupBy("repo", "name", "mode").agg(F.min("oid").alias("oid")))
 
 
@@ -141,26 +141,28 @@ QUERIES = {
     "list_tree": (_list_tree, "SELECT lang AS name, count(*) AS entries, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS size FROM documents WHERE source = 'src1' GROUP BY lang"),
     "mode_flags": (
         _modes,
-        f"""SELECT p_partkey, {_FIVE.format("'blob', 'blob', 'symlink', 'tree', 'commit'")} AS kind, {_FIVE.format("'-rw-r--r--', '-rwxr-xr-x', 'l---------', 'd---------', 'm---------'")} AS shown FROM part""",
+        f"""SELECT p_partkey, {_FIVE.format("'blob', 'blob', 'symlink', 'tree', 'commit'")} AS kind, {_FIVE.format("'-rw-r--r--', '-rwxr-xr-x', 'lrwxrwxrwx', 'd---------', 'm---------'")} AS shown FROM part""",
     ),
     "file_flags": (
         _flags,
         """SELECT page_id, page_id % 3 = 0 AND octet_length(encode(html)) < 8000 AS is_binary,
-        CASE page_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/json' ELSE CASE WHEN page_id % 3 = 0 AND octet_length(encode(html)) < 8000 THEN 'application/octet-stream' ELSE 'text/plain; charset=utf-8' END END AS content_type,
-        page_id % 4 <> 2 AS is_safe, 'a/' || page_id || ['.PNG', '.json', '/x', ''][page_id % 4 + 1] AS clean,
+        CASE page_id % 6 WHEN 0 THEN 'image/png' WHEN 4 THEN 'text/plain; charset=utf-8' WHEN 5 THEN 'text/plain' ELSE CASE WHEN page_id % 3 = 0 AND octet_length(encode(html)) < 8000 THEN 'application/octet-stream' ELSE 'text/plain; charset=utf-8' END END AS content_type,
+        page_id % 6 <> 2 AS is_safe, 'a/' || page_id || ['.PNG', '.json', '/x', '', '.svg', '.html'][page_id % 6 + 1] AS clean,
         CAST(length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS BIGINT) AS escaped FROM pages""",
     ),
     "readme_choice": (
         _readme,
-        """WITH e AS (SELECT source || '/' || lang AS repo, ['README', 'Readme.md', 'main.c', 'readme.txt'][doc_id % 4 + 1] AS name, min(doc_id) AS oid FROM documents GROUP BY ALL)
-        SELECT repo, name, oid FROM e WHERE name <> 'main.c' QUALIFY row_number() OVER (PARTITION BY repo ORDER BY CASE name WHEN 'Readme.md' THEN 0 WHEN 'readme.txt' THEN 1 ELSE 2 END) = 1""",
+        """WITH e AS (SELECT source || '/' || lang AS repo, ['README', CASE WHEN lang <> 'fr' THEN 'Readme.md' ELSE 'main.h' END, 'main.c', 'readme.txt', CASE WHEN lang = 'de' THEN 'About' ELSE 'about.txt' END][doc_id % 5 + 1] AS name, min(doc_id) AS oid FROM documents GROUP BY ALL)
+        SELECT repo, name, oid FROM e WHERE name IN ('About', 'Readme.md', 'README', 'readme.txt') QUALIFY row_number() OVER (PARTITION BY repo ORDER BY list_position(['About', 'Readme.md', 'README', 'readme.txt'], name)) = 1""",
     ),
     "snapshot_budget": (
         _budget,
         _FIRST.format("path, CAST(sum(size) OVER (PARTITION BY source ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running, sum(size) OVER (PARTITION BY source ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 100000 AS kept"),
     ),
     "archive_parts": (
-        lambda spark, d: snapshot.archives(T.blobs(spark, d).withColumn("repo", F.concat_ws("/", F.split("path", "/")[0], F.split("path", "/")[1])).withColumn("mode", F.lit("100644")), budget=4 << 20).select("repo", "part", "n_files", F.length("archive").alias("bytes")),
-        None,
+        lambda spark, d: snapshot.parts(T.blobs(spark, d).withColumn("repo", F.concat_ws("/", F.split("path", "/")[0], F.split("path", "/")[1])).withColumn("mode", F.lit("100644")), budget=20_000),
+        """WITH f AS (SELECT source || '/' || lang AS repo, source || '/' || lang || '/' || doc_id AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size FROM documents),
+        p AS (SELECT *, CAST(floor(coalesce(sum(size) OVER (PARTITION BY repo ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000) AS BIGINT) AS part FROM f)
+        SELECT repo, part, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, min(path) AS first_path, max(path) AS last_path FROM p GROUP BY repo, part""",
     ),
 }

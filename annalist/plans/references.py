@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import history as H
 from ..operators import graph, refs
+from ..operators.graph import checkpointed
 from ..sources import tables as T
 from ..streaming import feeds
 
@@ -31,7 +32,7 @@ def event_refs(spark, d) -> DataFrame:
 def _peeled(spark, d) -> DataFrame:
     e = T.table(spark, d, "events")
     tags = e.select((-F.col("event_id")).alias("oid"), F.col("event_id").alias("target"))
-    return graph.peel(tags, event_refs(spark, d).select(F.col("target").alias("oid")).distinct(), 2)
+    return graph.peel(tags, event_refs(spark, d).select(F.col("target").alias("oid")).distinct())
 
 
 def _heads(spark, d) -> DataFrame:
@@ -53,30 +54,45 @@ def _resolve(spark, d) -> DataFrame:
 
 
 def commands(spark, d) -> DataFrame:
-    """Each purchase pushes to a branch; some to bad names, some from a stale target, some to a missing object."""
-    e = T.table(spark, d, "events").where("event_type = 'purchase'")
-    name = F.when(F.col("event_id") % 11 == 0, "refs/heads/a..b").when(F.col("event_id") % 13 == 0, "tip.lock").otherwise("refs/heads/new")
-    return e.select(
-        F.col("user_id").alias("repo"),
-        F.to_date("ts").cast("string").alias("batch"),
-        F.col("event_id").alias("seq"),
-        name.alias("ref"),
-        F.when(F.col("event_id") % 5 == 0, "1").otherwise(H.ZERO_OID).alias("old"),
-        F.when(F.col("event_id") % 7 == 0, F.lit("none")).otherwise(F.col("event_id").cast("string")).alias("new"),
-    )
+    """Each purchase pushes to one of four branches, from what the push before it named, or the one before that. Some go to
+    bad names, name an object that there isn't, delete the branch, or set it back to the user's first commit."""
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = T.table(spark, d, "events").withColumn("first", F.first("event_id").over(by_user)).where("event_type = 'purchase'")
+    i = F.col("event_id")
+    name = F.when(i % 11 == 0, "refs/heads/a..b").when(i % 13 == 0, "tip.lock").otherwise(F.concat(F.lit("refs/heads/b"), (i % 4).cast("string")))
+    new = F.when(i % 7 == 0, "none").when(i % 19 == 0, H.ZERO_OID).when(i % 6 == 0, F.col("first").cast("string")).otherwise(i.cast("string"))
+    named = e.withColumn("ref", name).withColumn("new", new)
+    of = Window.partitionBy("user_id", "ref").orderBy("ts", "event_id")
+    old = F.coalesce(F.when(i % 3 == 0, F.lag("new", 2).over(of)).otherwise(F.lag("new").over(of)), F.lit(H.ZERO_OID))
+    return named.select(F.col("user_id").alias("repo"), F.to_date("ts").cast("string").alias("batch"), i.alias("seq"), "ref", old.alias("old"), "new")
 
 
 def _decided(spark, d) -> DataFrame:
+    pushed = checkpointed(commands(spark, d))
     stored = T.table(spark, d, "events").select(F.col("event_id").cast("string").alias("oid"))
-    return refs.decide(commands(spark, d), _text_refs(spark, d), stored)
+    moves = pushed.where((F.col("old") != H.ZERO_OID) & (F.col("new") != H.ZERO_OID)).select(F.expr("try_cast(old AS BIGINT)").alias("anc"), F.expr("try_cast(new AS BIGINT)").alias("desc"))
+    ancestry = graph.is_ancestor(T.event_commits(spark, d).select("oid", "parent"), moves.dropna().distinct())
+    return refs.decide(pushed, _text_refs(spark, d), stored, ancestry.select(F.col("anc").cast("string").alias("anc"), F.col("desc").cast("string").alias("desc"), "is_ancestor"))
 
 
 _ZERO = f"'{H.ZERO_OID}'"
-_DECIDED = f"""(SELECT user_id AS repo, CAST(CAST(ts AS DATE) AS VARCHAR) AS batch, event_id AS seq,
-  CASE WHEN event_id % 11 = 0 THEN 'refs/heads/a..b' WHEN event_id % 13 = 0 THEN 'tip.lock' ELSE 'refs/heads/new' END AS ref,
-  CASE WHEN event_id % 5 = 0 THEN '1' ELSE {_ZERO} END AS old, CASE WHEN event_id % 7 = 0 THEN 'none' ELSE CAST(event_id AS VARCHAR) END AS new,
-  CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'funny refname' WHEN event_id % 5 = 0 THEN 'fetch first' WHEN event_id % 7 = 0 THEN 'missing necessary objects' END AS message
-  FROM events WHERE event_type = 'purchase')"""
+#: The pushes one after the other: what each branch is after each batch.
+_DECIDED = f"""(WITH RECURSIVE e AS (SELECT *, first_value(event_id) OVER w AS first, row_number() OVER w AS place FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  n AS (SELECT user_id AS repo, CAST(CAST(ts AS DATE) AS VARCHAR) AS batch, event_id AS seq, ts,
+    CASE WHEN event_id % 11 = 0 THEN 'refs/heads/a..b' WHEN event_id % 13 = 0 THEN 'tip.lock' ELSE 'refs/heads/b' || event_id % 4 END AS ref,
+    CASE WHEN event_id % 7 = 0 THEN 'none' WHEN event_id % 19 = 0 THEN {_ZERO} WHEN event_id % 6 = 0 THEN CAST(first AS VARCHAR) ELSE CAST(event_id AS VARCHAR) END AS new
+    FROM e WHERE event_type = 'purchase'),
+  c AS (SELECT *, coalesce(CASE WHEN seq % 3 = 0 THEN lag(new, 2) OVER w ELSE lag(new) OVER w END, {_ZERO}) AS old, dense_rank() OVER (PARTITION BY repo ORDER BY batch) AS b,
+    starts_with(ref, 'refs/heads/b') AS named FROM n WINDOW w AS (PARTITION BY repo, ref ORDER BY ts, seq)),
+  f AS (SELECT repo, ref, b, old, min(seq) AS seq, min_by(new, seq) AS new FROM c WHERE named AND new <> 'none' GROUP BY ALL),
+  s AS (SELECT DISTINCT repo, ref, CAST(0 AS BIGINT) AS b, {_ZERO} AS cur FROM c
+    UNION ALL SELECT s.repo, s.ref, s.b + 1, coalesce(f.new, s.cur) FROM s LEFT JOIN f ON f.repo = s.repo AND f.ref = s.ref AND f.b = s.b + 1 AND f.old = s.cur
+      WHERE s.b < (SELECT max(b) FROM c)),
+  j AS (SELECT c.*, CASE WHEN NOT named THEN 'funny refname' WHEN cur <> c.old THEN 'fetch first' WHEN c.new = 'none' THEN 'missing necessary objects' WHEN f.seq <> c.seq THEN 'fetch first' END AS message
+    FROM c JOIN s ON s.repo = c.repo AND s.ref = c.ref AND s.b = c.b - 1 LEFT JOIN f ON f.repo = c.repo AND f.ref = c.ref AND f.b = c.b AND f.old = c.old)
+  SELECT j.repo, j.batch, j.seq, j.ref, j.old, j.new, message,
+    message IS NULL AND j.old <> {_ZERO} AND j.new <> {_ZERO} AND NOT coalesce(a.place <= z.place, false) AS forced
+  FROM j LEFT JOIN e a ON CAST(a.event_id AS VARCHAR) = j.old LEFT JOIN e z ON CAST(z.event_id AS VARCHAR) = j.new)"""
 
 
 def _applied(spark, d) -> DataFrame:
@@ -101,7 +117,10 @@ def _due(spark, d) -> DataFrame:
 
 
 #: What stands before and after a part's name to make names of each kind.
-_AROUND = (("refs/heads/", ""), ("refs/heads/", ".lock"), ("refs/", "/"), ("refs/.", ""), ("x/", ""), ("refs/a@{", ""), ("refs/a//", ""))
+_AROUND = (
+    ("refs/heads/", ""), ("refs/heads/", ".lock"), ("refs/", "/"), ("refs/.", ""), ("x/", ""), ("refs/a@{", ""), ("refs/a//", ""),
+    ("refs/heads/`", ""), ("refs/heads/\u2003", ""), ("info/", ""), ("_x/", ""), ("assets/", ""),
+)
 
 
 def _names(spark, d) -> DataFrame:
@@ -140,10 +159,11 @@ QUERIES = {
         lambda spark, d: refs.fingerprint(_text_refs(spark, d), _heads(spark, d)),
         f"SELECT repo, sha1(string_agg(name || chr(0) || target, chr(10) ORDER BY name || chr(0) || target) || chr(10) || 'HEAD' || chr(0) || 'refs/heads/purchase') AS version FROM {_REFS} r GROUP BY repo",
     ),
-    "push_decisions": (_decided, f"SELECT repo, batch, seq, ref, old, new, message IS NULL AS ok, message, false AS forced FROM {_DECIDED} d"),
+    "push_decisions": (_decided, f"SELECT repo, batch, seq, ref, old, new, message IS NULL AS ok, message, forced FROM {_DECIDED} d"),
     "apply_ref_updates": (
         _applied,
-        f"SELECT repo, name, CAST(target AS VARCHAR) AS target FROM {_REFS} r UNION ALL SELECT repo, ref, new FROM {_DECIDED} d WHERE message IS NULL QUALIFY row_number() OVER (PARTITION BY repo, ref ORDER BY batch DESC, seq DESC) = 1",
+        f"""SELECT repo, name, CAST(target AS VARCHAR) AS target FROM {_REFS} r UNION ALL
+        SELECT repo, ref, new FROM (SELECT * FROM {_DECIDED} d WHERE message IS NULL QUALIFY row_number() OVER (PARTITION BY repo, ref ORDER BY batch DESC, seq DESC) = 1) WHERE new <> {_ZERO}""",
     ),
     "repair_head": (
         lambda spark, d: refs.repair_head(_heads(spark, d), event_refs(spark, d)),
@@ -169,8 +189,8 @@ QUERIES = {
     "collection_due": (_due, "SELECT user_id AS repo, max(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)) + 300 AS due FROM events WHERE event_type = 'error' GROUP BY user_id"),
     "name_validity": (
         _names,
-        """SELECT p_partkey, CAST(i AS INT) AS i, i = 0 AS is_ref, i = 4 AS is_repo, CASE WHEN i IN (0, 1) THEN n || CASE WHEN i = 1 THEN '.lock' ELSE '' END
-          ELSE ['refs/' || n || '/', 'refs/.' || n, 'x/' || n, 'refs/a@{' || n, 'refs/a//' || n][i - 1] END AS short
-        FROM (SELECT p_partkey, replace(p_name, ' ', '-') AS n, unnest(range(7)) AS i FROM part)""",
+        """SELECT p_partkey, CAST(i AS INT) AS i, i = 0 AS is_ref, i IN (4, 11) AS is_repo, CASE WHEN i IN (0, 1) THEN n || CASE WHEN i = 1 THEN '.lock' ELSE '' END
+          ELSE ['refs/' || n || '/', 'refs/.' || n, 'x/' || n, 'refs/a@{' || n, 'refs/a//' || n, '`' || n, chr(8195) || n, 'info/' || n, '_x/' || n, 'assets/' || n][i - 1] END AS short
+        FROM (SELECT p_partkey, replace(p_name, ' ', '-') AS n, unnest(range(12)) AS i FROM part)""",
     ),
 }

@@ -66,6 +66,6 @@ QUERIES = {
     ),
     "newest_branches": (
         lambda spark, d: refs.newest_branches(event_refs(spark, d), T.event_commits(spark, d), 3),
-        f"SELECT * FROM (SELECT r.repo, substr(name, 12) AS name, target AS oid, c.time, row_number() OVER (PARTITION BY r.repo ORDER BY c.time DESC, name) AS rank FROM {_REFS} r JOIN {_CHAIN} c ON c.oid = r.target WHERE starts_with(name, 'refs/heads/')) WHERE rank <= 3",
+        f"SELECT * FROM (SELECT r.repo, substr(name, 12) AS name, target AS oid, c.time, row_number() OVER (PARTITION BY r.repo ORDER BY c.time DESC, name) AS rank FROM {_REFS} r JOIN {_CHAIN} c ON c.oid = r.target AND c.repo = r.repo WHERE starts_with(name, 'refs/heads/')) WHERE rank <= 3",
     ),
 }

@@ -43,6 +43,20 @@ def _varint(data: bytes, at: int) -> tuple[int, int]:
             return value, at
 
 
+def _inflate(view: memoryview, at: int, end: int, size: int, step: int = 1 << 16) -> tuple[bytes, int]:
+    """The data of a deflated stream of this size, and where it ends; it is fed in steps, so that what follows it is
+    never copied but for a step."""
+    body, parts = zlib.decompressobj(), []
+    while not body.eof and at < end:
+        piece = view[at : min(at + step, end)]
+        parts.append(body.decompress(piece))
+        at += len(piece)
+    data = b"".join(parts)
+    if not body.eof or len(data) != size:
+        raise ValueError("entry size mismatch")
+    return data, at - len(body.unused_data)
+
+
 def decode(content: bytes) -> Iterator[tuple[int, str, int | None, str | None, bytes]]:
     """(offset, kind, base_offset, base_oid, inflated data) of each entry; a damaged pack raises ValueError."""
     if len(content) < 32 or content[:4] != b"PACK":
@@ -53,7 +67,7 @@ def decode(content: bytes) -> Iterator[tuple[int, str, int | None, str | None, b
     end = len(content) - 20
     if hashlib.sha1(content[:end]).digest() != content[end:]:
         raise ValueError("checksum mismatch")
-    at = 12
+    at, view = 12, memoryview(content)
     for _ in range(count):
         offset, head = at, content[at]
         high, after = _varint(content, at + 1) if head & 128 else (0, at + 1)
@@ -69,11 +83,7 @@ def decode(content: bytes) -> Iterator[tuple[int, str, int | None, str | None, b
             at, base_offset = at + 1, offset - back
         elif kind == "reference delta":
             at, base_oid = at + 20, content[at : at + 20].hex()
-        body = zlib.decompressobj()
-        data = body.decompress(content[at:end])
-        if not body.eof or len(data) != size:
-            raise ValueError("entry size mismatch")
-        at = end - len(body.unused_data)
+        data, at = _inflate(view, at, end, size)
         yield offset, kind, base_offset, base_oid, data
     if at != end:
         raise ValueError("trailing data")
@@ -242,24 +252,3 @@ def edges(objects: DataFrame) -> DataFrame:
         .unionAll(c.select("oid", F.explode("parents"), F.lit("parent")))
         .unionAll(t.select("tree_oid", "oid", F.lit("entry")))
     )
-
-
-def encode(kind: str, data: bytes) -> bytes:
-    """A whole entry: type and size, then the deflated body."""
-    number, size = next(n for n, k in KINDS.items() if k == kind), len(data)
-    head, size = bytearray([number << 4 | size & 15]), size >> 4
-    while size:
-        head[-1] |= 128
-        head.append(size & 127)
-        size >>= 7
-    return bytes(head) + zlib.compress(data)
-
-
-def pack(objects: DataFrame) -> DataFrame:
-    """pack, content: the objects (pack, kind, data) of each pack as a file; packs are dealt out by the caller."""
-
-    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        body = b"PACK" + struct.pack(">II", 2, len(rows)) + b"".join(encode(k, bytes(d)) for k, d in zip(rows.kind, rows.data))
-        return pd.DataFrame({"pack": [key[0]], "content": [body + hashlib.sha1(body).digest()]})
-
-    return objects.select("pack", "kind", "data").groupBy("pack").applyInPandas(write, "pack string, content binary")

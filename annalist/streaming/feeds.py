@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.history import ZERO_OID
+from ..operators.graph import shared_root
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -66,12 +68,7 @@ def read_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> D
 
 def _folder(spark: SparkSession) -> str:
     """A new folder in the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="annalist-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -101,7 +98,7 @@ def replay_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{folder}/out")
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/out")
     values = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
     return last.select(*(c if c in keys else F.col("last")[c].alias(c) for c in stream.columns))

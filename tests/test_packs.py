@@ -2,11 +2,33 @@ import hashlib
 import struct
 import zlib
 
+import pandas as pd
 import pytest
 
 from annalist.sources import packs
 
 
+def encode(kind, data):
+    """A whole entry: type and size, then the deflated body."""
+    number, size = next(n for n, k in packs.KINDS.items() if k == kind), len(data)
+    head, size = bytearray([number << 4 | size & 15]), size >> 4
+    while size:
+        head[-1] |= 128
+        head.append(size & 127)
+        size >>= 7
+    return bytes(head) + zlib.compress(data)
+
+
+def pack(objects):
+    """pack, content: the objects (pack, kind, data) of each pack as a file."""
+
+    def write(key, rows):
+        body = b"PACK" + struct.pack(">II", 2, len(rows)) + b"".join(encode(k, bytes(d)) for k, d in zip(rows.kind, rows.data))
+        return pd.DataFrame({"pack": [key[0]], "content": [body + hashlib.sha1(body).digest()]})
+
+    return objects.select("pack", "kind", "data").groupBy("pack").applyInPandas(write, "pack string, content binary")
+
+
 def oid(kind, data):
     return hashlib.sha1(f"{kind} {len(data)}\0".encode() + data).hexdigest()
 
@@ -58,7 +80,7 @@ def test_decode_and_resolve(spark, history):
     # The base of the first delta follows it; the second names its base by its distance.
     first = head(7, len(d2)) + bytes.fromhex(oid("blob", blob)) + zlib.compress(d2)
     second = head(6, len(d3)) + bytes([len(first)]) + zlib.compress(d3)
-    entries = [first, second, packs.encode("blob", blob), packs.encode("tree", tree), packs.encode("commit", commit)]
+    entries = [first, second, encode("blob", blob), encode("tree", tree), encode("commit", commit)]
     lost = head(7, len(d2)) + b"\7" * 20 + zlib.compress(d2)
     rows = [("p", seal(entries)), ("q", seal([lost]))]
     objects, pending = packs.resolve(packs.entries(spark.createDataFrame(rows, "pack string, content binary")))
@@ -72,8 +94,8 @@ def test_decode_and_resolve(spark, history):
 
 
 def test_damaged_packs():
-    good = seal([packs.encode("blob", b"x")])
-    for bad in (b"", b"JUNK" + good[4:], good[:-1] + b"\0", seal([packs.encode("blob", b"x") + b"tail"]), seal([head(3, 5) + zlib.compress(b"x")])):
+    good = seal([encode("blob", b"x")])
+    for bad in (b"", b"JUNK" + good[4:], good[:-1] + b"\0", seal([encode("blob", b"x") + b"tail"]), seal([head(3, 5) + zlib.compress(b"x")])):
         with pytest.raises(ValueError):
             list(packs.decode(bad))
     for bad in (b"\5\5\x90\1", b"\1\1\0", b"\1\2\1", b"\1\1\x91\1\1"):
@@ -88,6 +110,6 @@ def test_round_trip_over_documents(spark):
     from annalist.sources.tables import blobs
 
     b = blobs(spark, "/root/testdata/sf0.001").select(F.pmod("doc_id", F.lit(5)).cast("string").alias("pack"), F.lit("blob").alias("kind"), F.col("data").cast("binary").alias("data"))
-    objects, pending = packs.resolve(packs.entries(packs.pack(b)))
+    objects, pending = packs.resolve(packs.entries(pack(b)))
     assert pending.isEmpty()
     assert sorted(r.oid for r in objects.collect()) == sorted(r.oid for r in b.select(object_id("blob", F.col("data")).alias("oid")).collect())
