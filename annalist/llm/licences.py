@@ -25,7 +25,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import checkpointed, text_column
 
 #: Header and grant sentences by SPDX name.
 TEMPLATES: list[tuple[str, str]] = [
@@ -60,6 +60,7 @@ SPDX = {
     for name in {*(licence for licence, _ in TEMPLATES), "LGPL-2.1", "BSD-2-Clause"}
     for end in (("", "-only", "-or-later", "+") if "GPL" in name else ("",))
 }
+_SPDX_MARK = "spdx-license-identifier"
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -157,15 +158,19 @@ def licence_lines(docs: DataFrame, threshold: float = THRESHOLD, text: str = "te
     with a licence."""
     table, unknown = template_terms(docs.sparkSession)
     lower = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(text_column(text)).alias("t"))
-    lines = lower.select("key", F.xxhash64("t").alias("h"), F.length("t").alias("total"), F.posexplode(F.split("t", "\n")).alias("line", "x"))
-    # A line without any template term has cosine 0.
-    near = lines.where(F.col("x").rlike(_any_of({t for _, notice in TEMPLATES for t in _terms(notice)})))
+    # What is known of a text is computed before it is cut, else each line would compute it anew.
+    texts = lower.select("key", "t", F.xxhash64("t").alias("h"), F.length("t").alias("total"))
+    lines = texts.select("key", "h", "total", F.posexplode(F.split("t", "\n")).alias("line", "x"))
+    # A line without any template term has cosine 0. The lines left are few, and read twice.
+    near, named = F.col("x").rlike(_any_of({t for _, notice in TEMPLATES for t in _terms(notice)})), F.contains("x", F.lit(_SPDX_MARK))
+    left = checkpointed(lines.select("*", near.alias("near"), named.alias("named")).where("near OR named"))
     line = ["key", "h", "line", "n_chars", "total"]
     n_chars = F.length("x").alias("n_chars")
-    words = near.select("key", "h", "line", n_chars, "total", _term_column("x").alias("terms")).distinct()
+    words = left.where("near").select("key", "h", "line", n_chars, "total", _term_column("x").alias("terms")).distinct()
     names = F.create_map(*(F.lit(x) for pair in sorted(SPDX.items()) for x in pair))
-    named = lines.select("key", "h", "line", n_chars, "total", names[F.regexp_extract("x", r"spdx-license-identifier:\s*([a-z0-9.+-]+)", 1)].alias("licence"), F.lit(1.0).alias("cosine"))
-    scored = _cosines(words, line, table, unknown, threshold).unionByName(named.where(F.col("licence").isNotNull()))
+    spdx = names[F.regexp_extract("x", _SPDX_MARK + r":\s*([a-z0-9.+-]+)", 1)]
+    by_name = left.where("named").select("key", "h", "line", n_chars, "total", spdx.alias("licence"), F.lit(1.0).alias("cosine"))
+    scored = _cosines(words, line, table, unknown, threshold).unionByName(by_name.where(F.col("licence").isNotNull()))
     best = F.min(F.struct((-F.col("cosine")).alias("rank"), "licence"))
     return scored.groupBy(*line).agg(best.alias("best")).select(*line, F.col("best.licence").alias("licence"), (-F.col("best.rank")).alias("cosine"))
 

@@ -187,7 +187,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         named = whole.withColumn("root", F.lit(None).cast(whole.schema["id"].dataType))
     else:
         named = whole.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("id", "n_shingles", F.coalesce("root", "rep", "id").alias("component_id"))
+    return named.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("component_id"))
 
 
 def _tokens(texts: DataFrame, size: int) -> DataFrame:

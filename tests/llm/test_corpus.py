@@ -42,6 +42,64 @@ def test_odd_and_empty_tables(spark, name, tmp_path):
         assert QUERIES[name](spark, f"{tmp_path}/{part}").count() == (len(ODD) if part == "odd" else 0)
 
 
+#: Null keys, one key with other texts, repeated rows, and ties.
+KEYED = [(None, "token=abcdef1 and more\nof it"), (None, None), (3, "one two three four five six"), (3, "a\nb\nc\na\nb"), (3, "a\nb\nc\na\nb"), (4, "a\nb\nx"), (5, "q" * 60), (6, "q" * 60), (None, "q" * 60), (7, "one two three four five six")]
+
+
+def test_null_and_repeated_keys(spark, tmp_path):
+    """What each operator gives where keys are null or stand for several texts, and with an empty benchmark."""
+    docs = table(spark, [t for _, t in KEYED], [k for k, _ in KEYED]).select("doc_id", "text", "lang", "source", "n_chars", "key", "n_runs")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    documents(spark, DATA, "benchmark").where("item_id < 0").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {name: QUERIES[name](spark, str(tmp_path)).collect() for name in QUERIES}
+    for name, rows in got.items():
+        assert sorted((r.doc_id is not None, r.doc_id or 0) for r in rows) == sorted((k is not None, k or 0) for k, _ in KEYED), name
+    of = lambda name, key: [r for r in got[name] if r.doc_id == key]
+    # Equal rows are one document; the copy of its first two lines in itself goes, and key 4 loses them too.
+    assert sorted(r.n_cut for r in of("op1_line_dedup", 3)) == [0, 2, 2] and [r.n_cut for r in of("op1_line_dedup", 4)] == [2]
+    assert all(r.n_cut == 0 for r in of("op1_line_dedup", None))
+    assert sorted(r.n_assign for r in of("op2_secret_scan", None)) == [0, 0, 1]
+    assert [r.component_id for r in of("op3_minhash_near_dedup", 7)] == [3] and {r.component_id for r in of("op3_minhash_near_dedup", 3)} == {3}
+    assert [r.kept for r in of("op3_minhash_near_dedup", 6)] == [False] and {r.component_id for r in of("op3_minhash_near_dedup", None)} == {None}
+    assert {r.contaminated for r in got["op5_decontamination"]} == {False}
+    assert {r.effective for r in got["op7_licence_scan"]} == {None}
+    assert [r.n_removed for r in of("op9_suffix_dedup", 6)] == [60] and {r.n_removed for r in of("op9_suffix_dedup", None)} == {0}
+    assert sorted(r.n_words for r in of("op10_quality_rules", 3)) == [5, 5, 6]
+    for name, n in (("op4_byte_bpe", 0), ("op6_token_counts", 0)):
+        assert min(r.n_tokens for r in of(name, None)) == n
+    assert {r.has_pii for r in got["op8_pii"]} == {False}
+
+
+def test_line_dedup_keeps_other_columns(spark):
+    docs = table(spark, ["a\nb", "a\nb"]).select("doc_id", "text", "n_runs", "lines", "row", F.lit(5).alias("part"), F.lit(6).alias("seq"))
+    rows = lines.dedup_lines(docs).orderBy("doc_id").collect()
+    assert [(r.lines, r.row, r.part, r.seq, r.n_runs, r.n_cut) for r in rows] == [("x", 1, 5, 6, 0, 0), ("x", 1, 5, 6, 1, 2)]
+
+
+def test_line_runs_are_maximal(spark):
+    """Runs by their longest common prefix with their source, against a plain walk over all starts."""
+    rng = random.Random(12)
+    texts = ["\n".join(rng.choice("abc") for _ in range(rng.randrange(30))) for _ in range(25)]
+    rows = {d: [x for x in t.split("\n") if x] for d, t in enumerate(texts)}
+    starts = [(d, i) for d in sorted(rows) for i in range(len(rows[d]))]
+    source = {}
+    for d, i in starts:
+        for w in (2, 4, 8, 16):
+            run = rows[d][i : i + w]
+            hit = next((p for p in starts if p < (d, i) and len(run) == w and rows[p[0]][p[1] : p[1] + w] == run), None)
+            source[d, i] = hit or source.get((d, i))
+    expected = {d: [] for d in rows}
+    for (d, i), s in source.items():
+        before = source.get((d, i - 1))
+        if s and before != (s[0], s[1] - 1):
+            n = 0
+            while i + n < len(rows[d]) and s[1] + n < len(rows[s[0]]) and rows[d][i + n] == rows[s[0]][s[1] + n]:
+                n += 1
+            expected[d].append(n)
+    got = {r.doc_id: (r.n_maximal, r.longest) for r in lines.dedup_lines(table(spark, texts)).collect()}
+    assert got == {d: (len(n), max(n, default=0)) for d, n in expected.items()}
+
+
 def test_line_dedup(spark):
     docs = table(spark, ["a\nb\nc", "x\na\n\nb\ny", "a\nb\nc\nd", None, "b\na", "q\nq\nq"])
     got = {r.doc_id: (r.text, r.n_runs, r.n_cut) for r in lines.dedup_lines(docs).collect()}
