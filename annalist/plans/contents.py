@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import history as H
-from ..operators import diff, refs, snapshot, store
+from ..operators import diff, files, refs, snapshot, store
 from ..sources import tables as T
+from .references import _REFS, _heads, _peeled, event_refs
 
 _OLD, _NEW = "1995-01-01", "1997-01-01"
 
@@ -62,7 +63,7 @@ _EVENT_HUNKS = """WITH o AS (SELECT user_id AS repo, row_number() OVER (PARTITIO
 
 def _patches(spark, d) -> DataFrame:
     pairs = _pairs(spark, d)
-    files = diff.diff_lines(pairs).select(
+    changed = diff.diff_lines(pairs).select(
         F.concat_ws("/", F.col("repo").cast("string"), F.col("ordinal").cast("string")).alias("path"),
         F.when(F.col("old").isNotNull(), H.object_id("blob", F.col("old"))).alias("old_oid"),
         H.object_id("blob", F.col("new")).alias("new_oid"),
@@ -71,7 +72,7 @@ def _patches(spark, d) -> DataFrame:
         "kind",
         "ops",
     )
-    return diff.patch(files.drop("ops"), diff.hunks(diff.op_rows(files, "path"), "path"))
+    return diff.patch(changed.drop("ops"), diff.hunks(diff.op_rows(changed, "path"), "path"))
 
 
 def _blame_runs(spark, d) -> DataFrame:
@@ -81,10 +82,42 @@ def _blame_runs(spark, d) -> DataFrame:
     return diff.runs(e.select(F.col("user_id").alias("repo"), n.alias("line_no"), F.col("event_type").alias("oid")))
 
 
+def _trees(spark, d) -> DataFrame:
+    """tree_oid, name, mode, oid: documents as files of a repository for each source, in a directory for each language;
+    every tenth is a link to another repository."""
+    rows = T.table(spark, d, "documents").select("source", "lang", F.col("doc_id").cast("string").alias("name"), "doc_id")
+    folder = F.concat_ws("/", "source", "lang")
+    top = rows.select(F.col("source").alias("tree_oid"), F.col("lang").alias("name"), F.lit("40000").alias("mode"), folder.alias("oid")).distinct()
+    return top.unionByName(rows.select(folder.alias("tree_oid"), "name", F.when(F.col("doc_id") % 10 == 0, "160000").otherwise("100644").alias("mode"), F.col("name").alias("oid")))
+
+
+def _stored(spark, d) -> DataFrame:
+    return T.blobs(spark, d).where("doc_id % 10 <> 0").select(F.col("doc_id").cast("string").alias("oid"), "data")
+
+
+def _requests(spark, d, path) -> DataFrame:
+    return T.table(spark, d, "documents").select(F.col("source").alias("repo"), path.alias("path"), F.col("source").alias("tree_oid"))
+
+
 def _list_tree(spark, d) -> DataFrame:
-    """The directory src1: its languages, with the sizes of blobs below each."""
-    b = T.blobs(spark, d).where(F.col("path").startswith("src1/"))
-    return b.groupBy(F.split("path", "/")[1].alias("name")).agg(F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("data")).cast("long").alias("size"))
+    """Each repository's root, and each of its directories."""
+    asked = _requests(spark, d, F.lit("")).unionByName(_requests(spark, d, F.col("lang"))).distinct()
+    return files.list_trees(_trees(spark, d), asked, _stored(spark, d)).select("repo", "path", "name", "mode", "type", "oid", "size")
+
+
+def _read_blob(spark, d) -> DataFrame:
+    """Each document by its path, and paths that lead nowhere: behind a file, and to no file."""
+    whole = F.concat_ws("/", "lang", F.col("doc_id").cast("string"))
+    asked = _requests(spark, d, whole).unionByName(_requests(spark, d, F.concat(whole, F.lit("/x")))).unionByName(_requests(spark, d, F.concat("lang", F.lit("/none"))))
+    return files.read_blobs(_trees(spark, d), asked, _stored(spark, d)).select("repo", "path", "oid", "mode", F.octet_length("data").cast("long").alias("size"))
+
+
+def _read_commit(spark, d) -> DataFrame:
+    names = F.array(F.lit("click"), F.lit("v1"), F.lit("refs/heads/view"), F.lit("nothing"))
+    asked = T.table(spark, d, "events").select(F.col("user_id").alias("repo")).distinct().select("repo", F.explode(names).alias("asked"))
+    own = T.event_commits(spark, d).select("repo", "oid", "author", "time", "subject")
+    found = refs.resolve(asked, event_refs(spark, d), _heads(spark, d), own.select("repo", F.col("oid").cast("string").alias("oid")).limit(0))
+    return files.read_commits(found.where("oid IS NOT NULL").select("repo", "asked", F.col("oid").cast("long").alias("oid")), _peeled(spark, d), own)
 
 
 def _modes(spark, d) -> DataFrame:
@@ -108,8 +141,8 @@ def _readme(spark, d) -> DataFrame:
 
 
 def _budget(spark, d) -> DataFrame:
-    files = T.blobs(spark, d).withColumn("source", F.split("path", "/")[0])
-    return store.within_budget(files, F.octet_length("data").cast("long"), 100_000, "source").select("path", "running", "kept")
+    sized = T.blobs(spark, d).withColumn("source", F.split("path", "/")[0])
+    return store.within_budget(sized, F.octet_length("data").cast("long"), 100_000, "source").select("path", "running", "kept")
 
 
 _FIRST = "SELECT {} FROM (SELECT source || '/' || lang || '/' || doc_id AS path, source, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size FROM documents)"
@@ -138,7 +171,23 @@ QUERIES = {
         c AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM s)
         SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS line_no, unnest(l) AS line FROM c""",
     ),
-    "list_tree": (_list_tree, "SELECT lang AS name, count(*) AS entries, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS size FROM documents WHERE source = 'src1' GROUP BY lang"),
+    "list_tree": (
+        _list_tree,
+        """SELECT DISTINCT source AS repo, '' AS path, lang AS name, '40000' AS mode, 'tree' AS type, source || '/' || lang AS oid, CAST(NULL AS BIGINT) AS size FROM documents
+        UNION ALL SELECT source, lang, CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 10 = 0 THEN '160000' ELSE '100644' END, CASE WHEN doc_id % 10 = 0 THEN 'commit' ELSE 'blob' END,
+        CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 10 <> 0 THEN CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) END FROM documents""",
+    ),
+    "read_blob": (
+        _read_blob,
+        """SELECT source AS repo, lang || '/' || doc_id AS path, CAST(doc_id AS VARCHAR) AS oid, '100644' AS mode, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size
+        FROM documents WHERE doc_id % 10 <> 0""",
+    ),
+    "read_commit": (
+        _read_commit,
+        f"""SELECT r.repo, a.asked, e.event_id AS oid, 'user ' || e.user_id AS author, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS time, event_type AS subject
+        FROM (SELECT unnest(['click', 'v1', 'refs/heads/view']) AS asked, unnest(['refs/heads/click', 'refs/tags/v1', 'refs/heads/view']) AS name) a
+        JOIN {_REFS} r ON r.name = a.name JOIN events e ON e.event_id = abs(r.target) AND e.user_id = r.repo""",
+    ),
     "mode_flags": (
         _modes,
         f"""SELECT p_partkey, {_FIVE.format("'blob', 'blob', 'symlink', 'tree', 'commit'")} AS kind, {_FIVE.format("'-rw-r--r--', '-rwxr-xr-x', 'lrwxrwxrwx', 'd---------', 'm---------'")} AS shown FROM part""",
