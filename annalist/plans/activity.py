@@ -66,14 +66,18 @@ def _first_parents(spark, d) -> DataFrame:
     return log.path_history(at).select("repo", "oid", "ordinal", "path_oid")
 
 
-def _best_first(spark, d) -> DataFrame:
-    """Histories with merges: each third commit of a user also has the commit three before it as a parent."""
+def skewed_commits(spark, d) -> DataFrame:
+    """Histories with merges: each third commit of a user also has the commit three before it as a parent; rank 1 is the tip."""
     chain = Window.partitionBy("repo").orderBy("ts", "event_id")
     e = T.table(spark, d, "events").withColumnRenamed("user_id", "repo")
     older = lambda n: F.lag(F.col("event_id").cast("string"), n).over(chain)
     parents = F.array_compact(F.array(older(1), F.when(F.col("event_id") % 3 == 0, older(3))))
     # Times off by up to two days, so that some parents are newer than their children.
-    skewed = e.select("repo", F.col("event_id").cast("string").alias("oid"), parents.alias("parents"), (F.unix_timestamp(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(172800))).alias("time"), F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("ts"), F.desc("event_id"))).alias("rank"))
+    return e.select("repo", F.col("event_id").cast("string").alias("oid"), parents.alias("parents"), (F.unix_timestamp(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(172800))).alias("time"), F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("ts"), F.desc("event_id"))).alias("rank"))
+
+
+def _best_first(spark, d) -> DataFrame:
+    skewed = skewed_commits(spark, d)
     return log.best_first(skewed.select("repo", "oid", "parents", "time"), skewed.where("rank = 1").select("repo", "oid"))
 
 
