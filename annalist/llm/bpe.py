@@ -34,7 +34,7 @@ from .common import text_column
 #: bounds on memory only.
 MEMO, LEAVES = 300_000, 1 << 17
 #: Bytes of text that are handled at a time, about.
-SLICE = 8 << 20
+SLICE = 1 << 20
 _NONE = 1 << 62
 
 
