@@ -594,3 +594,53 @@ def test_pipeline(spark, tmp_path):
     for i, t in texts.items():
         assert list(rows[i].ids) == library.encode_ordinary(t) and not leaks.brute_force(t, items)
         assert rows[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_first_stages_of_the_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+    import duckdb
+
+    docs = documents(spark, DATA)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    good = {k for k, kept in connection.sql(f"SELECT doc_id, kept FROM ({SQL['op10_quality_rules']})").fetchall() if kept}
+    first = corpus_pipeline.quality_rules(spark, docs, DATA)
+    assert {r.doc_id for r in first.collect()} == good and first.columns == docs.columns
+
+    seen, alone, expected = set(), set(), {}
+    for k in sorted(good):
+        every = texts[k].split("\n")
+        worded = [i for i, x in enumerate(every) if x.strip(" \t\n\x0b\x0c\r")]
+        gone = set()
+        for n, i in enumerate(worded):
+            pair = (every[i], every[worded[n + 1]]) if n + 1 < len(worded) else None
+            if pair in seen:
+                gone |= {*range(i, worded[n + 1] + 1)}
+            seen |= {pair} - {None}
+            if len(every[i].split()) >= corpus_pipeline.ALONE_WORDS:
+                gone |= {i} & ({i} if every[i] in alone else set())
+                alone.add(every[i])
+        # Blank lines between two lines that go, go too.
+        for a, b in zip(worded, worded[1:]):
+            if a in gone and b in gone:
+                gone |= {*range(a, b)}
+        rest = "\n".join(x for i, x in enumerate(every) if i not in gone)
+        if not gone or rest.strip(" \t\n\x0b\x0c\r"):
+            expected[k] = rest
+    first = first.checkpoint()
+    second = corpus_pipeline.line_dedup(spark, first, DATA).checkpoint()
+    assert {r.doc_id: r.text or "" for r in second.collect()} == expected
+
+    def shingles(text):
+        w = text.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    sets, root = {k: shingles(x) for k, x in expected.items()}, {k: k for k in expected}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    third = corpus_pipeline.near_dedup(spark, second, DATA)
+    assert {r.doc_id for r in third.collect()} == {k for k, r in root.items() if k == r}
