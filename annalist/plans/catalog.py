@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import activity, contents, objects, references, service
+from . import activity, contents, objects, packed, references, service
 
 Query = Callable[[SparkSession, str], DataFrame]
-_AREAS = (activity, objects, references, service, contents)
+_AREAS = (activity, objects, references, service, contents, packed)
 
 
 def queries() -> dict[str, Query]:
