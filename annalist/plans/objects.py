@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import history as H
 from ..operators import graph, store
+from ..operators.graph import checkpointed
 from ..sources import tables as T
 
 _EDGES = """(SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'nation' AS kind FROM nation
@@ -49,6 +50,32 @@ def _is_ancestor(spark, d) -> DataFrame:
     return graph.is_ancestor(T.event_commits(spark, d).select("oid", "parent"), pairs)
 
 
+def _merges(spark, d) -> DataFrame:
+    """repo, oid, nth, parent: histories in two strands, as a commit's first parent is the one two before it; every fourth
+    also merges the one right before it."""
+    chain = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    side = F.when(F.col("event_id") % 4 == 0, F.lag("event_id").over(chain))
+    both = F.array(F.struct(F.lit(0).alias("nth"), F.lag("event_id", 2).over(chain).alias("parent")), F.struct(F.lit(1).alias("nth"), side.alias("parent")))
+    rows = T.table(spark, d, "events").select(F.col("user_id").alias("repo"), F.col("event_id").alias("oid"), both.alias("both")).select("repo", "oid", F.inline("both"))
+    return checkpointed(rows.where("nth = 0 OR parent IS NOT NULL"))
+
+
+def _history(spark, d) -> DataFrame:
+    newest = T.table(spark, d, "events").groupBy(F.col("user_id").alias("repo")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("oid"))
+    return graph.history(_merges(spark, d), newest, ("repo",))
+
+
+def _ancestor_over_merges(spark, d) -> DataFrame:
+    later = F.lead("event_id", 9).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    pairs = T.table(spark, d, "events").select(F.col("event_id").alias("anc"), later.alias("desc")).where("desc IS NOT NULL")
+    return graph.is_ancestor(_merges(spark, d).drop("repo"), pairs)
+
+
+_MERGES = """e AS (SELECT user_id AS repo, event_id AS oid, lag(event_id, 2) OVER w AS p0, CASE WHEN event_id % 4 = 0 THEN lag(event_id) OVER w END AS p1, lead(event_id, 9) OVER w AS later,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  p AS (SELECT repo, oid, p0 AS parent FROM e WHERE p0 IS NOT NULL UNION ALL SELECT repo, oid, p1 FROM e WHERE p1 IS NOT NULL)"""
+
+
 def _flatten(spark, d) -> DataFrame:
     """Documents lie at source/lang/doc_id; the entries of these trees are built from the paths, and flattened again."""
     rows = T.table(spark, d, "documents").select("source", "lang", F.col("doc_id").cast("string").alias("name"))
@@ -113,6 +140,15 @@ QUERIES = {
         """WITH c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
         SELECT a.event_id AS anc, a.event_id + 7 AS desc, coalesce(b.user_id = a.user_id AND a.r <= b.r, false) AS is_ancestor FROM c a LEFT JOIN c b ON b.event_id = a.event_id + 7""",
     ),
+    "history_over_merges": (
+        _history,
+        f"WITH RECURSIVE {_MERGES}, h AS (SELECT repo, oid FROM e WHERE r = 1 UNION SELECT p.repo, p.parent FROM h JOIN p ON p.repo = h.repo AND p.oid = h.oid) SELECT repo, oid FROM h",
+    ),
+    "is_ancestor_over_merges": (
+        _ancestor_over_merges,
+        f"""WITH RECURSIVE {_MERGES}, h AS (SELECT oid AS anc, later AS late, later AS node FROM e WHERE later IS NOT NULL UNION SELECT h.anc, h.late, p.parent FROM h JOIN p ON p.oid = h.node WHERE h.node <> h.anc)
+        SELECT anc, late AS desc, bool_or(node = anc) AS is_ancestor FROM h GROUP BY anc, late""",
+    ),
     "missing_children": (
         lambda spark, d: graph.missing(T.object_edges(spark, d).where("kind = 'order'"), T.table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"))),
         "SELECT DISTINCT 'o' || o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
