@@ -1,15 +1,18 @@
 """Tree diffs, line diffs, hunks, patches and line attribution.
 
-Only the shortest edit script of one pair of texts is Python, in an Arrow function over batches of pairs; everything
-around it (which files changed, hunks, counts, patch texts) is columns, joins and windows.
+Only the shortest edit script of one pair of texts is Python, in an Arrow function over batches of pairs, with its hunks
+and counts where whole scripts aren't wanted; everything around it (which files changed, hunks of given scripts, patch
+texts) is columns, joins and windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.history import is_binary
@@ -17,6 +20,10 @@ from ..functions.history import is_binary
 #: Bounds beyond which a pair of files is reported as too large.
 MAX_LINES, MAX_PRODUCT, MAX_EDITS, TRACE = 40_000, 4_000_000, 2000, 8_000_000
 OPS = "array<struct<tag:string,line:string>>"
+HUNKS = "array<struct<hunk:long,a_start:long,a_len:long,b_start:long,b_len:long,body:string>>"
+SIGNS = {"eq": " ", "add": "+", "del": "-"}
+#: Lines of scripts that a worker holds before it hands them on.
+HELD = 20_000
 
 
 def lines(text: str) -> list[str]:
@@ -27,54 +34,76 @@ def lines(text: str) -> list[str]:
 def edit_script(old: list[str], new: list[str]) -> list[tuple[str, str]] | None:
     """The greedy shortest edit script as (eq | del | add, line), or None beyond the bounds.
 
-    Among scripts of equal length it deletes before it adds, as the furthest reaching paths do.
+    Among scripts of equal length it deletes before it adds, as the furthest reaching paths do: seen from the end, an edit
+    comes before an equal line and an addition before a deletion.
     """
     n, m = len(old), len(new)
     if not n or not m:
         return [("del", x) for x in old] + [("add", x) for x in new]
     if n + m > MAX_LINES or n * m > MAX_PRODUCT:
         return None
-    reach: dict[int, int] = {1: 0}
-    history: list[dict[int, int]] = []
-    for edits in range(min(MAX_EDITS, max(1, TRACE // (n + m))) + 1):
-        history.append(dict(reach))
-        for diagonal in range(-edits, edits + 1, 2):
-            x = _entry(reach, diagonal, edits)
-            while x < n and x - diagonal < m and old[x] == new[x - diagonal]:
-                x += 1
-            reach[diagonal] = x
-            if x >= n and x - diagonal >= m:
-                return _trace(history, old, new)
-    return None
-
-
-def _down(reach: dict[int, int], diagonal: int, edits: int) -> bool:
-    return diagonal == -edits or (diagonal != edits and reach[diagonal - 1] < reach[diagonal + 1])
-
-
-def _entry(reach: dict[int, int], diagonal: int, edits: int) -> int:
-    return reach[diagonal + 1] if _down(reach, diagonal, edits) else reach[diagonal - 1] + 1
-
-
-def _trace(history: list[dict[int, int]], old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    x, y = len(old), len(new)
+    head = 0
+    while head < n and head < m and old[head] == new[head]:
+        head += 1
+    a, b = old[head:], new[head:]
+    rows = _common(a, b)
+    if n + m - 2 * (head + len(b) - rows[-1].bit_count()) > min(MAX_EDITS, max(1, TRACE // (n + m))):
+        return None
+    x, y = len(a), len(b)
     script: list[tuple[str, str]] = []
-    for edits in range(len(history) - 1, 0, -1):
-        reach, diagonal = history[edits], x - y
-        down = _down(reach, diagonal, edits)
-        start = _entry(reach, diagonal, edits)
-        script += [("eq", old[i]) for i in range(x - 1, start - 1, -1)]
-        x, y = start, start - diagonal
-        if down:
+    while x or y:
+        if y and rows[x] >> (y - 1) & 1:
             y -= 1
-            script.append(("add", new[y]))
-        else:
+            script.append(("add", b[y]))
+        elif x and (not y or a[x - 1] != b[y - 1] or not rows[x - 1] >> (y - 1) & 1):
             x -= 1
-            script.append(("del", old[x]))
-    script += [("eq", old[i]) for i in range(x - 1, -1, -1)]
+            script.append(("del", a[x]))
+        else:
+            x, y = x - 1, y - 1
+            script.append(("eq", a[x]))
+    script += [("eq", line) for line in reversed(old[:head])]
     return script[::-1]
 
 
+def _common(old: list[str], new: list[str]) -> list[int]:
+    """For each count of old lines, bits that are 0 where the longest common subsequence grows with that line of `new`.
+
+    A row is one integer and takes a few operations on whole integers, so that a pair at the product's bound takes
+    some milliseconds and half a MB.
+    """
+    wanted, at = set(old), {}
+    for j, line in enumerate(new):
+        if line in wanted:
+            at[line] = at.get(line, 0) | 1 << j
+    full = (1 << len(new)) - 1
+    row, rows = full, [full]
+    for line in old:
+        if met := row & at.get(line, 0):
+            row = (row + met | row - met) & full
+        rows.append(row)
+    return rows
+
+
+def script_hunks(script: list[tuple[str, str]], context: int = 3) -> list[tuple[int, int, int, int, int, str]]:
+    """(hunk, a_start, a_len, b_start, b_len, body) of each hunk of one script, as hunks() has them."""
+    islands: list[list[int]] = []
+    for i, (tag, _) in enumerate(script):
+        if tag != "eq":
+            if islands and i - islands[-1][1] <= 2 * context:
+                islands[-1][1] = i
+            else:
+                islands.append([i, i])
+    found, at, a, b = [], 0, 1, 1
+    for k, (first, last) in enumerate(islands, 1):
+        start, end = max(0, first - context), min(len(script), last + 1 + context)
+        a, b = a + start - at, b + start - at  # only equal lines are between two hunks
+        body = script[start:end]
+        n, m = sum(tag != "add" for tag, _ in body), sum(tag != "del" for tag, _ in body)
+        found.append((k, a - (not n), n, b - (not m), m, "\n".join(SIGNS[tag] + line for tag, line in body)))
+        at, a, b = end, a + n, b + m
+    return found
+
+
 def tree_diff(old: DataFrame, new: DataFrame, limit: int | None = None) -> DataFrame:
     """path, old_oid, old_mode, new_oid, new_mode of what differs between two flattened trees (path, oid, mode)."""
     a = old.select("path", F.col("oid").alias("old_oid"), F.col("mode").alias("old_mode"))
@@ -84,19 +113,57 @@ def tree_diff(old: DataFrame, new: DataFrame, limit: int | None = None) -> DataF
     return changed if limit is None else changed.orderBy("path").limit(limit)
 
 
-def diff_lines(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
-    """`pairs` with `kind` (text, binary, toolarge) and `ops`; a null side counts as an empty file."""
+def _per_pair(pairs: DataFrame, old: str, new: str, name: str, kind: str, of: Callable[[list], pa.Array]) -> DataFrame:
+    """`pairs` with `kind` (text, binary, toolarge) and a column `name`, which `of` makes of some scripts at a time (None: too large)."""
 
-    @F.pandas_udf(OPS)
-    def script(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def scripted(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in columns:
-            found = (edit_script(lines(x or ""), lines(y or "")) for x, y in zip(a, b))
-            yield pd.Series([None if ops is None else [{"tag": t, "line": s} for t, s in ops] for ops in found], dtype=object)
+            some, held = [], 0
+            for x, y in zip(a, b):
+                some.append(edit_script(lines(x.as_py() or ""), lines(y.as_py() or "")))
+                held += len(some[-1] or ())
+                if held >= HELD:
+                    yield of(some)
+                    some, held = [], 0
+            yield of(some)
 
     binary = F.coalesce(is_binary(F.col(old)), F.lit(False)) | F.coalesce(is_binary(F.col(new)), F.lit(False))
-    scripts = pairs.withColumn("binary_", binary).withColumn("ops", script(F.when(~F.col("binary_"), F.col(old)), F.when(~F.col("binary_"), F.col(new))))
-    kind = F.when(F.col("binary_"), "binary").when(F.col("ops").isNull(), "toolarge").otherwise("text")
-    return scripts.withColumn("kind", kind).withColumn("ops", F.when(F.col("kind") == "text", F.col("ops"))).drop("binary_")
+    scripts = pairs.withColumn("binary_", binary).withColumn(name, scripted(F.when(~F.col("binary_"), F.col(old)), F.when(~F.col("binary_"), F.col(new))))
+    labels = F.when(F.col("binary_"), "binary").when(F.col(name).isNull(), "toolarge").otherwise("text")
+    return scripts.withColumn("kind", labels).withColumn(name, F.when(F.col("kind") == "text", F.col(name))).drop("binary_")
+
+
+def _nested(values: list[list[tuple] | None], fields: dict[str, pa.DataType]) -> pa.Array:
+    """A list of structs for each of `values`, built by column."""
+    flat = [row for rows in values if rows for row in rows]
+    columns = list(zip(*flat)) or [()] * len(fields)
+    ends = accumulate((len(rows or ()) for rows in values), initial=0)
+    offsets = [end if i == len(values) or values[i] is not None else None for i, end in enumerate(ends)]
+    structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values())], list(fields))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+
+
+def diff_lines(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """`pairs` with `kind` (text, binary, toolarge) and `ops`; a null side counts as an empty file."""
+    return _per_pair(pairs, old, new, "ops", OPS, lambda scripts: _nested(scripts, {"tag": pa.string(), "line": pa.string()}))
+
+
+def diff_counts(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """`pairs` with `kind`, `added`, `deleted`: what diffstat() tells of diff_lines(), without the lines leaving Python."""
+
+    def of(scripts: list) -> pa.Array:
+        counts = [None if s is None else {f: sum(tag == t for tag, _ in s) for f, t in (("added", "add"), ("deleted", "del"))} for s in scripts]
+        return pa.array(counts, pa.struct([("added", pa.int64()), ("deleted", pa.int64())]))
+
+    counted = _per_pair(pairs, old, new, "counts_", "struct<added:long,deleted:long>", of)
+    return counted.select(*pairs.columns, "kind", *(F.coalesce(F.col("counts_")[c], F.lit(0).cast("long")).alias(c) for c in ("added", "deleted")))
+
+
+def diff_hunks(pairs: DataFrame, old: str = "old", new: str = "new", context: int = 3) -> DataFrame:
+    """`pairs` with `kind` and `hunks`, an array of what hunks() has as rows: a file's lines are neither sorted nor exchanged."""
+    fields = {f: pa.int64() for f in ("hunk", "a_start", "a_len", "b_start", "b_len")} | {"body": pa.string()}
+    return _per_pair(pairs, old, new, "hunks", HUNKS, lambda scripts: _nested([None if s is None else script_hunks(s, context) for s in scripts], fields))
 
 
 def diffstat(diffs: DataFrame, *keys: str) -> DataFrame:
@@ -150,10 +217,22 @@ def hunks(ops: DataFrame, *keys: str, context: int = 3) -> DataFrame:
     return grouped.select(*keys, "hunk", start("a"), "a_len", start("b"), "b_len", F.array_join(F.transform("rows", lambda r: r["s"]), "\n").alias("body"))
 
 
+def _hunk_text(h: Column | None = None) -> Column:
+    return F.format_string("@@ -%d,%d +%d,%d @@\n%s\n", *(F.col(c) if h is None else h[c] for c in ("a_start", "a_len", "b_start", "b_len", "body")))
+
+
 def patch(files: DataFrame, hunk_rows: DataFrame, key: str = "path") -> DataFrame:
     """key, patch: unified text; `files` is tree_diff's columns with `kind`, `hunk_rows` is of hunks() by key."""
-    range_ = F.format_string("@@ -%d,%d +%d,%d @@\n%s\n", "a_start", "a_len", "b_start", "b_len", "body")
-    bodies = hunk_rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hunk", range_.alias("s")))), lambda h: h["s"]), "").alias("hunks"))
+    bodies = hunk_rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hunk", _hunk_text().alias("s")))), lambda h: h["s"]), "").alias("hunks"))
+    return files.join(bodies, key, "left").select(key, _patch_text(key).alias("patch"))
+
+
+def patch_whole(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, patch: the same from tree_diff's columns with those of diff_hunks(); each file stays within its row."""
+    return files.withColumn("hunks", F.array_join(F.transform("hunks", lambda h: _hunk_text(h)), "")).select(key, _patch_text(key).alias("patch"))
+
+
+def _patch_text(key: str) -> Column:
     mode = lambda c: F.lpad(c, 6, "0")
     short = lambda c: F.coalesce(F.substring(F.col(c).cast("string"), 1, 7), F.lit("0000000"))
     added, deleted = F.col("old_oid").isNull(), F.col("new_oid").isNull()
@@ -172,7 +251,7 @@ def patch(files: DataFrame, hunk_rows: DataFrame, key: str = "path") -> DataFram
         .when(F.col("kind") == "toolarge", "--- diff skipped: file too large ---\n")
         .otherwise(F.concat(names, F.coalesce("hunks", F.lit(""))))
     )
-    return files.join(bodies, key, "left").select(key, F.concat(head, body).alias("patch"))
+    return F.concat(head, body)
 
 
 def attribute(texts: list[str | None]) -> list[int] | None:

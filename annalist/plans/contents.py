@@ -37,8 +37,7 @@ def _diffstat(spark, d) -> DataFrame:
 
 
 def _hunks(spark, d) -> DataFrame:
-    rows = diff.op_rows(diff.diff_lines(_pairs(spark, d)), "repo", "ordinal")
-    return diff.hunks(rows, "repo", "ordinal")
+    return diff.diff_hunks(_pairs(spark, d)).select("repo", "ordinal", F.inline("hunks"))
 
 
 def _event_hunks(spark, d) -> DataFrame:

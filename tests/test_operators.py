@@ -275,3 +275,27 @@ def test_blame_of_long_histories_and_files(spark):
     got = diff.blame(history).collect()
     assert {r.line_no: r.oid for r in got if r.repo == 1} == {k + 1: f"c{n - 1 - k}" for k in range(n)}
     assert sum(r.repo == 2 for r in got) == 5001
+
+
+def test_edit_script_of_unlike_files_takes_milliseconds():
+    old, new = [f"a{i}" for i in range(990)], [f"b{i}" for i in range(990)]
+    began = time.process_time()
+    scripts = [diff.edit_script(old, new) for _ in range(20)]
+    assert time.process_time() - began < 1
+    assert scripts[0] == [("del", x) for x in old] + [("add", x) for x in new]
+
+
+def test_counts_hunks_and_patches_of_rows_equal_those_of_scripts(spark):
+    rng = random.Random(8)
+    text = lambda: None if rng.random() < 0.1 else "\n".join(rng.choices("abcdefgh", k=rng.randrange(60)))
+    some = [(f"p{i}", text(), text()) for i in range(60)]
+    some += [(f"q{i}", "\n".join(map(str, range(90))), "\n".join(str(n) for n in range(90) if n % (11 + i))) for i in range(9)]
+    some += [("bin", "a\0b", "a"), ("large", "\n".join(["x"] * 3000), "\n".join(["y"] * 3000))]
+    pairs = spark.createDataFrame(some, "path string, old string, new string")
+    scripts, whole = diff.diff_lines(pairs), diff.diff_hunks(pairs)
+    assert sorted(diff.diffstat(scripts, "path").collect()) == sorted(diff.diff_counts(pairs).select("path", "kind", "added", "deleted").collect())
+    rows = diff.hunks(diff.op_rows(scripts, "path"), "path")
+    assert sorted(rows.collect()) == sorted(whole.select("path", F.inline("hunks")).collect())
+    about = [F.lit(x).alias(c) for c, x in (("old_oid", "1" * 40), ("new_oid", "2" * 40), ("old_mode", "100644"), ("new_mode", "100644"))]
+    expected = diff.patch(scripts.select("path", "kind", *about), rows)
+    assert sorted(expected.collect()) == sorted(diff.patch_whole(whole.select("path", "kind", "hunks", *about)).collect())
