@@ -33,7 +33,7 @@ def _pairs(spark, d) -> DataFrame:
 
 
 def _diffstat(spark, d) -> DataFrame:
-    return diff.diffstat(diff.diff_lines(_pairs(spark, d)), "repo", "ordinal")
+    return diff.diff_counts(_pairs(spark, d)).select("repo", "ordinal", "kind", "added", "deleted")
 
 
 def _hunks(spark, d) -> DataFrame:
