@@ -61,17 +61,16 @@ _EVENT_HUNKS = """WITH o AS (SELECT user_id AS repo, row_number() OVER (PARTITIO
 
 
 def _patches(spark, d) -> DataFrame:
-    pairs = _pairs(spark, d)
-    changed = diff.diff_lines(pairs).select(
+    changed = diff.diff_hunks(_pairs(spark, d)).select(
         F.concat_ws("/", F.col("repo").cast("string"), F.col("ordinal").cast("string")).alias("path"),
         F.when(F.col("old").isNotNull(), H.object_id("blob", F.col("old"))).alias("old_oid"),
         H.object_id("blob", F.col("new")).alias("new_oid"),
         F.when(F.col("old").isNotNull(), "100644").alias("old_mode"),
         F.lit("100644").alias("new_mode"),
         "kind",
-        "ops",
+        "hunks",
     )
-    return diff.patch(changed.drop("ops"), diff.hunks(diff.op_rows(changed, "path"), "path"))
+    return diff.patch_whole(changed)
 
 
 def _blame_runs(spark, d) -> DataFrame:
