@@ -130,9 +130,15 @@ def is_ancestor(parents: DataFrame, pairs: DataFrame) -> DataFrame:
     `parents` is (oid, parent) of single-parent histories, or (oid, nth, parent). Only the asked pairs travel: each is
     lifted along first parents to the depth of `anc`, by binary lifting. Pairs that miss it go on from the side parents of
     the merges that they passed, one merge a round.
+
+    Where `parents` has `order` too, a number that rises from each parent to its child (a generation, or the place in a
+    log), nothing is walked or built beyond what lies between the two commits of a pair; each commit then has a row, whose
+    nth is 0 and whose parent is null at a root.
     """
     if "nth" not in parents.columns:
         parents = parents.withColumn("nth", F.lit(0))
+    if "order" in parents.columns:
+        return _is_ancestor_by_order(parents, pairs)
     far = jumps(parents)
     depth = checkpointed(_depths(parents, far))
     sides = parents.where("nth > 0").select("oid", "parent")
@@ -159,6 +165,51 @@ def is_ancestor(parents: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(known, ["anc", "desc"], "left").select("anc", "desc", F.coalesce("hit", F.lit(False)).alias("is_ancestor"))
 
 
+def _is_ancestor_by_order(parents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """is_ancestor() by spans, the differences of order: `left` is the span from where a pair is to its `anc`."""
+    orders = parents.where("nth = 0").select("oid", "order")
+    place = lambda c, name: orders.select(F.col("oid").alias(c), F.col("order").alias(name))
+    # The pairs get attributes of their own, else the last join renews those of the checkpoints and loses their constraints.
+    own = pairs.select(F.col("anc").alias("a"), F.col("desc").alias("d")).where("a <> d").distinct().select(F.col("a").alias("anc"), F.col("d").alias("desc"))
+    asked = own.join(place("anc", "goal"), "anc").join(place("desc", "at_order"), "desc")
+    frontier = checkpointed(asked.select("anc", "desc", F.col("desc").alias("at"), (F.col("at_order") - F.col("goal")).cast("long").alias("left"), F.lit(True).alias("fresh")).where("left > 0"))
+    hits = frontier.select("anc", "desc").limit(0)
+    bound = frontier.agg(F.max("left")).first()[0] or 0
+    edges = parents.where("parent IS NOT NULL").join(place("parent", "parent_order"), "parent")
+    edges = checkpointed(edges.select("oid", "nth", "parent", (F.col("order") - F.col("parent_order")).cast("long").alias("span")).where(F.col("span") <= bound))
+    far = [edges.where("nth = 0").select("oid", F.col("parent").alias("far"), "span")]
+    while 2 << len(far) - 1 <= bound:  # a first parent is a span of 1 away at least
+        onward = far[-1].select(F.col("oid").alias("far"), F.col("far").alias("next"), F.col("span").alias("more"))
+        doubled = far[-1].join(onward, "far").select("oid", F.col("next").alias("far"), (F.col("span") + F.col("more")).alias("span")).where(F.col("span") <= bound)
+        far.append(checkpointed(doubled))
+        if far[-1].isEmpty():
+            far.pop()
+            break
+    # The nearest merge on the first-parent way of each commit, as _next_merges has it.
+    merges = checkpointed(edges.where("nth > 0").select("oid", F.col("oid").alias("merge"), F.lit(0).cast("long").alias("span")).distinct())
+    if not merges.isEmpty():
+        for jump in far:
+            ahead = jump.join(merges.select(F.col("oid").alias("far"), "merge", F.col("span").alias("more")), "far").select("oid", "merge", (F.col("span") + F.col("more")).alias("span"))
+            nearest = merges.unionAll(ahead.where(F.col("span") <= bound)).groupBy("oid").agg(F.min(F.struct("span", "merge")).alias("m"))
+            merges = checkpointed(nearest.select("oid", "m.merge", "m.span"))
+    tried = frontier
+    while not frontier.isEmpty():
+        lifted = frontier.where("fresh").select("anc", "desc", F.col("at").alias("here"), "left")
+        for jump in reversed(far):
+            moved = lifted.alias("l").join(jump.alias("j"), (F.col("l.here") == F.col("j.oid")) & (F.col("j.span") <= F.col("l.left")), "left")
+            lifted = moved.select("anc", "desc", F.coalesce("far", "here").alias("here"), (F.col("left") - F.coalesce("span", F.lit(0))).alias("left"))
+        found = checkpointed(lifted.where("here = anc").select("anc", "desc").distinct())
+        hits = hits.unionAll(found)
+        # Below the next merge on the way: its side parents, and its first parent's own way on, which was lifted already.
+        passed = frontier.join(found, ["anc", "desc"], "left_anti").join(merges.withColumnRenamed("oid", "at"), "at").where(F.col("span") < F.col("left")).select("anc", "desc", "merge", (F.col("left") - F.col("span")).alias("left"))
+        onward = passed.join(edges.withColumnRenamed("oid", "merge"), "merge").where(F.col("span") <= F.col("left")).select("anc", "desc", F.col("parent").alias("at"), (F.col("left") - F.col("span")).alias("left"), (F.col("nth") > 0).alias("fresh")).where("fresh OR left > 0")
+        fresh = onward.groupBy("anc", "desc", "at", "left").agg(F.min("fresh").alias("fresh"))
+        frontier = checkpointed(fresh.join(tried.select("anc", "desc", "at"), ["anc", "desc", "at"], "left_anti"))
+        tried = tried.unionAll(frontier)
+    known = hits.withColumn("hit", F.lit(True))  # once each: a pair that is found goes on no more
+    return pairs.join(known, ["anc", "desc"], "left").select("anc", "desc", F.coalesce("hit", F.col("anc") == F.col("desc"), F.lit(False)).alias("is_ancestor"))
+
+
 def _depths(parents: DataFrame, far: list[DataFrame]) -> DataFrame:
     """oid, depth: how many first parents a commit has above it, the sum of the jumps that lead to its root."""
     at = parents.select("oid", F.col("oid").alias("here"), F.lit(0).cast("long").alias("depth")).distinct()

@@ -51,12 +51,12 @@ def _is_ancestor(spark, d) -> DataFrame:
 
 
 def _merges(spark, d) -> DataFrame:
-    """repo, oid, nth, parent: histories in two strands, as a commit's first parent is the one two before it; every fourth
+    """repo, oid, nth, parent, order: histories in two strands, as a commit's first parent is the one two before it; every fourth
     also merges the one right before it."""
     chain = Window.partitionBy("user_id").orderBy("ts", "event_id")
     side = F.when(F.col("event_id") % 4 == 0, F.lag("event_id").over(chain))
     both = F.array(F.struct(F.lit(0).alias("nth"), F.lag("event_id", 2).over(chain).alias("parent")), F.struct(F.lit(1).alias("nth"), side.alias("parent")))
-    rows = T.table(spark, d, "events").select(F.col("user_id").alias("repo"), F.col("event_id").alias("oid"), both.alias("both")).select("repo", "oid", F.inline("both"))
+    rows = T.table(spark, d, "events").select(F.col("user_id").alias("repo"), F.col("event_id").alias("oid"), F.row_number().over(chain).alias("order"), both.alias("both")).select("repo", "oid", "order", F.inline("both"))
     return checkpointed(rows.where("nth = 0 OR parent IS NOT NULL"))
 
 

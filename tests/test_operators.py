@@ -299,3 +299,19 @@ def test_counts_hunks_and_patches_of_rows_equal_those_of_scripts(spark):
     about = [F.lit(x).alias(c) for c, x in (("old_oid", "1" * 40), ("new_oid", "2" * 40), ("old_mode", "100644"), ("new_mode", "100644"))]
     expected = diff.patch(scripts.select("path", "kind", *about), rows)
     assert sorted(expected.collect()) == sorted(diff.patch_whole(whole.select("path", "kind", "hunks", *about)).collect())
+
+
+def test_is_ancestor_by_order_equals_closures(spark, monkeypatch):
+    rng = random.Random(12)
+    rows, above = [], {}
+    for repo in range(3):
+        for i in range(45):
+            oid = repo * 100 + i
+            older = [repo * 100 + j for j in rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3])))]
+            above[oid] = {oid}.union(*(above[p] for p in older))
+            rows += [(oid, n, p, i * 3) for n, p in enumerate(older or [None])]
+    parents = spark.createDataFrame(rows, "oid long, nth int, parent long, order long")
+    asked = [(a, d) for a in above for d in above if rng.random() < 0.15] + [(7, 7), (999, 1), (1, 999), (999, 999), (None, 1)]
+    monkeypatch.setattr(graph, "_depths", None)  # no walk down to the roots
+    got = {(r.anc, r.desc): r.is_ancestor for r in graph.is_ancestor(parents, spark.createDataFrame(asked, "anc long, desc long")).collect()}
+    assert got == {(a, d): a is not None and a in above.get(d, {d}) for a, d in asked}
