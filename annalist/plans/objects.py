@@ -47,7 +47,7 @@ def _ancestry(spark, d) -> DataFrame:
 def _is_ancestor(spark, d) -> DataFrame:
     e = T.table(spark, d, "events")
     pairs = e.select(F.col("event_id").alias("anc"), (F.col("event_id") + 7).alias("desc"))
-    return graph.is_ancestor(T.event_commits(spark, d).select("oid", "parent"), pairs)
+    return graph.is_ancestor(checkpointed(T.event_parents(spark, d)), pairs)
 
 
 def _merges(spark, d) -> DataFrame:

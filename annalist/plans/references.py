@@ -71,7 +71,7 @@ def _decided(spark, d) -> DataFrame:
     pushed = checkpointed(commands(spark, d))
     stored = T.table(spark, d, "events").select(F.col("event_id").cast("string").alias("oid"))
     moves = pushed.where((F.col("old") != H.ZERO_OID) & (F.col("new") != H.ZERO_OID)).select(F.expr("try_cast(old AS BIGINT)").alias("anc"), F.expr("try_cast(new AS BIGINT)").alias("desc"))
-    ancestry = graph.is_ancestor(T.event_commits(spark, d).select("oid", "parent"), moves.dropna().distinct())
+    ancestry = graph.is_ancestor(checkpointed(T.event_parents(spark, d)), moves.dropna().distinct())
     return refs.decide(pushed, _text_refs(spark, d), stored, ancestry.select(F.col("anc").cast("string").alias("anc"), F.col("desc").cast("string").alias("desc"), "is_ancestor"))
 
 

@@ -29,6 +29,12 @@ def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """oid, parent (null at the root), order (place in its history, from the root on)."""
+    chain = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("oid"), F.lag("event_id").over(chain).alias("parent"), F.row_number().over(chain).alias("order"))
+
+
 def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo, oid, author, time, of several years."""
     return table(spark, sf_dir, "orders").select(

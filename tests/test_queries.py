@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from annalist.operators import diff
+from annalist.operators import diff, graph
 from annalist.plans import activity, catalog
 from tests.compare import DATA, same
 
@@ -120,3 +120,9 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["push_decisions", "apply_ref_updates", "push_events", "is_ancestor", "is_ancestor_over_merges"])
+def test_ancestry_of_pushes_is_not_walked_to_the_roots(spark, monkeypatch, name):
+    monkeypatch.setattr(graph, "_depths", None)
+    QUERIES[name](spark, DATA)
