@@ -26,6 +26,8 @@ _CHAIN = """(SELECT user_id AS repo, event_id AS oid, lag(event_id) OVER (PARTIT
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS position, ts, value FROM events)"""
 #: Five days after the newest order, so that all units occur.
 NOW = 902_534_400
+#: Micro-batches in which stored pushes are replayed, at most.
+BATCHES = 4
 
 
 def _by_period(period: str):
@@ -110,7 +112,9 @@ def _push_stream(spark, d) -> DataFrame:
     # A branch's pushes are in one file, in their order, as they come from one host.
     folder = f"{shared_root(spark)}/pushes-{uuid.uuid4().hex}"
     commands.repartition("repo", "ref").sortWithinPartitions("repo", "ref", "seq").write.parquet(folder)
-    stream = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    # Each micro-batch commits the state of all partitions, so their number stays the same, however many files there are.
+    files = len(spark.read.schema(commands.schema).parquet(folder).inputFiles())
+    stream = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(folder)
     return feeds.replay(feeds.compare_and_set(stream))
 
 

@@ -34,16 +34,17 @@ def compare_and_set(commands: DataFrame) -> DataFrame:
     def apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         target, stored = state.get if state.exists else (ZERO_OID, "{}")
         done = json.loads(stored)
-        rows = pd.concat(list(batches)).sort_values(["seq", "batch"])
+        # Plain lists: a group has few rows, and a table of pandas costs more than its rows.
+        rows = [row for b in batches for row in zip(b["seq"].tolist(), b["batch"].tolist(), b["old"].tolist(), b["new"].tolist())]
         out = []
-        for batch, seq, old, new in zip(rows.batch, rows.seq, rows.old, rows.new):
+        for seq, batch, old, new in sorted(rows, key=lambda row: (row[0], row[1] or "")):
             if seq <= done.get(batch, -1):
                 continue
             ok = old == target
             target, done[batch] = (new if ok else target), int(seq)
-            out.append((*key, seq, ok, None if ok else "fetch first"))
+            out.append((seq, ok))
         state.update((target, json.dumps(done)))
-        yield pd.DataFrame(out, columns=["repo", "ref", "seq", "ok", "message"])
+        yield pd.DataFrame({"repo": key[0], "ref": key[1], "seq": [s for s, _ in out], "ok": [ok for _, ok in out], "message": [None if ok else "fetch first" for _, ok in out]})
 
     if "batch" not in commands.columns:
         commands = commands.withColumn("batch", F.lit(""))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from annalist.functions import history as H
 from annalist.operators import diff, graph, log, refs, snapshot, store
+from annalist.plans import activity
+from annalist.streaming import feeds
 from tests.compare import DATA
 
 FILE = st.lists(st.sampled_from(["a", "b", "c", "d", ""]), max_size=12)
@@ -315,3 +317,16 @@ def test_is_ancestor_by_order_equals_closures(spark, monkeypatch):
     monkeypatch.setattr(graph, "_depths", None)  # no walk down to the roots
     got = {(r.anc, r.desc): r.is_ancestor for r in graph.is_ancestor(parents, spark.createDataFrame(asked, "anc long, desc long")).collect()}
     assert got == {(a, d): a is not None and a in above.get(d, {d}) for a, d in asked}
+
+
+def test_stored_pushes_are_replayed_in_few_batches(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(feeds, "_folder", lambda _: f"file://{tmp_path}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert activity.QUERIES["stream_compare_and_set"][0](spark, DATA).count() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in (tmp_path / "state" / "commits").iterdir() if f.name.isdigit()]) <= activity.BATCHES
