@@ -7,16 +7,17 @@ before; an address is also added where it holds all of these within it.
 
 Defined results: a null or empty text has no spans; an empty table gives an empty result; repeated rows, and rows with a
 null key, are searched one by one; other columns are not read. Spans are in code points, end exclusive. Every matcher starts only where a match
-can start (at the first character of a run, or at an "@"), so that a text of any length takes linear time.
+can start (at the first character of a run, or at an "@"), so that a text of any length takes linear time. Patterns of
+disguises are searched in lower-case texts (`_lower`), several times as fast as searching without regard to case.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
-from collections.abc import Callable
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,108 +83,135 @@ _FOLD = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {chr(base + i): st
 _FOLD |= {chr(c): plain for c in (*range(0x1D400, 0x1D800), *range(0x2460, 0x2469), *range(0x24B6, 0x24EA), *range(0x2080, 0x208A)) if len(plain := unicodedata.normalize("NFKC", chr(c))) == 1 and plain.isascii()}
 #: Characters that show nothing (soft hyphen, zero-width ones, word joiner, byte order mark).
 _UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
-_FOLD_ANY = re.compile("[" + "".join(map(re.escape, _FOLD)) + "]")
+_FOLDED, _FOLD_TABLE = frozenset(_FOLD), str.maketrans(_FOLD)
 #: Digits in words.
 _SPOKEN = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _WORD = "|".join(sorted(_SPOKEN, key=len, reverse=True))
 #: What may stand between two number words: a mark or two, brackets of an area code, a line break.
 _GAP = r"[ ,.()\n-]{1,3}"
 # At least eight in a row: a shorter row of number words is ordinary speech.
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORD})(?:{_GAP}(?:{_WORD})(?![A-Za-z])){{7,}}+", re.I)
-_ONE = re.compile(_WORD, re.I)
+_SPELLED = re.compile(rf"(?<![a-z])(?:{_WORD})(?:{_GAP}(?:{_WORD})(?![a-z])){{7,}}+")
+_ONE = re.compile(_WORD)
 # Number words beside digits, other number words or spoken dots, however few; the detectors' own tests decide.
-_UNIT = rf"(?:[0-9]++|(?:{_WORD})(?![A-Za-z]))"
+_UNIT = rf"(?:[0-9]++|(?:{_WORD})(?![a-z]))"
 _DOT = r"(?:\s(?:dot|point)\s|\s{0,2}[\[({<]\s?(?:dot|[.])\s?[\])}>]\s{0,2})"
-_MIXED = re.compile(rf"(?<![A-Za-z0-9]){_UNIT}(?:(?:{_DOT}|{_GAP}){_UNIT})++", re.I)
-_ANY_DOT = re.compile(_DOT, re.I)
-_NUMBER = re.compile(rf"[0-9]+|{_WORD}", re.I)
-_SPELLED_PLUS = re.compile(r"(?<![A-Za-z])plus[ ]+(?=[0-9(])", re.I)
-_MARK = r"\s{0,2}[\[({<]\s?%s\s?[\])}>]\s{0,2}"
+_MIXED = re.compile(rf"(?<![a-z0-9]){_UNIT}(?:(?:{_DOT}|{_GAP}){_UNIT})++")
+_ANY_DOT = re.compile(_DOT)
+_NUMBER = re.compile(rf"[0-9]+|{_WORD}")
+_SPELLED_PLUS = re.compile(r"(?<![a-z])plus[ ]+(?=[0-9(])")
+# Begins with one class of characters, which is quickly looked for: the first of up to two spaces, or the bracket.
 _DISGUISE = re.compile(
-    rf"(?P<at>{_MARK % 'at'}|{_MARK % '@'})|(?P<dot>{_MARK % 'dot'}|{_MARK % '[.]'})"
+    r"[\s\[({<](?:(?:(?<=\s)\s?[\[({<]|(?<!\s))\s?(?:(?P<at>at|@)|(?P<dot>dot|[.]))\s?[\])}>]\s{0,2}"
     # A spoken "at" counts only before a domain, of spoken dots or of points and a last part in letters.
-    r"|(?<=[A-Za-z0-9])(?P<says> at )(?=[A-Za-z0-9-]{1,63}(?:(?: dot [A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-])|(?:\.[A-Za-z0-9-]{1,63}){0,3}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])))"
-    r"|(?<=[A-Za-z0-9])(?P<point> dot )(?=[A-Za-z0-9-])",
-    re.I,
+    r"|(?<=[a-z0-9] )(?P<says>at )(?=[a-z0-9-]{1,63}(?:(?: dot [a-z0-9-]{1,63}){1,4}(?![a-z0-9-])|(?:\.[a-z0-9-]{1,63}){0,3}\.[a-z]{2,24}(?![a-z0-9-])))"
+    r"|(?<=[a-z0-9] )(?P<point>dot )(?=[a-z0-9-]))"
 )
-_CUE = re.compile(rf"[\[({{<]\s?(?:at|dot|@|[.])\s?[\])}}>]| dot | at (?=[a-z0-9.-]+\.[a-z])|(?:{_WORD})(?:{_GAP}|\s(?:dot|point)\s)(?:{_WORD}|[0-9])|[0-9](?:{_GAP}|\s(?:dot|point)\s)(?:{_WORD})|[0-9]\spoint\s[0-9]", re.I)
+# What every match of _DISGUISE holds, and what shows number words; apart, as each begins with characters that are quickly looked for.
+_MARK_CUES = [re.compile(p) for p in (r"[\[({<]\s?(?:at|dot|@|[.])\s?[\])}>]", " dot ", r" at (?=[a-z0-9.-]+\.[a-z])")]
+_NUMBER_CUES = [re.compile(p) for p in (rf"(?:{_WORD})(?:{_GAP}|\s(?:dot|point)\s)(?:{_WORD}|[0-9])", rf"[0-9](?:{_GAP}|\s(?:dot|point)\s)(?:{_WORD})", r"[0-9]\spoint\s[0-9]")]
+_CUES = _MARK_CUES + _NUMBER_CUES
+
+
+def _lower(text: str) -> str:
+    """The text in lower case, as long as it was. The letters that are i or s without regard to case become these."""
+    return text.replace("ſ", "s").replace("ı", "i").replace("İ", "i").lower()
 
 
 class Tape:
-    """A text, and for each of its characters the source range that it came from."""
+    """A text, and the rounds of edits that led to it, each as (start, end, source start, source end)."""
 
-    def __init__(self, text: str):
-        self.text = text
-        self.starts: list[int] = list(range(len(text)))
-        self.ends: list[int] = list(range(1, len(text) + 1))
+    def __init__(self, text: str, rounds: tuple[list[tuple[int, int, int, int]], ...] = ()):
+        self.text, self.rounds = text, rounds
 
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace ranges, which are in order and apart, by strings that all stand for the whole range."""
-        text, starts, ends, at = [], [], [], 0
+    def rewritten(self, edits: list[tuple[int, int, str]]) -> Tape:
+        """The tape with ranges, which are in order and apart, replaced by strings that all stand for the whole range."""
+        if not edits:
+            return self
+        text, done, at, size = [], [], 0, 0
         for a, b, new in edits:
             text += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
-            at = b
-        self.text = "".join([*text, self.text[at:]])
-        self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
+            size += a - at
+            done.append((size, size + len(new), a, b))
+            size, at = size + len(new), b
+        return Tape("".join([*text, self.text[at:]]), (*self.rounds, done))
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The range of the source that a range, which isn't empty, came from."""
+        last = end - 1
+        for edits in reversed(self.rounds):
+            start, last = _before(edits, start)[0], _before(edits, last)[1]
+        return start, last + 1
+
+
+def _before(edits: list[tuple[int, int, int, int]], at: int) -> tuple[int, int]:
+    """The first and the last character, before a round of edits, that a character came from."""
+    i = bisect_right(edits, at, key=itemgetter(0)) - 1
+    if i < 0:
+        return at, at
+    _, end, a, b = edits[i]
+    return (a, b - 1) if at < end else (at - end + b, at - end + b)
 
 
-def _spelled(text: str) -> list[tuple[int, int, str]]:
+def _spelled(low: str) -> list[tuple[int, int, str]]:
     """Edits of long rows of number words: each word becomes its digit, and what stands between two goes with the second."""
     edits = []
-    for m in _SPELLED.finditer(text):
-        words = list(_ONE.finditer(text, *m.span()))
-        edits += [(words[i - 1].end() if i else w.start(), w.end(), _SPOKEN[w[0].lower()]) for i, w in enumerate(words)]
+    for m in _SPELLED.finditer(low):
+        words = list(_ONE.finditer(low, *m.span()))
+        edits += [(words[i - 1].end() if i else w.start(), w.end(), _SPOKEN[w[0]]) for i, w in enumerate(words)]
     return edits
 
 
-def _mixed(text: str, points: bool) -> list[tuple[int, int, str]]:
+def _mixed(low: str, points: bool) -> list[tuple[int, int, str]]:
     """Edits of rows of number words and digits: spoken dots become points, and what stands beside a number word goes,
     but for a single point, if `points`; so do line breaks in a row that has number words."""
     edits = []
-    for m in _MIXED.finditer(text):
-        units = list(_NUMBER.finditer(text, *m.span()))
-        spoken = any(u[0].lower() in _SPOKEN for u in units)
+    for m in _MIXED.finditer(low):
+        units = list(_NUMBER.finditer(low, *m.span()))
+        spoken = any(u[0] in _SPOKEN for u in units)
         for i, u in enumerate(units):
-            digit = _SPOKEN.get(u[0].lower())
+            digit = _SPOKEN.get(u[0])
             if not i:
                 edits += [(*u.span(), digit)] if digit else []
                 continue
             start = units[i - 1].end()
-            between = text[start : u.start()]
+            between = low[start : u.start()]
             dotted = bool(_ANY_DOT.search(between)) or (points and between == ".")
-            if dotted or digit or units[i - 1][0].lower() in _SPOKEN or (spoken and "\n" in between):
+            if dotted or digit or units[i - 1][0] in _SPOKEN or (spoken and "\n" in between):
                 edits.append((start, u.end(), "." * dotted + (digit or u[0])))
     return edits
 
 
-def _rewritten(text: str, edits: Callable[[str], list[tuple[int, int, str]]]) -> Tape | None:
-    """The tape after all transducers, or None if they change nothing."""
-    tape = Tape(text)
-    unseen = [(*m.span(), "") for m in _UNSEEN.finditer(text)]
-    if unseen:
-        tape.rewrite(unseen)
-    tape.text = _FOLD_ANY.sub(lambda m: _FOLD[m[0]], tape.text)
-    changed = tape.text != text
-    numbers = edits(tape.text)
-    if numbers:
-        tape.rewrite(numbers)
-        tape.rewrite([(*m.span(), "+") for m in _SPELLED_PLUS.finditer(tape.text)])
-    marks = [(*m.span(), "@" if m.lastgroup in ("at", "says") else ".") for m in _DISGUISE.finditer(tape.text)]
-    if any(x[2] == "@" for x in marks) or "@" in tape.text or any(c in tape.text for c in "[({<"):
-        tape.rewrite(marks)
-        changed = changed or bool(marks)
-    return tape if changed or numbers else None
+def _marked(tape: Tape) -> Tape:
+    """The tape with its bracketed and spoken "at" and "dot" as marks."""
+    low = _lower(tape.text)
+    if not any(c.search(low) for c in _MARK_CUES):
+        return tape
+    marks = [(*m.span(), "@" if m.lastgroup in ("at", "says") else ".") for m in _DISGUISE.finditer(low)]
+    return tape.rewritten(marks) if any(x[2] == "@" for x in marks) or any(c in low for c in "@[({<") else tape
 
 
 def _undisguise(text: str) -> list[Tape]:
     """The tapes of the ways to read a text's number words; none if nothing in the text is disguised."""
-    if (text.isascii() or not (_FOLD_ANY.search(text) or _UNSEEN.search(text))) and not _CUE.search(text):
+    low = _lower(text)
+    if (text.isascii() or (_FOLDED.isdisjoint(text) and not _UNSEEN.search(text))) and not any(c.search(low) for c in _CUES):
         return []
-    ways = (_spelled, lambda t: _mixed(t, False), lambda t: _mixed(t, True))
-    tapes = [_rewritten(text, w) for w in ways]
-    return [t for i, t in enumerate(tapes) if t is not None and all(u is None or u.text != t.text for u in tapes[:i])]
+    folded = Tape(text).rewritten([(*m.span(), "") for m in _UNSEEN.finditer(text)])
+    if not text.isascii():
+        folded.text = folded.text.translate(_FOLD_TABLE)
+    low = _lower(folded.text)
+    tapes: list[Tape] = []
+    done: list[list] = []
+    for numbers in (_spelled(low), _mixed(low, False), _mixed(low, True)):
+        if numbers in done:
+            continue
+        done.append(numbers)
+        tape = folded.rewritten(numbers)
+        if numbers:
+            tape = tape.rewritten([(*m.span(), "+") for m in _SPELLED_PLUS.finditer(_lower(tape.text))])
+        tape = _marked(tape)
+        if tape.text != text and all(t.text != tape.text for t in tapes):
+            tapes.append(tape)
+    return tapes
 
 
 def find_all(text: str) -> tuple[list[Span], list[Span]]:
@@ -195,7 +223,7 @@ def find_all(text: str) -> tuple[list[Span], list[Span]]:
         new = []
         reach = [0, *accumulate((b for _, b in taken), max)]  # where the spans so far end
         for kind, a, b in find(tape.text):
-            start, end = tape.starts[a], tape.ends[b - 1]
+            start, end = tape.source(a, b)
             i = bisect_left(taken, (end,))
             inside = []
             while reach[i] > start:

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -367,6 +368,41 @@ def test_ordinary_speech_is_no_personal_data():
         assert pii.find_all(text) == ([], []), text
 
 
+@pytest.mark.parametrize(
+    "text,times",
+    [
+        ("Größere Häuser für übermütige Füchse, und schöne Wörter. " * 4000, 60),  # no disguise
+        ("Она пришла домой, а он работал весь вечер. " * 4000, 300),  # look-alikes
+        ("the other one, two of them at home. " * 6000, 300),  # number words
+    ],
+)
+def test_disguises_cost_little_more_than_a_look_at_the_text(text, times):
+    """Against a search for a character that isn't there, by the processor's time, the best of three."""
+
+    def cost(f):
+        best = math.inf
+        for _ in range(3):
+            start = time.process_time()
+            f()
+            best = min(best, time.process_time() - start)
+        return best
+
+    look = re.compile("[~^]")
+    assert pii.find_all(text) == ([], [])
+    assert cost(lambda: pii.find_all(text)) < times * cost(lambda: [look.search(text) for _ in range(5)]) / 5
+
+
+@pytest.mark.parametrize("before,part", [("call ", "plus four nine one ſix one two three four five ſix seven"), ("", "+49 fıve one five fİve one two three four")])
+def test_letters_that_are_others_without_regard_to_case(before, part):
+    assert pii.find_all(before + part) == ([], [("phone", len(before), len(before + part))])
+
+
+def test_spans_lead_back_through_all_rewriting():
+    text = "x\u200b\u200by. (at) b\u00adоb [at] sitе (dot) co\u200bm, plus 49 one seven one 1234567"
+    base, added = pii.find_all(text)
+    assert base == [] and [(k, text[a:b]) for k, a, b in added] == [("email", "b\u00adоb [at] sitе (dot) co\u200bm"), ("phone", "plus 49 one seven one 1234567")]
+
+
 @pytest.mark.parametrize("span,anchor", [(50, 20), (12, 5), (8, 8), (300, 20)])
 def test_repeated_strings_against_brute_force(spark, span, anchor):
     rng = random.Random(span)
