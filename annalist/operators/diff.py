@@ -7,9 +7,12 @@ texts) is columns, joins and windows.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,13 +20,15 @@ from pyspark.sql import functions as F
 
 from ..functions.history import is_binary
 
-#: Bounds beyond which a pair of files is reported as too large.
+#: The host's bounds, beyond which it reports a pair of files as too large.
 MAX_LINES, MAX_PRODUCT, MAX_EDITS, TRACE = 40_000, 4_000_000, 2000, 8_000_000
 OPS = "array<struct<tag:string,line:string>>"
 HUNKS = "array<struct<hunk:long,a_start:long,a_len:long,b_start:long,b_len:long,body:string>>"
 SIGNS = {"eq": " ", "add": "+", "del": "-"}
 #: Lines of scripts that a worker holds before it hands them on.
 HELD = 20_000
+#: Of a pair's table: bits that are held at once, lines of a block at least, parts in which a stretch of blocks is made again.
+HELD_BITS, BLOCK, PARTS = 1 << 25, 256, 32
 
 
 def lines(text: str) -> list[str]:
@@ -32,56 +37,159 @@ def lines(text: str) -> list[str]:
 
 
 def edit_script(old: list[str], new: list[str]) -> list[tuple[str, str]] | None:
-    """The greedy shortest edit script as (eq | del | add, line), or None beyond the bounds.
-
-    Among scripts of equal length it deletes before it adds, as the furthest reaching paths do: seen from the end, an edit
-    comes before an equal line and an addition before a deletion.
-    """
+    """shortest_script() as the host answers: None beyond its bounds. The operators here have no bounds."""
     n, m = len(old), len(new)
     if not n or not m:
-        return [("del", x) for x in old] + [("add", x) for x in new]
+        return shortest_script(old, new)
     if n + m > MAX_LINES or n * m > MAX_PRODUCT:
         return None
+    script = shortest_script(old, new)
+    return None if sum(tag != "eq" for tag, _ in script) > min(MAX_EDITS, max(1, TRACE // (n + m))) else script
+
+
+def shortest_script(old: list[str], new: list[str]) -> list[tuple[str, str]]:
+    """The greedy shortest edit script as (eq | del | add, line), of files of any length.
+
+    Among scripts of equal length it deletes before it adds, as the furthest reaching paths do: seen from the end, an edit
+    comes before an equal line and an addition before a deletion. So between two equal lines all deletions come first.
+    """
+    script: list[tuple[str, str]] = []
+    x = y = 0
+    for i, j in chain(_kept(old, new), [(len(old), len(new))]):
+        script += [("del", line) for line in old[x:i]]
+        script += [("add", line) for line in new[y:j]]
+        script += [("eq", line) for line in old[i : i + 1]]
+        x, y = i + 1, j + 1
+    return script
+
+
+def _kept(old: list[str], new: list[str]) -> Iterator[tuple[int, int]]:
+    """Places, in both files, of the lines that the greedy shortest edit script keeps.
+
+    Lines that one file alone has are left out, as they are edits in any script and move no other choice.
+    """
+    both = set(old).intersection(new)
+    at_old, at_new = ([i for i, line in enumerate(side) if line in both] for side in (old, new))
+    a, b = [old[i] for i in at_old], [new[j] for j in at_new]
     head = 0
-    while head < n and head < m and old[head] == new[head]:
+    while head < len(a) and head < len(b) and a[head] == b[head]:
         head += 1
-    a, b = old[head:], new[head:]
-    rows = _common(a, b)
-    if n + m - 2 * (head + len(b) - rows[-1].bit_count()) > min(MAX_EDITS, max(1, TRACE // (n + m))):
-        return None
-    x, y = len(a), len(b)
-    script: list[tuple[str, str]] = []
-    while x or y:
-        if y and rows[x] >> (y - 1) & 1:
-            y -= 1
-            script.append(("add", b[y]))
-        elif x and (not y or a[x - 1] != b[y - 1] or not rows[x - 1] >> (y - 1) & 1):
-            x -= 1
-            script.append(("del", a[x]))
-        else:
-            x, y = x - 1, y - 1
-            script.append(("eq", a[x]))
-    script += [("eq", line) for line in reversed(old[:head])]
-    return script[::-1]
-
-
-def _common(old: list[str], new: list[str]) -> list[int]:
-    """For each count of old lines, bits that are 0 where the longest common subsequence grows with that line of `new`.
-
-    A row is one integer and takes a few operations on whole integers, so that a pair at the product's bound takes
-    some milliseconds and half a MB.
+    places: dict[str, array] = {}
+    for j, line in enumerate(b[head:]):
+        places.setdefault(line, array("q")).append(j)
+    xs, ys = _common(a[head:], len(b) - head, places)
+    yield from zip(at_old[:head], at_new[:head])
+    for x, y in zip(reversed(xs), reversed(ys)):
+        yield at_old[head + x], at_new[head + y]
+
+
+def _common(a: list[str], m: int, places: dict[str, array]) -> tuple[array, array]:
+    """The places in both of the common subsequence, last first.
+
+    No script of d edits leaves the d diagonals on either side, so that where the shortest one within a band of diagonals has
+    no more edits than the band is wide, it is the shortest of all; else the band grows, to the whole table if need be.
     """
-    wanted, at = set(old), {}
-    for j, line in enumerate(new):
-        if line in wanted:
-            at[line] = at.get(line, 0) | 1 << j
-    full = (1 << len(new)) - 1
-    row, rows = full, [full]
-    for line in old:
-        if met := row & at.get(line, 0):
-            row = (row + met | row - met) & full
-        rows.append(row)
-    return rows
+    n, found = len(a), (array("q"), array("q"))
+    if not n or not m:
+        return found
+    bound = max(n, m) if n * m <= HELD_BITS else abs(n - m) + BLOCK
+    while bound < max(n, m):
+        edits = n + m - 2 * _Band(a, m, places, bound).length()
+        if edits <= bound:
+            break
+        bound = min(edits, 4 * bound)
+    band = _Band(a, m, places, min(bound, max(n, m)))
+    band.back(0, band.blocks, band.first(), m, *found)
+    return found
+
+
+class _Band:
+    """Rows of the table of longest common subsequences, for each count of old lines, within `bound` diagonals.
+
+    A row has a bit for each new line, 0 where the subsequence grows with that line. It is one integer and takes a few
+    operations on whole integers. Old lines go by blocks, whose rows hold the same stretch of new lines. Of a long table
+    only the first rows of some blocks are held, and those between are made again on the way back.
+    """
+
+    def __init__(self, a: list[str], m: int, places: dict[str, array], bound: int):
+        self.a, self.m, self.places, self.bound = a, m, places, bound
+        self.step = max(BLOCK, min(2 * bound, HELD_BITS // min(m, 4 * bound)))
+        self.blocks = -(-len(a) // self.step)
+
+    def stretch(self, k: int) -> tuple[int, int]:
+        return max(0, k * self.step - self.bound), min(self.m, (k + 1) * self.step + self.bound)
+
+    def first(self) -> int:
+        return (1 << self.stretch(0)[1]) - 1
+
+    def rows(self, k: int, row: int) -> Iterator[int]:
+        """The rows of block `k` after its first."""
+        lo, hi = self.stretch(k)
+        block, full = self.a[k * self.step : (k + 1) * self.step], (1 << hi - lo) - 1
+        at = {line: _bits(self.places.get(line, ()), lo, hi) for line in set(block)}
+        for line in block:
+            if met := row & at[line]:
+                row = (row + met | row - met) & full
+            yield row
+
+    def next(self, k: int, row: int) -> tuple[int, int]:
+        """The first row of block `k` + 1 from that of `k`, and how often the subsequence grew in what it leaves out."""
+        for row in self.rows(k, row):  # noqa: B020
+            pass
+        (lo, hi), (low, high) = self.stretch(k), self.stretch(k + 1)
+        left = row & (1 << low - lo) - 1
+        return row >> low - lo | (1 << high - low) - (1 << hi - low), low - lo - left.bit_count()
+
+    def length(self) -> int:
+        row, grown = self.first(), 0
+        for k in range(self.blocks - 1):
+            row, more = self.next(k, row)
+            grown += more
+        lo, hi = self.stretch(self.blocks - 1)
+        for row in self.rows(self.blocks - 1, row):  # noqa: B020
+            pass
+        return grown + hi - lo - row.bit_count()
+
+    def back(self, k: int, end: int, row: int, y: int, xs: array, ys: array) -> int:
+        """Follows the script from new line `y` at the end of block `end` - 1 to the first row of block `k`, which is `row`."""
+        if end - k > 1:
+            size = -(-(end - k) // PARTS)
+            parts = [(k, row)]
+            while parts[-1][0] + size < end:
+                at, row = parts[-1]
+                for i in range(at, at + size):
+                    row, _ = self.next(i, row)
+                parts.append((at + size, row))
+            while parts and y:
+                at, row = parts.pop()
+                y = self.back(at, min(at + size, end), row, y, xs, ys)
+            return y
+        lo, _ = self.stretch(k)
+        rows = [row, *self.rows(k, row)]
+        x = len(rows) - 1
+        while x and y:
+            below = (1 << y - lo) - 1
+            y = lo + (below ^ rows[x] & below).bit_length()
+            while x and y and not rows[x - 1] >> y - lo - 1 & 1:
+                x -= 1
+            if x and y:
+                x, y = x - 1, y - 1
+                xs.append(k * self.step + x)
+                ys.append(y)
+        return y
+
+
+def _bits(places: array, lo: int, hi: int) -> int:
+    """A bit for each of the places from `lo` to before `hi`."""
+    here = places[bisect_left(places, lo) : bisect_left(places, hi)]
+    if len(here) > 16:
+        flags = np.zeros(hi - lo, np.uint8)
+        flags[np.frombuffer(here, np.int64) - lo] = 1
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+    found = 0
+    for j in here:
+        found |= 1 << j - lo
+    return found
 
 
 def script_hunks(script: list[tuple[str, str]], context: int = 3) -> list[tuple[int, int, int, int, int, str]]:
@@ -114,38 +222,38 @@ def tree_diff(old: DataFrame, new: DataFrame, limit: int | None = None) -> DataF
 
 
 def _per_pair(pairs: DataFrame, old: str, new: str, name: str, kind: str, of: Callable[[list], pa.Array]) -> DataFrame:
-    """`pairs` with `kind` (text, binary, toolarge) and a column `name`, which `of` makes of some scripts at a time (None: too large)."""
+    """`pairs` with `kind` (text, binary) and a column `name`, which `of` makes of some scripts at a time; null where binary."""
 
     @F.arrow_udf(kind)
     def scripted(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in columns:
             some, held = [], 0
             for x, y in zip(a, b):
-                some.append(edit_script(lines(x.as_py() or ""), lines(y.as_py() or "")))
-                held += len(some[-1] or ())
+                some.append(shortest_script(lines(x.as_py() or ""), lines(y.as_py() or "")))
+                held += len(some[-1])
                 if held >= HELD:
                     yield of(some)
                     some, held = [], 0
             yield of(some)
 
+    once = scripted.asNondeterministic()  # a filter on the result, as inline() has one, would be pushed down with a second run
     binary = F.coalesce(is_binary(F.col(old)), F.lit(False)) | F.coalesce(is_binary(F.col(new)), F.lit(False))
-    scripts = pairs.withColumn("binary_", binary).withColumn(name, scripted(F.when(~F.col("binary_"), F.col(old)), F.when(~F.col("binary_"), F.col(new))))
-    labels = F.when(F.col("binary_"), "binary").when(F.col(name).isNull(), "toolarge").otherwise("text")
+    scripts = pairs.withColumn("binary_", binary).withColumn(name, once(F.when(~F.col("binary_"), F.col(old)), F.when(~F.col("binary_"), F.col(new))))
+    labels = F.when(F.col("binary_"), "binary").otherwise("text")
     return scripts.withColumn("kind", labels).withColumn(name, F.when(F.col("kind") == "text", F.col(name))).drop("binary_")
 
 
-def _nested(values: list[list[tuple] | None], fields: dict[str, pa.DataType]) -> pa.Array:
+def _nested(values: list[list[tuple]], fields: dict[str, pa.DataType]) -> pa.Array:
     """A list of structs for each of `values`, built by column."""
-    flat = [row for rows in values if rows for row in rows]
+    flat = [row for rows in values for row in rows]
     columns = list(zip(*flat)) or [()] * len(fields)
-    ends = accumulate((len(rows or ()) for rows in values), initial=0)
-    offsets = [end if i == len(values) or values[i] is not None else None for i, end in enumerate(ends)]
+    offsets = list(accumulate((len(rows) for rows in values), initial=0))
     structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values())], list(fields))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
 
 
 def diff_lines(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
-    """`pairs` with `kind` (text, binary, toolarge) and `ops`; a null side counts as an empty file."""
+    """`pairs` with `kind` (text, binary) and `ops`; a null side counts as an empty file."""
     return _per_pair(pairs, old, new, "ops", OPS, lambda scripts: _nested(scripts, {"tag": pa.string(), "line": pa.string()}))
 
 
@@ -153,7 +261,7 @@ def diff_counts(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFra
     """`pairs` with `kind`, `added`, `deleted`: what diffstat() tells of diff_lines(), without the lines leaving Python."""
 
     def of(scripts: list) -> pa.Array:
-        counts = [None if s is None else {f: sum(tag == t for tag, _ in s) for f, t in (("added", "add"), ("deleted", "del"))} for s in scripts]
+        counts = [{f: sum(tag == t for tag, _ in s) for f, t in (("added", "add"), ("deleted", "del"))} for s in scripts]
         return pa.array(counts, pa.struct([("added", pa.int64()), ("deleted", pa.int64())]))
 
     counted = _per_pair(pairs, old, new, "counts_", "struct<added:long,deleted:long>", of)
@@ -163,7 +271,7 @@ def diff_counts(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFra
 def diff_hunks(pairs: DataFrame, old: str = "old", new: str = "new", context: int = 3) -> DataFrame:
     """`pairs` with `kind` and `hunks`, an array of what hunks() has as rows: a file's lines are neither sorted nor exchanged."""
     fields = {f: pa.int64() for f in ("hunk", "a_start", "a_len", "b_start", "b_len")} | {"body": pa.string()}
-    return _per_pair(pairs, old, new, "hunks", HUNKS, lambda scripts: _nested([None if s is None else script_hunks(s, context) for s in scripts], fields))
+    return _per_pair(pairs, old, new, "hunks", HUNKS, lambda scripts: _nested([script_hunks(s, context) for s in scripts], fields))
 
 
 def diffstat(diffs: DataFrame, *keys: str) -> DataFrame:
@@ -263,13 +371,12 @@ def attribute(texts: list[str | None]) -> list[int] | None:
     alive = {i: i for i in range(len(tip))}  # line of the tip: line of the version at hand
     for step, text in enumerate(texts):
         older = texts[step + 1] if step + 1 < len(texts) else None
-        script = None if older is None else edit_script(lines(older), lines(text or ""))
-        if script is None:
+        if older is None:
             for i in alive:
                 owner[i] = step
             break
         kept, here, there = {}, 0, 0
-        for tag, _ in script:
+        for tag, _ in shortest_script(lines(older), lines(text or "")):
             if tag == "eq":
                 kept[here] = there
             here += tag != "del"

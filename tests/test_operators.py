@@ -287,6 +287,58 @@ def test_edit_script_of_unlike_files_takes_milliseconds():
     assert scripts[0] == [("del", x) for x in old] + [("add", x) for x in new]
 
 
+def furthest_reaching(old, new):
+    """The script of the greedy furthest reaching paths, path by path."""
+    n, m, far, trace = len(old), len(new), {1: 0}, []
+    while far.get(n - m) != n:
+        d = len(trace)
+        trace.append(dict(far))
+        for k in range(-d, d + 1, 2):
+            x = far[k + 1] if k == -d or (k != d and far[k - 1] < far[k + 1]) else far[k - 1] + 1
+            while x < n and x - k < m and old[x] == new[x - k]:
+                x += 1
+            far[k] = x
+    script, x, y = [], n, m
+    for d in range(len(trace) - 1, 0, -1):
+        k, before = x - y, trace[d]
+        down = k == -d or (k != d and before[k - 1] < before[k + 1])
+        at = before[k + 1] if down else before[k - 1]
+        while x > at + (not down):
+            x, y = x - 1, y - 1
+            script.append(("eq", old[x]))
+        x, y = (x, y - 1) if down else (x - 1, y)
+        script.append(("add", new[y]) if down else ("del", old[x]))
+    return (script + [("eq", line) for line in reversed(old[:x])])[::-1]
+
+
+def test_scripts_by_bands_and_blocks_are_those_of_furthest_reaching_paths(monkeypatch):
+    rng = random.Random(21)
+    for _ in range(1500):
+        words = [str(i) for i in range(rng.choice([1, 2, 3, 8, 60]))]
+        old = rng.choices(words, k=rng.randrange(1, 70))
+        new = rng.choices(words, k=rng.randrange(1, 70)) if rng.random() < 0.5 else [x for x in old if rng.random() < 0.9] + rng.choices([*words, "z"], k=3)
+        for name, value in (("HELD_BITS", rng.choice([1, 64, 1000, 1 << 25])), ("BLOCK", rng.choice([1, 2, 7, 256])), ("PARTS", rng.choice([2, 3, 32]))):
+            monkeypatch.setattr(diff, name, value)
+        assert diff.shortest_script(old, new) == furthest_reaching(old, new)
+
+
+def test_pairs_beyond_the_hosts_bounds_get_whole_scripts(spark):
+    numbers = [str(i) for i in range(30_000)]
+    long = numbers[:10] + ["in"] + numbers[10:29_000] + numbers[29_001:]  # over 40,000 lines together
+    rows = [("lines", numbers, long), ("product", numbers[:3000], numbers[1:3000]), ("edits", ["x"] * 1500, ["y"] * 1500)]
+    pairs = spark.createDataFrame([(p, "\n".join(a), "\n".join(b)) for p, a, b in rows], "path string, old string, new string")
+    assert sorted(diff.diff_counts(pairs).select("path", "kind", "added", "deleted").collect()) == [("edits", "text", 1500, 1500), ("lines", "text", 1, 1), ("product", "text", 0, 1)]
+    hunks = diff.diff_hunks(pairs).select("path", F.inline("hunks")).orderBy("path", "hunk").collect()
+    assert [tuple(h)[:6] for h in hunks] == [("edits", 1, 1, 1500, 1, 1500), ("lines", 1, 8, 6, 8, 7), ("lines", 2, 28998, 7, 28999, 6), ("product", 1, 1, 4, 1, 3)]
+    assert hunks[2].body == " 28997\n 28998\n 28999\n-29000\n 29001\n 29002\n 29003" and hunks[0].body == "\n".join(["-x"] * 1500 + ["+y"] * 1500)
+    assert {r.path for r in diff.diff_lines(pairs).where("ops IS NOT NULL").collect()} == {"lines", "product", "edits"}
+
+
+def test_blame_follows_lines_over_steps_beyond_the_hosts_bounds():
+    older = [str(i) for i in range(3000)]
+    assert diff.attribute(["\n".join([*older, "new"]), "\n".join(older)]) == [1] * 3000 + [0]
+
+
 def test_counts_hunks_and_patches_of_rows_equal_those_of_scripts(spark):
     rng = random.Random(8)
     text = lambda: None if rng.random() < 0.1 else "\n".join(rng.choices("abcdefgh", k=rng.randrange(60)))

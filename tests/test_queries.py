@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -126,3 +127,27 @@ def test_entry(spark):
 def test_ancestry_of_pushes_is_not_walked_to_the_roots(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "_depths", None)
     QUERIES[name](spark, DATA)
+
+
+def long_turns(spark, folder):
+    """A folder with a conversation whose turns are far longer than the host's line diffs; old and new words by turn."""
+    rng = random.Random(4)
+    first = [f"w{i}" for i in range(30_000)]
+    second = [w for w in first if rng.random() > 0.0005]
+    third = rng.choices([f"v{i}" for i in range(50)], k=3000)
+    turns = {1: first, 2: second, 3: third, 4: rng.sample(third, 3000)}
+    rows = [(1, t, "user", " ".join(words)) for t, words in turns.items()]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return {t: (turns.get(t - 1, []), words) for t, words in turns.items()}
+
+
+def test_hunks_of_long_turns_are_whole(spark, tmp_path):
+    both = long_turns(spark, tmp_path)
+    hunks = {}
+    for r in QUERIES["myers_hunks"](spark, str(tmp_path)).orderBy("ordinal", "hunk").collect():
+        hunks.setdefault(r.ordinal, []).append((r.a_start, r.a_len, r.body.split("\n")))
+    assert set(hunks) == set(both)
+    for turn, (old, new) in both.items():
+        assert apply(old, hunks[turn]) == new
+    signs = [line[0] for *_, body in hunks[4] for line in body]
+    assert signs.count("-") == signs.count("+") == 3000 - common(*both[4])
