@@ -354,11 +354,7 @@ def _patch_text(key: str) -> Column:
         F.concat(F.lit("index "), short("old_oid"), F.lit(".."), short("new_oid"), F.when(same_mode, F.concat(F.lit(" "), mode("new_mode"))).otherwise(""), F.lit("\n")),
     )
     names = F.concat(F.when(added, "--- /dev/null\n").otherwise(F.format_string("--- a/%s\n", F.col(key))), F.when(deleted, "+++ /dev/null\n").otherwise(F.format_string("+++ b/%s\n", F.col(key))))
-    body = (
-        F.when(F.col("kind") == "binary", F.format_string("Binary files a/%s and b/%s differ\n", F.col(key), F.col(key)))
-        .when(F.col("kind") == "toolarge", "--- diff skipped: file too large ---\n")
-        .otherwise(F.concat(names, F.coalesce("hunks", F.lit(""))))
-    )
+    body = F.when(F.col("kind") == "binary", F.format_string("Binary files a/%s and b/%s differ\n", F.col(key), F.col(key))).otherwise(F.concat(names, F.coalesce("hunks", F.lit(""))))
     return F.concat(head, body)
 
 

@@ -151,3 +151,18 @@ def test_hunks_of_long_turns_are_whole(spark, tmp_path):
         assert apply(old, hunks[turn]) == new
     signs = [line[0] for *_, body in hunks[4] for line in body]
     assert signs.count("-") == signs.count("+") == 3000 - common(*both[4])
+
+
+def test_patches_of_long_turns_are_whole(spark, tmp_path):
+    both = long_turns(spark, tmp_path)
+    patches = {r.path: r.patch.split("\n") for r in QUERIES["unified_patch"](spark, str(tmp_path)).collect()}
+    assert set(patches) == {f"1/{turn}" for turn in both}
+    for turn, (old, new) in both.items():
+        changes = []
+        assert patches[f"1/{turn}"][-1] == "" and f"+++ b/1/{turn}" in patches[f"1/{turn}"]
+        for x in patches[f"1/{turn}"][:-1]:
+            if m := re.match(r"@@ -(\d+),(\d+) \+\d+,\d+ @@", x):
+                changes.append((int(m[1]), int(m[2]), []))
+            elif changes:
+                changes[-1][2].append(x)
+        assert apply(old, changes) == new
